@@ -12,34 +12,50 @@ back as null, repeated rows give repeated records, an empty table gives no file.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import shared
-from quire.llm.chunks import cut_chunks, gather
+from quire.llm.chunks import gather
 from quire.llm.crc32c import crc32c, masked
 from quire.llm.words import steps
+from quire.llm.wordshuffle import pretokens
 
 END_ID = 2
-#: Distinct chunks whose ids a worker keeps between steps.
+#: Distinct words whose ids a worker keeps between steps.
 CACHE = 250_000
+#: Bytes of text that a worker encodes at a time.
+STEP = 4 << 20
 
 
-class ChunkEncoder:
-    """Encodes distinct chunks once with the tokenizers library and keeps their ids."""
+class WordEncoder:
+    """Encodes each distinct word once with the tokenizers library and keeps its ids.
+
+    For a byte-level BPE without normaliser the library's model takes a text word by word, a word
+    being one match of the public pattern in its byte alphabet. Any other kind of tokenizer is run
+    over whole texts.
+    """
 
     def __init__(self, vocabulary: str):
+        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        self.by_word = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.pattern, self.model = public_tokenizers.PATTERN, self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
@@ -48,22 +64,38 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and each text's end in them."""
-        code, ends, distinct = cut_chunks(texts)
+        if not self.by_word:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.fromiter((i for x in ids for i in x), np.uint32), np.cumsum([len(x) for x in ids], dtype=np.int64)
+        code, ends, distinct = pretokens(texts, self.pattern)
         if len(self.known) > CACHE:
             self.clear()
-        new = [x for x in distinct if x not in self.known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[x] = len(self.begin)
-                ids = e.ids
+        known, tokenize, alphabet = self.known, self.model.tokenize, byte_alphabet()
+        for word in distinct:
+            if word not in known:
+                known[word] = len(self.begin)
+                own = [t.id for t in tokenize(word.encode().decode("latin-1").translate(alphabet))]
                 self.begin.append(len(self.ids))
-                self.length.append(len(ids))
-                self.ids.extend(ids)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        flat, end = gather(np.array(self.ids, np.uint32), np.array(self.begin), np.array(self.length), place[code])
-        end = np.concatenate([[0], end])
-        return flat, end[ends]
+                self.length.append(len(own))
+                self.ids.extend(own)
+        place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        begin, length = np.array(self.begin, np.int64)[place], np.array(self.length, np.int64)[place]
+        flat, end = gather(np.array(self.ids, np.uint32), begin, length, code)
+        return flat, np.concatenate([[0], end])[ends]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> WordEncoder:
+    """A worker's encoder; its words serve all tasks that the worker runs."""
+    return WordEncoder(vocabulary)
+
+
+@lru_cache(maxsize=1)
+def byte_alphabet() -> dict[int, str]:
+    """Bytes to the letters of byte-level BPE: printable Latin-1 stands for itself, the rest follows U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
 def _width(flat: np.ndarray) -> int:
@@ -167,9 +199,9 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "
         records = tokens = 0
         offsets, at = [], 0
         for batch in batches:
-            for ids, texts in steps(batch.column(0), batch.column(1)):
+            for ids, texts in steps(batch.column(0), batch.column(1), STEP):
                 if encoder is None:
-                    encoder, out = ChunkEncoder(vocabulary), _Out(f"{folder}/part-{part:05d}.rec")
+                    encoder, out = encoder_of(vocabulary), _Out(f"{folder}/part-{part:05d}.rec")
                 flat, ends = encoder.encode(texts)
                 flat = np.insert(flat, ends, end_id)
                 ends = ends + np.arange(1, len(ends) + 1)
