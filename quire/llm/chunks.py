@@ -30,13 +30,15 @@ def cut_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     code = np.asarray(d.indices).astype(np.int64) * 2 + 1
     first = ends - counts
     code[first] -= 1
-    bare = d.dictionary.to_pylist()
-    used, code = np.unique(code, return_inverse=True)
-    distinct = [bare[u >> 1] if u % 2 == 0 else " " + bare[u >> 1] for u in used.tolist()]
+    bare = d.dictionary.to_numpy(zero_copy_only=False).tolist()
+    seen = np.zeros(2 * len(bare), bool)
+    seen[code] = True
+    code = (np.cumsum(seen) - 1)[code]
+    distinct = [" " + bare[u >> 1] if u % 2 else bare[u >> 1] for u in np.flatnonzero(seen).tolist()]
     if whole.any():
         at = np.flatnonzero(whole)
         code[first[at]] = len(distinct) + np.arange(len(at))
-        distinct += x.filter(pa.array(whole)).to_pylist()
+        distinct += x.filter(pa.array(whole)).to_numpy(zero_copy_only=False).tolist()
     return code, ends, distinct
 
 

@@ -48,7 +48,7 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def hashes(distinct: pa.Array) -> np.ndarray:
     """64-bit hashes of distinct words, as unsigned integers."""
     h = xxhash.xxh3_64_intdigest
-    data = distinct.cast(pa.large_binary()).to_pylist()
+    data = distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
     return np.fromiter(map(h, data), np.uint64, len(data))
 
 
