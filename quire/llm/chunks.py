@@ -8,6 +8,8 @@ in which some space follows white space is left whole: it is one chunk.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,8 @@ import pyarrow.compute as pc
 #: White space of any kind, then a space. Wider than needed is safe: such texts are not cut.
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 
+MARKS = frozenset(".,;:!?")
+
 
 def cut_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(code of each chunk in order, each text's end in these, the distinct chunks by code).
@@ -42,9 +46,25 @@ def cut_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return code, ends, distinct
 
 
+def words_of(chunk: str, find: Callable[[str], list[str]]) -> list[str]:
+    """The pattern's matches in a chunk; the commonest shapes need no pattern.
+
+    Letters after an optional space are one match; one mark after them is another.
+    """
+    body = chunk[1:] if chunk[:1] == " " else chunk
+    if body.isalpha():
+        return [chunk]
+    if body[-1:] in MARKS and body[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return find(chunk)
+
+
 def gather(values: np.ndarray, begin: np.ndarray, length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate ``values[begin[c] : begin[c] + length[c]]`` over codes; also each piece's end."""
     n = length[code]
     end = np.cumsum(n)
-    shift = begin[code] - (end - n)
-    return values[np.repeat(shift, n) + np.arange(end[-1] if len(end) else 0)], end
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    place = np.repeat((begin[code] - (end - n)).astype(kind), n)
+    place += np.arange(total, dtype=kind)
+    return values.take(place), end

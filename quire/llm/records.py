@@ -26,15 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import shared
-from quire.llm.chunks import cut_chunks, gather
+from quire.llm.chunks import gather
 from quire.llm.crc32c import crc32c, masked
 from quire.llm.words import steps
+from quire.llm.wordshuffle import pretokens
 
 END_ID = 2
-#: Distinct chunks (a word with its punctuation) whose ids a worker keeps between steps.
-CACHE = 400_000
+#: Distinct words whose ids a worker keeps between steps.
+CACHE = 700_000
 #: Bytes of text that a worker encodes at a time.
-STEP = 4 << 20
+STEP = 8 << 20
 
 
 class WordEncoder:
@@ -47,7 +48,6 @@ class WordEncoder:
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -55,37 +55,31 @@ class WordEncoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.by_word = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.find, self.model = regex.compile(public_tokenizers.PATTERN).findall, self.tokenizer.model
+        self.pattern, self.model = public_tokenizers.PATTERN, self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.words: dict[str, array] = {}
-        self.ids, self.begin, self.length = array("I"), array("q"), array("q")
+        self.ids, self.length = array("I"), array("I")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and each text's end in them."""
         if not self.by_word:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
             return np.fromiter((i for x in ids for i in x), np.uint32), np.cumsum([len(x) for x in ids], dtype=np.int64)
-        code, ends, distinct = cut_chunks(texts)
+        code, ends, distinct = pretokens(texts, self.pattern)
         if len(self.known) > CACHE:
             self.clear()
-        known, words, find, tokenize, alphabet = self.known, self.words, self.find, self.model.tokenize, byte_alphabet()
-        for chunk in distinct:
-            if chunk not in known:
-                known[chunk] = len(self.begin)
-                start = len(self.ids)
-                for word in find(chunk):
-                    own = words.get(word)
-                    if own is None:
-                        own = words[word] = array("I", [t.id for t in tokenize(word.encode().decode("latin-1").translate(alphabet))])
-                    self.ids.extend(own)
-                self.begin.append(start)
-                self.length.append(len(self.ids) - start)
+        known, tokenize, alphabet = self.known, self.model.tokenize, byte_alphabet()
+        for word in distinct:
+            if word not in known:
+                own = [t.id for t in tokenize(word.encode().decode("latin-1").translate(alphabet))]
+                known[word] = len(self.length)
+                self.length.append(len(own))
+                self.ids.extend(own)
+        length = np.array(self.length, np.int64)
         place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-        begin, length = np.array(self.begin, np.int64)[place], np.array(self.length, np.int64)[place]
-        flat, end = gather(np.array(self.ids, np.uint32), begin, length, code)
+        flat, end = gather(np.array(self.ids, np.uint32), (np.cumsum(length) - length)[place], length[place], code)
         return flat, np.concatenate([[0], end])[ends]
 
 

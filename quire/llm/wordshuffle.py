@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import shared
-from quire.llm.chunks import cut_chunks, gather
+from quire.llm.chunks import cut_chunks, gather, words_of
 from quire.llm.words import hashes, steps
 
 #: Distinct words that a task holds before it hands them on.
@@ -64,7 +64,7 @@ def pretokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, li
     code, ends, distinct = cut_chunks(texts)
     find, known, numbers, count = regex.compile(pattern).findall, {}, [], []
     for chunk in distinct:
-        found = find(chunk)
+        found = words_of(chunk, find)
         count.append(len(found))
         numbers += [known.setdefault(w, len(known)) for w in found]
     count = np.array(count, np.int64)
