@@ -10,9 +10,8 @@ How links are found without pairing whole groups:
 2. In each bucket every class is paired with the bucket's smallest id only; pairs are confirmed on
    the full shingle sets and confirmed links united into components.
 3. What this leaves open: classes of one bucket that still lie in different components and were not
-   paired. Their signatures are compared block by block (at most ``BLOCK`` rows a side) inside a
-   task, which hands on only pairs whose estimate isn't below the threshold by over ``SLACK``
-   (six standard deviations). Those are confirmed on full sets, and the components made final.
+   paired. Their full sets are compared block against block inside a task, which hands on links
+   only, never pairs. The components are then made final.
 So every pair that shares a bucket is either confirmed, refuted, or already in one component.
 
 A document without words or text has no shingles, is linked with nothing and kept. Rows with one id
@@ -36,8 +35,8 @@ from quire.llm.words import coded, hashes, split, starts, steps
 
 SHINGLE = 5
 PERMS, ROWS, BANDS = 120, 6, 40
-BLOCK = 1024
-SLACK = 0.14
+#: Least and most rows in a block.
+BLOCK = (256, 4096)
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -90,8 +89,8 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, f1, f2 (the set's fingerprint), bands, sig (a byte of each value)."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """doc_id, n, f1, f2 (the set's fingerprint), bands."""
+    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,17 +102,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for r in range(ROWS):
                     key = key * FOLD + parts[:, :, r]
                 key = mix(key).view(np.int64)
-                full = np.array([len(s) > 0 for s in sets])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1)))
                 marks = [fingerprint(s) for s in sets]
-                sig = (values >> np.uint32(12)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), bands, pa.array([x.tobytes() if f else b"" for x, f in zip(sig, full, strict=True)], pa.binary())],
+                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), bands],
                     schema=kind,
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("x"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary")
+    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -129,7 +126,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
     wide = pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_text, kept_set = None, None
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
@@ -146,32 +142,47 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
     return wide.mapInArrow(run, "a long, b long").distinct()
 
 
-def _open_pairs(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs inside buckets between components, by comparing signatures block by block.
+def _open_links(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links inside buckets between components, on full sets, block against block.
 
-    ``rows`` (key, cid, comp, n): the bucket's size n decides into how many blocks it is cut.
+    ``rows`` (key, cid, comp, n): a bucket of n classes is cut into blocks of at most ``BLOCK[1]``,
+    and every two blocks meet in one group of rows, so no task holds more than two blocks at a time.
+    Only links leave a task.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
-    laid = rows.withColumn("nb", blocks).withColumn("own", own)
-    laid = laid.join(sigs, "cid")
-    laid = laid.select("key", "cid", "comp", "own", "sig", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    laid = laid.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "comp", "sig")
+    block = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.ceil(F.col("n") / 16)))
+    laid = rows.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    ids = rows.select(F.col("cid").alias("i")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("x"))
+    texts = texts.join(shared.broadcast_if_small(ids, 16), "i", "left_semi").dropDuplicates(["i", "x"])
+    laid = laid.select("key", "cid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    laid = laid.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "comp")
+    laid = laid.join(texts, laid["cid"] == texts["i"]).drop("i")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = laid.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "cid")
-    least = percent / 100 - SLACK
+    laid = laid.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         cid, comp, own = (np.asarray(group.column(c).combine_chunks()) for c in ("cid", "comp", "own"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(cid), -1)
-        a, b = [], []
         cross = int(group.column("lo")[0].as_py()) != int(group.column("hi")[0].as_py())
+        sets = shingle_sets(group.column("x").combine_chunks())
+        size = np.array([len(s) for s in sets])
+        start = np.cumsum(size) - size
+        every = np.concatenate(sets)
+        _, number = np.unique(every, return_inverse=True)
+        held = np.zeros(number.max(initial=0) + 1, np.int64)
+        a, b = [], []
         for i in range(len(cid) - 1):
-            can = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) if cross else True)) + i + 1
-            if len(can):
-                got = can[(sig[can] == sig[i]).mean(1) >= least]
-                a += [int(cid[i])] * len(got)
-                b += cid[got].tolist()
+            can = comp[i + 1 :] != comp[i]
+            if cross:
+                can &= own[i + 1 :] != own[i]
+            if not can.any():
+                continue
+            mine = number[start[i] : start[i] + size[i]]
+            held[mine] = 1
+            both = np.add.reduceat(held[number[start[i + 1] :]], start[i + 1 :] - start[i + 1])
+            held[mine] = 0
+            got = np.flatnonzero(can & (100 * both >= percent * (size[i] + size[i + 1 :] - both))) + i + 1
+            a += [int(cid[i])] * len(got)
+            b += cid[got].tolist()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +191,8 @@ def _open_pairs(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
             keys = np.stack([np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in ("key", "lo", "hi")], 1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             at = 0
-            for c in cuts.tolist():
+            for c in (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist():
                 yield compare(t.slice(at, c - at))
                 at = c
             rest = t.slice(at)
@@ -190,7 +200,7 @@ def _open_pairs(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             yield compare(rest)
 
     found = laid.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     full = sets.where("n > 0")
     classes = shared.cut(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("cid")), "classes")
     ids = classes.where("cid is not null").select(F.col("cid").alias("doc_id"))
-    reps = full.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "bands", "sig")
+    reps = full.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "bands")
     rows = reps.select("cid", F.explode("bands").alias("key"))
     groups = rows.groupBy("key").agg(F.min("cid").alias("rep"), F.max("cid").alias("last"), F.count("*").alias("n")).where("rep <> last").drop("last")
     buckets = shared.cut(rows.join(groups, "key").where("cid <> rep"), "buckets")
@@ -209,9 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     named = buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     open_rows = shared.cut(named.join(open_keys, "key", "left_semi").select("key", "cid", "comp", "n"), "open")
-    more = shared.cut(_open_pairs(open_rows, reps.select("cid", "sig").dropDuplicates(["cid"]), percent), "open-pairs")
-    more = more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    added = shared.cut(confirm(more, docs, percent, id_col, text_col), "links")
+    added = shared.cut(_open_links(open_rows, docs, percent, id_col, text_col), "links")
     if added.limit(1).count():
         labels = shared.cut(connected_components(links.union(added), "a", "b"), "labels")
     final = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("component", "cid").alias("c"))
