@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quire.llm.words import plain
+
 #: White space of any kind, then a space. Wider than needed is safe: such texts are not cut.
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 
@@ -25,7 +27,7 @@ def cut_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
     A null text is empty. Joining a text's chunks gives the text back.
     """
-    x = pc.fill_null(texts.cast(pa.large_string()), "")
+    x = plain(texts)
     whole = np.asarray(pc.match_substring_regex(x, UNSAFE).cast(pa.uint8())).astype(bool)
     parts = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), x), " ")
     counts = np.asarray(pc.list_value_length(parts)).astype(np.int64)

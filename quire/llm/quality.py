@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import shared
-from quire.llm.words import coded, split, starts, steps
+from quire.llm.words import coded, plain, split, starts, steps
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -75,7 +75,7 @@ def _repeated(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def statistics(texts: pa.Array) -> np.ndarray:
     """One row of COUNTS + EXTRA for each text."""
-    x = pc.fill_null(texts.cast(pa.large_string()), "")
+    x = plain(texts)
     n = len(x)
     words, ends = split(x, lower=False)
     code, _ = coded(words)

@@ -24,12 +24,22 @@ def steps(ids: pa.Array, texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tu
         start = end
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts as a large-string array of its own, nulls as empty texts.
+
+    A slice is copied first: the library's ASCII kernels misread a slice that was cast.
+    """
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
 def split(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
     """Words (runs without ASCII white space) of all texts in order, and each text's end in them.
 
     A null text has no words. ``lower`` folds A-Z only.
     """
-    x = pc.fill_null(texts.cast(pa.large_string()), "")
+    x = plain(texts)
     parts = pc.ascii_split_whitespace(pc.ascii_lower(x) if lower else x)
     flat = parts.flatten()
     lengths = np.asarray(pc.list_value_length(parts)).astype(np.int64)
