@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +18,45 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.urls import judge_urls
+
+    return judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.sharding import shard_documents
 
     return shard_documents(_read(spark, sf_dir, "documents"), 16)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.templates import leaks
+
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.chat import digest, examples
+
+    columns = ["conv_id", "turn", "role", "text"]
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return digest(examples(_read(spark, sf_dir, "conversations").select(*columns).union(extra)))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.lines import strip_boilerplate
+
+    return strip_boilerplate(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.records import token_records
 
@@ -45,7 +79,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_minhash": op6_minhash,
     "op8_token_records": op8_token_records,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
