@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts are cut into words; numbers, names (capitalised words) and units (after a number) become typed
+Texts are cut into words; numbers, names (words with a capital and small letters) and units (after a number) become typed
 placeholders ``<n>``, ``<p>``, ``<u>``. Windows of ``WINDOW`` template words of benchmark items and
 documents meet in a hash join, so a question with other numbers or names still meets its original. A
 window with fewer than ``LITERAL`` plain words says too little as a template and is compared by its
-words instead.
+words instead. Items are also posted by their words, so a copy that lost its capitals, or is all
+capitals, meets them too.
 
 Slot consistency: along one alignment (document position minus item position) every slot value of
 the item must stand for one value in the document, always the same; an alignment that breaks this is
@@ -44,19 +45,19 @@ def plain_words(text: Column) -> Column:
 def template(words: Column) -> Column:
     numbers = F.regexp_replace(words, r"(?<![^ ])[$€£]?\p{Nd}[^ ]*", "<n>")
     units = F.regexp_replace(numbers, rf"(?i)(?<=<n> )(?:{'|'.join(UNITS)})(?![^ ])", "<u>")
-    return F.lower(F.regexp_replace(units, r"(?<![^ ])\p{Lu}[^ ]*", "<p>"))
+    return F.lower(F.regexp_replace(units, r"(?<![^ ])\p{Lu}[^ ]*\p{Ll}[^ ]*", "<p>"))
 
 
 def windows(rows: DataFrame, *keep: str) -> DataFrame:
-    """Of rows with ``words``: the columns ``keep``, w and t (all words, literal and template), i, key."""
+    """Of rows with ``words``: ``keep``, w and t (all words, literal and template), i, key, literal (key)."""
     rows = rows.select(*keep, F.split(F.lower("words"), " ").alias("w"), F.split(template(F.col("words")), " ").alias("t"))
     places = F.when(F.size("w") >= WINDOW, F.sequence(F.lit(0), F.size("w") - WINDOW))
     rows = rows.where(F.size("w") == F.size("t")).select(*keep, "w", "t", F.explode(places).alias("i"))
     at = lambda c, k: F.get(F.col(c), F.col("i") + k)
     plain = sum((F.when(at("t", k).isin(*SLOTS), 0).otherwise(1) for k in range(WINDOW)), F.lit(0))
     by_template = F.xxhash64(*[at("t", k) for k in range(WINDOW)])
-    by_words = F.xxhash64(F.lit(0), *[at("w", k) for k in range(WINDOW)])
-    return rows.withColumn("key", F.when(plain >= LITERAL, by_template).otherwise(by_words))
+    by_words = F.xxhash64(*[at("w", k) for k in range(WINDOW)])
+    return rows.withColumn("key", F.when(plain >= LITERAL, by_template).otherwise(by_words)).withColumn("literal", by_words)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -65,7 +66,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = items.groupBy("words").agg(F.min("item_id").alias("item_id"))
     posted = windows(items, "item_id").withColumn("n_windows", F.size("w") - WINDOW + 1)
     cut = lambda c: F.slice(F.col(c), F.col("i") + 1, WINDOW)
-    posted = shared.cut(posted.select("item_id", "key", F.col("i").alias("j"), "n_windows", cut("w").alias("iw")), "item-windows")
+    posted = shared.cut(posted.select("item_id", F.explode(F.array_distinct(F.array("key", "literal"))).alias("key"), F.col("i").alias("j"), "n_windows", cut("w").alias("iw")), "item-windows")
     keys = shared.cut(posted.select("key").distinct(), "item-keys")
     own = docs.select(F.col(id_col).alias("doc_id"), plain_words(F.col(text_col)).alias("words"))
     found = windows(own, "doc_id").join(shared.broadcast_if_small(keys, 16), "key", "left_semi")
