@@ -57,6 +57,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.lm import lm_scores
+
+    return lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.records import token_records
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_token_records": op8_token_records,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that one step holds; batches are cut into such steps, at document ends only.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 6 << 20
 
 
 def steps(ids: pa.Array, texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
