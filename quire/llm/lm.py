@@ -189,8 +189,8 @@ def build_vocabulary(texts: DataFrame, folder: str, parts: int) -> tuple[Vocabul
             shared.write_arrays(f"{folder}/vocabulary-{p:05d}.bin", {"hash": h, "count": n, "sum": np.cumsum(n)})
             yield pa.RecordBatch.from_pylist([{"part": p, "size": len(h), "tokens": int(n.sum()), "n": _of_counts(n)}], schema=pa.schema([("part", pa.int32()), ("size", pa.int64()), ("tokens", pa.int64()), ("n", pa.list_(pa.int64()))]))
 
-    packed = texts.mapInArrow(count, "part int, data binary").repartition(parts, "part")
-    found = packed.mapInArrow(merge, "part int, size long, tokens long, n array<long>").collect()
+    packed = texts.mapInArrow(shared.lean(count), "part int, data binary").repartition(parts, "part")
+    found = packed.mapInArrow(shared.lean(merge), "part int, size long, tokens long, n array<long>").collect()
     sizes, sums, n = [0] * parts, [0] * parts, [0] * 4
     for p, size, tokens, counts in found:
         sizes[p], sums[p] = size, tokens
@@ -291,8 +291,8 @@ def build_levels(texts: DataFrame, folder: str, vocabulary: Vocabulary, shards:
                 edge.append([int(word[i]), int(own.sum()), *(int((own == j).sum()) for j in (1, 2)), int((own > 2).sum())])
             yield pa.RecordBatch.from_pylist([{"shard": k, "n2": _of_counts(c2), "n3": _of_counts(c3), "edge": edge}], schema=pa.schema([("shard", pa.int32()), ("n2", pa.list_(pa.int64())), ("n3", pa.list_(pa.int64())), ("edge", pa.list_(pa.list_(pa.int64())))]))
 
-    packed = texts.mapInArrow(count, "shard int, data binary").repartition(shards, "shard")
-    return packed.mapInArrow(merge, "shard int, n2 array<long>, n3 array<long>, edge array<array<long>>").collect()
+    packed = texts.mapInArrow(shared.lean(count), "shard int, data binary").repartition(shards, "shard")
+    return packed.mapInArrow(shared.lean(merge), "shard int, n2 array<long>, n3 array<long>, edge array<array<long>>").collect()
 
 
 def _kinds(count: np.ndarray, start: np.ndarray, d: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +336,7 @@ def write_probabilities(spark, folder: str, found: list, d2: list[float], d3: li
 
     if jobs:
         rows = spark.createDataFrame(spark.sparkContext.parallelize([(k, [list(e) for e in edge]) for k, edge in jobs], len(jobs)), "shard int, edge array<array<long>>")
-        rows.mapInArrow(run, "shard int").collect()
+        rows.mapInArrow(shared.lean(run), "shard int").collect()
         for k, _ in jobs:
             shared.drop(spark, f"{folder}/counts-{k:05d}.bin")
 
@@ -422,6 +422,7 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     spark = docs.sparkSession
+    shared.bound_batches(spark)
     folder = shared.new_folder(spark, "lm")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(text_col).cast("string").alias("x"))
@@ -453,4 +454,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(shared.lean(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -109,8 +109,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     schema=kind,
                 )
 
+    shared.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("x"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return rows.mapInArrow(shared.lean(run), "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -139,7 +140,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
                     good.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return wide.mapInArrow(run, "a long, b long").distinct()
+    return wide.mapInArrow(shared.lean(run), "a long, b long").distinct()
 
 
 def _open_links(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -199,7 +200,7 @@ def _open_links(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, tex
         if rest is not None and rest.num_rows:
             yield compare(rest)
 
-    found = laid.mapInArrow(run, "a long, b long")
+    found = laid.mapInArrow(shared.lean(run), "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

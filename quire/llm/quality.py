@@ -183,6 +183,7 @@ class Model:
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with the statistics of the text. Clashing columns give way."""
+    shared.bound_batches(docs.sparkSession)
     kept = [c for c in shared.keep_columns(docs, COUNTS + EXTRA) if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
 
@@ -198,7 +199,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield from own.combine_chunks().to_batches()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
-    return rows.mapInArrow(run, ", ".join([*fields, STATS_SCHEMA]))
+    return rows.mapInArrow(shared.lean(run), ", ".join([*fields, STATS_SCHEMA]))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -226,7 +227,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__q")).where("__q in (0, 1)").distinct()
     joined = stats.join(known, stats[id_col] == known["__id"]).select("__q", *names)
-    found = joined.mapInArrow(scored, "q int, bin int").groupBy("q", "bin").count().collect()
+    found = joined.mapInArrow(shared.lean(scored), "q int, bin int").groupBy("q", "bin").count().collect()
     per = np.zeros((2, BINS))
     for q, b, c in found:
         per[q, b] = c
@@ -252,7 +253,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     kind = stats.schema[id_col].dataType.simpleString()
     fields = f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double"
-    return stats.select(id_col, *COUNTS, *EXTRA).mapInArrow(judge, fields)
+    return stats.select(id_col, *COUNTS, *EXTRA).mapInArrow(shared.lean(judge), fields)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,4 +276,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 yield batch.slice(done, len(part)).filter(pa.array(kept))
                 done += len(part)
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(shared.lean(judge), docs.schema)

@@ -188,6 +188,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "
     place in the input, so a hot id is spread over ranges. Only the list of files comes back.
     """
     spark = docs.sparkSession
+    shared.bound_batches(spark)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("x"))
     rows = rows.select("i", "x", F.xxhash64("x").alias("h"), F.monotonically_increasing_id().alias("m"))
@@ -215,7 +216,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "
             index.done()
             yield pa.RecordBatch.from_pylist([{"part": part, "records": records, "tokens": tokens}], schema=pa.schema([("part", pa.int32()), ("records", pa.int64()), ("tokens", pa.int64())]))
 
-    return sorted(tuple(r) for r in rows.mapInArrow(write, "part int, records long, tokens long").collect())
+    return sorted(tuple(r) for r in rows.mapInArrow(shared.lean(write), "part int, records long, tokens long").collect())
 
 
 def read_records(spark: SparkSession, folder: str, files: list[tuple[int, int, int]], batch: int = 1000) -> DataFrame:
@@ -243,7 +244,7 @@ def read_records(spark: SparkSession, folder: str, files: list[tuple[int, int, i
                     start += int(n.sum())
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begin), pa.array(n), pa.array(crc, pa.int64())], schema=kind)
 
-    return jobs.mapInArrow(read, schema)
+    return jobs.mapInArrow(shared.lean(read), schema)
 
 
 def token_records(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:

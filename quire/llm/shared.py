@@ -7,6 +7,8 @@ executors see. Only where that setting is absent (tests, a laptop) a temporary f
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import json
 import os
 import tempfile
@@ -15,11 +17,13 @@ from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Broadcast bound: a side is broadcast only when its counted rows times their width stay below it.
 BROADCAST_BYTES = 8 << 20
+BATCH_ROWS = 1500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,6 +84,30 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def lean(run):
+    """``run`` for mapInArrow; at its end the worker gives freed memory back, as it lives on idle."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a libc without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to workers in batches of at most ``BATCH_ROWS`` rows, unless the session says otherwise.
+
+    Spark's default of 10,000 rows of long texts is held twice in the JVM and once in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keep_columns(df: DataFrame, taken: list[str]) -> list[str]:
     """Columns of ``df`` that do not clash (case-insensitively) with those an operator adds."""
     low = {x.lower() for x in taken}

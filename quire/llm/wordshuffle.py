@@ -75,6 +75,7 @@ def pretokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, li
 def build_dictionary(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", parts: int | None = None) -> tuple[str, int]:
     """Encode each distinct word of all texts once; the dictionary's folder and its number of parts."""
     spark = docs.sparkSession
+    shared.bound_batches(spark)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = shared.new_folder(spark, "words")
 
@@ -114,8 +115,8 @@ def build_dictionary(docs: DataFrame, vocabulary: str, pattern: str, text_col: s
             shared.write_arrays(f"{folder}/{p:05d}.bin", {"hash": h, "end": np.cumsum(length).astype(np.int64), "ids": np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))})
             yield pa.RecordBatch.from_pylist([{"part": p, "words": len(distinct)}], schema=pa.schema([("part", pa.int32()), ("words", pa.int64())]))
 
-    rows = docs.select(F.col(text_col).cast("string").alias("x")).mapInArrow(words, "part int, word string")
-    rows.repartition(n, "part").mapInArrow(encode, "part int, words long").agg(F.sum("words")).collect()
+    rows = docs.select(F.col(text_col).cast("string").alias("x")).mapInArrow(shared.lean(words), "part int, word string")
+    rows.repartition(n, "part").mapInArrow(shared.lean(encode), "part int, words long").agg(F.sum("words")).collect()
     return folder, n
 
 
@@ -171,7 +172,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, finish: Cal
                 yield from own.combine_chunks().to_batches()
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + [schema])
-    return rows.mapInArrow(encode, fields)
+    return rows.mapInArrow(shared.lean(encode), fields)
 
 
 def decode(ids: np.ndarray, vocabulary: str) -> bytes:
