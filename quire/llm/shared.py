@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Broadcast bound: a side is broadcast only when its counted rows times their width stay below it.
 BROADCAST_BYTES = 8 << 20
-BATCH_ROWS = 1500
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
