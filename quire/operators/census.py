@@ -37,3 +37,24 @@ def twin_census(docs: DataFrame, type_col: str = "lang", id_col: str = "doc_id")
     out = shorts.join(distinct, type_col, "left")
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("distinct_contents", "twins", "adjacent_twins")]
     return out.select(type_col, "short_units", *zero).withColumn("bar_ok", F.col("twins") * 100 <= F.col("distinct_contents") * TWIN_BAR_PERCENT)
+
+
+def uniqueness(docs: DataFrame, type_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """Per type, over instances and over distinct contents: all, repeated in a document, in the corpus."""
+    per_doc = lines(docs, id_col, type_col).groupBy(type_col, "content", id_col).agg(F.count("*").alias("n"))
+    per = per_doc.groupBy(type_col, "content").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("in_file"))
+    return per.groupBy(type_col).agg(
+        F.sum("total").alias("instances"),
+        F.sum("in_file").alias("in_file_instances"),
+        F.sum(F.when(F.col("total") > 1, F.col("total")).otherwise(0)).alias("corpus_instances"),
+        F.count("*").alias("contents"),
+        F.count_if(F.col("most") > 1).alias("in_file_contents"),
+        F.count_if(F.col("total") > 1).alias("corpus_contents"),
+    )
+
+
+def corpus_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Contents that occur twice or more: digest, instances, documents, first document."""
+    per_doc = lines(docs, id_col).groupBy("content", id_col).agg(F.count("*").alias("n"))
+    per = per_doc.groupBy("content").agg(F.sum("n").alias("instances"), F.count("*").alias("documents"), F.min(id_col).alias("first_doc"))
+    return per.where("instances > 1").select(F.sha2("content", 256).alias("unit"), "instances", "documents", "first_doc")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quire.operators import census
+from quire.functions import kernels, scalars
+from quire.operators import census, correspond, history, sampling, verdicts
 from quire.session import table
+from quire.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +50,379 @@ FROM s LEFT JOIN d USING (lang)
 """)
 def twin_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.twin_census(table(spark, sf_dir, "documents"))
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query(LINES + """,
+per_doc AS (SELECT lang, content, doc_id, count(*) AS n FROM units GROUP BY ALL),
+per AS (SELECT lang, content, sum(n) AS total, max(n) AS most, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS in_file FROM per_doc GROUP BY ALL)
+SELECT lang, sum(total)::BIGINT AS instances, sum(in_file)::BIGINT AS in_file_instances, sum(CASE WHEN total > 1 THEN total ELSE 0 END)::BIGINT AS corpus_instances,
+       count(*) AS contents, count(*) FILTER (WHERE most > 1) AS in_file_contents, count(*) FILTER (WHERE total > 1) AS corpus_contents
+FROM per GROUP BY lang""")
+def uniqueness_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return census.uniqueness(docs_of(spark, sf_dir))
+
+
+@query(LINES + """
+SELECT sha256(content) AS unit, count(*) AS instances, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM units GROUP BY content HAVING count(*) > 1""")
+def corpus_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return census.corpus_duplicates(docs_of(spark, sf_dir))
+
+
+@query("""
+WITH r AS (SELECT lang, doc_id, sha256('prereg2:' || lang || ':' || doc_id::VARCHAR) AS rank FROM documents)
+SELECT lang, doc_id, rank, row_number() OVER (PARTITION BY lang ORDER BY rank, doc_id)::INTEGER AS place FROM r QUALIFY place <= 25""")
+def hash_ranked_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.hash_ranked(docs_of(spark, sf_dir).select("lang", "doc_id"), "lang", "doc_id", 25)
+
+
+@query("""
+WITH tagged AS (
+  SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(text, '(?i)all rights reserved|licensed') THEN 'anywhere' END, CASE WHEN contains(text, '|') THEN 'yaml-fence' END,
+                                     CASE WHEN NOT regexp_matches(text, '(?i)this file is auto-generated') THEN 'none' END], lambda x: x IS NOT NULL)) AS rule FROM documents),
+r AS (SELECT rule, doc_id, sha256('prereg2:' || rule || ':' || doc_id::VARCHAR) AS rank FROM tagged)
+SELECT rule, doc_id, rank, row_number() OVER (PARTITION BY rule ORDER BY rank, doc_id)::INTEGER AS place FROM r QUALIFY place <= 10""")
+def rule_tagged_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules stand for corpora's selection rules; a document carries every rule that selects it."""
+    text = F.col("text")
+    rules = F.array_compact(F.array(F.when(text.rlike("(?i)all rights reserved|licensed"), "anywhere"), F.when(text.contains("|"), "yaml-fence"), F.when(~text.rlike("(?i)this file is auto-generated"), "none")))
+    tagged = docs_of(spark, sf_dir).select("doc_id", F.explode(rules).alias("rule")).select("rule", "doc_id")
+    return sampling.hash_ranked(tagged, "rule", "doc_id", 10)
+
+
+@query("""
+SELECT doc_id, regexp_matches(text, '(?i)THIS FILE IS AUTO-GENERATED') AS banner, regexp_matches(text, '(?im)^auto_generated:[ \\t]*true[ \\t]*$') AS anywhere,
+       starts_with(text, '---' || chr(10)) AND regexp_matches(regexp_extract(text, '(?s)^---\\n.*?\\n---[ \\t]*(\\n|$)'), '(?im)^auto_generated:[ \\t]*true[ \\t]*$') AS fence
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'auto_generated: true' || chr(10) || '---' || chr(10) || text WHEN 1 THEN text || chr(10) || 'auto_generated: true'
+      WHEN 2 THEN '<!-- This file is auto-generated -->' || chr(10) || text ELSE text END AS text FROM documents)""")
+def generated_file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of four documents get a generator's mark in a place that depends on the id."""
+    kind, text, key = F.col("doc_id") % 4, F.col("text"), r"(?im)^auto_generated:[ \t]*true[ \t]*$"
+    marked = F.when(kind == 0, F.concat(F.lit("---\nauto_generated: true\n---\n"), text)).when(kind == 1, F.concat(text, F.lit("\nauto_generated: true"))).when(kind == 2, F.concat(F.lit("<!-- This file is auto-generated -->\n"), text)).otherwise(text)
+    rows = docs_of(spark, sf_dir).select("doc_id", marked.alias("text"))
+    end = scalars.frontmatter_end(F.col("text"))
+    fence = (end >= 0) & F.substr("text", F.lit(1), F.greatest(end, F.lit(0))).rlike(key)
+    return rows.select("doc_id", F.col("text").rlike("(?i)THIS FILE IS AUTO-GENERATED").alias("banner"), F.col("text").rlike(key).alias("anywhere"), fence.alias("fence"))
+
+
+@query("SELECT lang, count(*) AS files, count(*) AS valid, sum(length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))))::BIGINT AS chars FROM documents GROUP BY lang")
+def utf8_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes are validated, decoded, and line ends made universal."""
+    raw = docs_of(spark, sf_dir).select("lang", F.encode("text", "UTF-8").alias("content"))
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
+    return raw.select("lang", text.alias("t")).groupBy("lang").agg(F.count("*").alias("files"), F.count("t").alias("valid"), F.sum(F.length("t")).alias("chars"))
+
+
+@query("""
+SELECT lang || '|' || sha256(text) || '|DELETED' AS packet_key, min(doc_id) AS representative, count(*) AS members FROM documents GROUP BY 1""")
+def representative_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat_ws("|", "lang", F.sha2("text", 256), F.coalesce(F.lit(None).cast("string"), F.lit("DELETED")))
+    return verdicts.representatives(docs_of(spark, sf_dir), key, "doc_id")
+
+
+@query("SELECT doc_id, substr(sha256(unhex('00ff10') || encode(':' || doc_id::VARCHAR || '|' || source)), 1, 16) AS packet FROM documents")
+def packet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select("doc_id", verdicts.packet_name("00ff10", F.concat_ws("|", F.col("doc_id").cast("string"), "source")).alias("packet"))
+
+
+@query("""
+WITH r AS (SELECT *, role <> 'system' AS good FROM conversations)
+SELECT conv_id, min(turn) FILTER (WHERE good) AS turn, arg_min(sha256(text), turn) FILTER (WHERE good) AS answer, count(*) FILTER (WHERE good) - 1 AS later, count(*) FILTER (WHERE NOT good) AS malformed
+FROM r GROUP BY conv_id HAVING count(*) FILTER (WHERE good) > 0""")
+def first_line_binds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation stands for a packet, its turns for answer lines; system turns are malformed."""
+    out = sampling.first_wins(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") != "system")
+    return out.select("conv_id", F.col("first.turn").alias("turn"), F.sha2("first.text", 256).alias("answer"), "later", "malformed")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL OR toxic IS NULL THEN 'UNPLACEABLE' WHEN toxic = 1 THEN 'A' WHEN quality = 1 THEN 'B' ELSE 'C' END AS tier FROM labels")
+def tier_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", verdicts.tier(F.col("quality"), F.col("toxic")).alias("tier"))
+
+
+@query("""
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'untiered' WHEN toxic = 1 THEN 'A' WHEN quality = 1 THEN 'B' ELSE 'C' END AS got
+FROM documents d LEFT JOIN (SELECT * FROM labels WHERE quality IS NOT NULL) l ON d.doc_id = l.doc_id
+WHERE l.doc_id IS NULL OR NOT (toxic = 0 AND quality = 1)""")
+def void_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a plant expected in tier B; untiered and wrongly tiered ones are reported."""
+    tiers = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", verdicts.tier(F.col("quality"), F.col("toxic")).alias("tier"))
+    got = F.coalesce("tier", F.lit("untiered"))
+    return docs_of(spark, sf_dir).select("doc_id").join(tiers, "doc_id", "left").where(got != "B").select("doc_id", got.alias("got"))
+
+
+#: Graded units: a document's line, with an oracle answer read off its label.
+GRADED = LINES + """,
+graded AS (SELECT u.lang, u.source, u.doc_id, sha256(content) AS unit, CASE WHEN l.doc_id IS NULL THEN 'UNKNOWN' WHEN toxic = 1 THEN 'UNDECIDABLE-SPLIT' ELSE 'SURVIVED' END AS oracle,
+           coalesce(toxic = 0, false) AS decided, coalesce(quality = 0 AND toxic = 0, false) AS wrong FROM units u LEFT JOIN labels l ON u.doc_id = l.doc_id),
+status AS (SELECT lang, unit, CASE max(CASE WHEN decided THEN 2 WHEN oracle LIKE 'UNDECIDABLE-%' THEN 1 ELSE 0 END) WHEN 2 THEN 'decided' WHEN 1 THEN 'undecidable' ELSE 'UNKNOWN' END AS status FROM graded GROUP BY ALL)
+"""
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("known"))
+    units = census.lines(docs_of(spark, sf_dir), "doc_id", "lang", "source").join(labels, "doc_id", "left")
+    oracle = F.when(F.col("known").isNull(), "UNKNOWN").when(F.col("toxic") == 1, "UNDECIDABLE-SPLIT").otherwise("SURVIVED")
+    no = F.lit(False)
+    wrong = F.coalesce((F.col("quality") == 0) & (F.col("toxic") == 0), no)
+    return units.select("lang", "source", "doc_id", F.sha2("content", 256).alias("unit"), oracle.alias("oracle"), F.coalesce(F.col("toxic") == 0, no).alias("decided"), wrong.alias("wrong"))
+
+
+@query(GRADED + """,
+d AS (SELECT lang, count(*) FILTER (WHERE status = 'decided') AS decided, count(*) FILTER (WHERE status = 'undecidable') AS undecidable, count(*) AS units FROM status GROUP BY lang),
+i AS (SELECT lang, count(*) AS instances, count(*) FILTER (WHERE decided) AS decided_instances FROM graded GROUP BY lang)
+SELECT * FROM d JOIN i USING (lang)""")
+def distinct_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graded(spark, sf_dir)
+    return verdicts.counts(rows, verdicts.distinct_status(rows, "lang", "unit"), "lang")
+
+
+#: The whole grid of arms and mechanisms, a declared gap for one cell, and verdict precedence.
+CELLS = GRADED + """,
+scores AS (SELECT s.lang, count(*) FILTER (WHERE status = 'decided') AS decided, count(*) FILTER (WHERE status = 'undecidable') AS undecidable FROM status s GROUP BY s.lang),
+hits AS (SELECT lang, count(DISTINCT unit) FILTER (WHERE wrong) AS wrong FROM graded GROUP BY lang),
+grid AS (SELECT arm, mech FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('xx')) a(arm), (VALUES ('Q'), ('R')) m(mech)),
+joined AS (SELECT arm, mech, coalesce(decided, 0) AS decided, coalesce(undecidable, 0) AS undecidable, coalesce(wrong, 0) AS wrong FROM grid LEFT JOIN scores ON arm = scores.lang LEFT JOIN hits ON arm = hits.lang),
+cells AS (SELECT arm, mech, decided, undecidable, wrong,
+  CASE WHEN arm = 'es' AND mech = 'R' THEN 'NO VERDICT' WHEN mech = 'Q' AND wrong > 0 THEN 'FOUND' WHEN decided < 300 OR undecidable * 100 > 10 * (decided + undecidable) THEN 'NO VERDICT' ELSE 'NOT FOUND' END AS verdict,
+  CASE WHEN arm = 'es' AND mech = 'R' THEN 'declared gap' WHEN mech = 'Q' AND wrong > 0 THEN 'found' WHEN decided < 300 THEN 'floor' WHEN undecidable * 100 > 10 * (decided + undecidable) THEN 'undecidable' ELSE 'bound' END AS reason FROM joined)
+"""
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graded(spark, sf_dir)
+    status = verdicts.distinct_status(rows, "lang", "unit")
+    scores = status.groupBy("lang").agg(F.count_if(F.col("status") == "decided").alias("decided"), F.count_if(F.col("status") == "undecidable").alias("undecidable"))
+    hits = rows.groupBy("lang").agg(F.count_distinct(F.when(F.col("wrong"), F.col("unit"))).alias("wrong"))
+    arms = [F.explode(F.array(*map(F.lit, ("en", "de", "fr", "es", "xx")))).alias("arm"), F.array(F.lit("Q"), F.lit("R")).alias("m")]
+    grid = spark.range(1).select(*arms).select("arm", F.explode("m").alias("mech"))
+    joined = grid.join(scores, grid["arm"] == scores["lang"], "left").drop("lang").join(hits, grid["arm"] == hits["lang"], "left").drop("lang").na.fill(0)
+    verdict, reason = verdicts.floor_verdict(F.col("decided"), F.col("undecidable"), F.lit(True))
+    gap, found = (F.col("arm") == "es") & (F.col("mech") == "R"), (F.col("mech") == "Q") & (F.col("wrong") > 0)
+    return joined.withColumn("verdict", F.when(gap, "NO VERDICT").when(found, "FOUND").otherwise(verdict)).withColumn("reason", F.when(gap, "declared gap").when(found, "found").otherwise(reason))
+
+
+@query(CELLS + "SELECT * FROM cells")
+def verdict_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir)
+
+
+@query(CELLS + """
+SELECT CASE WHEN bool_or(verdict = 'FOUND') THEN 'FOUND' WHEN bool_and(verdict = 'NOT FOUND') THEN 'NOT FOUND' WHEN bool_and(verdict = 'NOT FOUND') FILTER (WHERE mech = 'Q') THEN 'NOT FOUND (Q only)' ELSE 'INCONCLUSIVE' END AS overall, count(*) AS n_cells FROM cells""")
+def overall_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.overall(cells(spark, sf_dir))
+
+
+@query("""
+SELECT conv_id, turn AS before, lead(turn, 2) OVER w AS after, sha256(text) = lead(sha256(text), 2) OVER w AS same FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY after IS NOT NULL""")
+def version_gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.version_gap_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 2)
+
+
+@query("""
+SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS modified, count(*) FILTER (WHERE event_type = 'view') AS added, count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) AS other,
+       count(*) FILTER (WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) AS unselected FROM events GROUP BY user_id""")
+def change_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types stand for change statuses; customers of one segment for the selected paths."""
+    chosen = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("selected"))
+    kind = F.col("event_type")
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind == "click").alias("modified"), F.count_if(kind == "view").alias("added"), F.count_if(~kind.isin("click", "view")).alias("other"), F.count("*").alias("n"))
+    return per.join(chosen, "user_id", "left").select("user_id", "modified", "added", "other", F.when(F.col("selected"), 0).otherwise(F.col("n")).alias("unselected"))
+
+
+@query(LINES + """, a AS (SELECT content FROM units WHERE source = 'src0'), b AS (SELECT content FROM units WHERE source = 'src1')
+SELECT content, count(*) AS n, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY content UNION ALL SELECT content, count(*), 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY content""")
+def bag_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = census.lines(docs_of(spark, sf_dir), "source")
+    return history.bag_difference(units.where("source = 'src0'").select("content"), units.where("source = 'src1'").select("content"))
+
+
+@query(LINES + """, a AS (SELECT DISTINCT content FROM units WHERE lang = 'en'), b AS (SELECT DISTINCT content FROM units WHERE lang <> 'en')
+SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS both_sides, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_left,
+       (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_right, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS either""")
+def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both, either, and each side alone, from one pass: a content knows the sides it occurs on."""
+    units = census.lines(docs_of(spark, sf_dir), "lang").groupBy("content").agg(F.bool_or(F.col("lang") == "en").alias("l"), F.bool_or(F.col("lang") != "en").alias("r"))
+    l, r = F.col("l"), F.col("r")
+    return units.agg(F.count_if(l & r).alias("both_sides"), F.count_if(l & ~r).alias("only_left"), F.count_if(r & ~l).alias("only_right"), F.count("*").alias("either"))
+
+
+@query("SELECT count(*) AS packets, count(*) FILTER (WHERE quality = toxic) AS agree, count(*) FILTER (WHERE quality <> toxic) AS differ FROM labels")
+def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two label columns stand for two runs over the same packets."""
+    labels = table(spark, sf_dir, "labels")
+    same = F.col("a") == F.col("b")
+    joined = labels.select("doc_id", F.col("quality").alias("a")).join(labels.select("doc_id", F.col("toxic").alias("b")), "doc_id")
+    return joined.agg(F.count("*").alias("packets"), F.count_if(same).alias("agree"), F.count_if(~same).alias("differ"))
+
+
+@query("SELECT CASE WHEN toxic = 1 THEN 'A' WHEN quality = 1 THEN 'B' ELSE 'C' END AS tier, quality AS q1, toxic AS q2, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL")
+def answer_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
+    return rows.groupBy(verdicts.tier(F.col("quality"), F.col("toxic")).alias("tier"), F.col("quality").alias("q1"), F.col("toxic").alias("q2")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, source, count(*) AS instances, count(DISTINCT sha256(text)) AS keys FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())")
+def exported_key_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct keys at every grain from one reduction by key, so the text is hashed and shuffled once."""
+    per = docs_of(spark, sf_dir).groupBy("lang", "source", F.sha2("text", 256).alias("k")).agg(F.count("*").alias("n"))
+    return per.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.sum("n").alias("instances"), F.count_distinct("k").alias("keys"))
+
+
+@query("""
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])>', 1)) AS tag, generate_subscripts(regexp_extract_all(html, '<(h[1-6])>', 1), 1) - 1 AS ord FROM pages)
+SELECT page_id, tag, ord::INTEGER AS ord, lead(ord) OVER (PARTITION BY page_id ORDER BY ord)::INTEGER AS next_heading FROM t""")
+def heading_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(h[1-6])>"), 1)).alias("ord", "tag"))
+    return tags.select("page_id", "tag", "ord", F.lead("ord").over(Window.partitionBy("page_id").orderBy("ord")).alias("next_heading"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, p_name, CASE WHEN regexp_matches(p_name, '[*_`\\[<&]') OR slug = '' THEN NULL ELSE slug END AS slug
+           FROM (SELECT *, replace(regexp_replace(lower(p_name), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS slug FROM part))
+SELECT p_partkey, slug, (row_number() OVER (PARTITION BY slug ORDER BY p_partkey) - 1)::INTEGER AS repeat FROM s WHERE slug IS NOT NULL""")
+def duplicate_slug_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", scalars.ascii_slug(F.col("p_name")).alias("slug")).where("slug is not null")
+    return rows.withColumn("repeat", F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey")) - 1)
+
+
+@query("""
+WITH s AS (SELECT p_partkey, p_brand, p_type, replace(regexp_replace(lower(p_name), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS slug FROM part),
+n AS (SELECT p_brand AS doc, slug, count(*) AS n FROM s GROUP BY ALL)
+SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'name' WHEN n = 1 THEN 'slug' ELSE '#REF!(' || s.slug || ')' END AS target FROM s JOIN n ON p_brand = doc AND s.slug = n.slug""")
+def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand is a document, a part a heading; every tenth part also has a marker of its own."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", scalars.ascii_slug(F.col("p_name")).alias("slug"))
+    n = F.count("*").over(Window.partitionBy("p_brand", "slug"))
+    target = F.when(F.col("p_partkey") % 10 == 0, "name").when(n == 1, "slug").otherwise(F.concat(F.lit("#REF!("), F.col("slug"), F.lit(")")))
+    return rows.select("p_partkey", target.alias("target"))
+
+
+@query("""
+WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM pages), titles AS (SELECT DISTINCT regexp_extract(html, '<title>([^ <]*)', 1) AS word FROM pages)
+SELECT page_id, target, count(*) AS n FROM links WHERE target NOT IN (SELECT word FROM titles) GROUP BY ALL""")
+def dangling_link_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose target is no page's first title word."""
+    pages = table(spark, sf_dir, "pages")
+    titles = pages.select(F.regexp_extract("html", "<title>([^ <]*)", 1).alias("target")).distinct()
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("n"))
+    return links.join(titles, "target", "left_anti").select("page_id", "target", "n")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN length('---' || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10)) ELSE -1 END::INTEGER AS frontmatter_end FROM documents")
+def frontmatter_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document gets a frontmatter that names its source."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\nsource: "), "source", F.lit("\n---\n"), "text")).otherwise(F.col("text"))
+    return docs_of(spark, sf_dir).select("doc_id", scalars.frontmatter_end(text).alias("frontmatter_end"))
+
+
+@query("SELECT doc_id, doc_id % 8 IN (0, 1, 2, 3) AS conflict FROM documents")
+def conflict_marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line is appended by id: four forms that conflict, three that look alike, and none."""
+    marks = ["\n<<<<<<< ours", "\n>>>>>>>> x", "\n|||||||", "\n=======", "\n======= x", "\n <<<<<<< x", "\n<<<<<< x", ""]
+    text = F.concat("text", F.element_at(F.array(*map(F.lit, marks)), (F.col("doc_id") % 8 + 1).cast("int")))
+    return docs_of(spark, sf_dir).select("doc_id", scalars.has_conflict(text).alias("conflict"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<!-- ?([a-z]+) ?([0-9]*) ?-->', 1)) AS marker FROM pages")
+def marker_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<!-- ?([a-z]+) ?([0-9]*) ?-->"), 1)).alias("marker"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: translate(x, chr(32) || chr(9), '') <> ''))::INTEGER AS lines, 0 AS uncovered, 0 AS overlapping FROM documents WHERE lines > 0")
+def partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks (halves of a document's lines) must cover every non-blank line once, in order."""
+    n = F.size(F.filter(F.split("text", "\r\n|\r|\n"), lambda x: ~census.is_blank(x)))
+    docs = docs_of(spark, sf_dir).select("doc_id", n.alias("lines")).where("lines > 0")
+    half = F.floor(F.col("lines") / 2).cast("int")
+    blocks = docs.select("doc_id", "lines", F.explode(F.array(F.struct(F.lit(1).alias("start"), half.alias("end")), F.struct((half + 1).alias("start"), F.col("lines").alias("end")))).alias("b")).select("doc_id", "lines", "b.*")
+    w = Window.partitionBy("doc_id").orderBy("start", "end")
+    over = blocks.withColumn("late", F.coalesce(F.lag("end").over(w), F.lit(0)) >= F.col("start"))
+    return over.groupBy("doc_id", "lines").agg((F.col("lines") - F.sum(F.greatest(F.col("end") - F.col("start") + 1, F.lit(0)))).cast("int").alias("uncovered"), F.count_if(F.col("late") & (F.col("end") >= F.col("start"))).cast("int").alias("overlapping"))
+
+
+#: Sentences of a conversation's turns: a turn is a snapshot, a sentence a leaf.
+LEAVES = """
+WITH leaves AS (SELECT conv_id, turn, unnest(list_filter(string_split(text, '. '), lambda x: x <> '')) AS leaf, generate_subscripts(list_filter(string_split(text, '. '), lambda x: x <> ''), 1) - 1 AS pos FROM conversations)
+"""
+
+
+def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.filter(F.split("text", r"\. "), lambda x: x != "")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("pos", "leaf"))
+
+
+@query(LEAVES + """, once AS (SELECT conv_id, turn, leaf, min(pos) AS pos FROM leaves GROUP BY ALL HAVING count(*) = 1)
+SELECT a.conv_id, a.turn, a.leaf, a.pos::INTEGER AS base_pos, b.pos::INTEGER AS cur_pos FROM once a JOIN once b ON a.conv_id = b.conv_id AND a.turn + 2 = b.turn AND a.leaf = b.leaf""")
+def unique_key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = leaves(spark, sf_dir)
+    return history.unique_key_pairs(rows, rows.withColumn("turn", F.col("turn") - 2), ["conv_id", "turn"], "leaf")
+
+
+@query(LEAVES + """SELECT conv_id, turn, pos::INTEGER AS pos, coalesce(last_value(chain IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)::INTEGER AS gap_before,
+  first_value(chain IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)::INTEGER AS gap_after
+FROM (SELECT *, CASE WHEN length(leaf) % 3 = 0 THEN pos END AS chain FROM leaves) WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)""")
+def gap_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves whose length divides by three stand for a given chain."""
+    rows = leaves(spark, sf_dir).withColumn("chain", F.when(F.length("leaf") % 3 == 0, F.col("pos")))
+    return history.gap_bounds(rows, ["conv_id", "turn"], "pos", F.col("chain")).select("conv_id", "turn", "pos", "gap_before", "gap_after")
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(text)) AS key FROM documents")
+def nfc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select("doc_id", F.sha2(kernels.nfc("text"), 256).alias("key"))
+
+
+@query("SELECT item_id, len(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = 'er'))::INTEGER AS n, list_sum(list_transform(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = 'er'), lambda i: i - 1))::BIGINT AS places FROM benchmark")
+def overlapping_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = scalars.occurrences(F.col("text"), F.lit("er"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", hits.alias("h"))
+    return rows.select("item_id", F.size("h").alias("n"), F.when(F.size("h") > 0, F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x)).alias("places"))
+
+
+@query("SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text))::VARCHAR) || unhex('00') || encode(text)) AS oid FROM documents")
+def git_blob_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select("doc_id", scalars.blob_id(F.col("text")).alias("oid"))
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'docs/' || page_id || '.md' WHEN 1 THEN 'img/' || page_id || '.md' WHEN 2 THEN page_id || '.md' ELSE NULL END AS path FROM pages")
+def path_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = ["./%d.md", "../img/./%d.md", "../%d.md", "../../%d.md", "/%d.md"]
+    kind = (F.col("page_id") % 5 + 1).cast("int")
+    raw = F.replace(F.element_at(F.array(*map(F.lit, forms)), kind), F.lit("%d"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.resolve_path(F.lit("docs"), raw).alias("path"))
+
+
+@query("SELECT doc_id, sha256('::error file=' || source || '%2C' || lang || '::' || replace(replace(replace(text, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')) AS line FROM documents")
+def annotation_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = scalars.annotation_property(F.concat_ws(",", "source", "lang"))
+    return docs_of(spark, sf_dir).select("doc_id", F.sha2(F.concat(F.lit("::error file="), place, F.lit("::"), scalars.annotation_data(F.col("text"))), 256).alias("line"))
+
+
+@query("""SELECT doc_id, '{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}' AS line FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").select("doc_id", F.to_json(F.struct("doc_id", "quality", "toxic")).alias("line"))
+
+
+@query("SELECT count(*) AS checked, count(*) FILTER (WHERE contains(text, '<')) AS refused, 0::BIGINT AS unread, CASE WHEN count(*) FILTER (WHERE contains(text, '<')) > 0 THEN 1 ELSE 0 END AS exit_code FROM documents")
+def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with an angle bracket stand for refused files; refused beats unread beats passed."""
+    bad = F.count_if(F.contains("text", F.lit("<")))
+    per = docs_of(spark, sf_dir).agg(F.count("text").alias("checked"), bad.alias("refused"), F.count_if(F.col("text").isNull()).alias("unread"))
+    return per.withColumn("exit_code", F.when(F.col("refused") > 0, 1).when(F.col("unread") > 0, 2).otherwise(0))
+
+
+@query("""SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows; the streaming form is in quire.streaming.windows."""
+    return windows.tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", "event_type").select("event_type", "start", "n")
+
+
+@query()
+def correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of a turn against those of the turn two later: pair kinds and judgements."""
+    rows = leaves(spark, sf_dir).withColumn("ktype", F.lit("p"))
+    return correspond.correspondence(rows, rows.withColumn("turn", F.col("turn") - 2), ["conv_id", "turn"])
