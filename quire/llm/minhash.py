@@ -39,6 +39,7 @@ PERMS, ROWS, BANDS = 120, 6, 40
 BLOCK = (256, 4096)
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+ADD = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1024
 
@@ -78,6 +79,7 @@ def minmax(s: np.ndarray) -> np.ndarray:
     least, most = np.full(PERMS, 0xFFFFFFFF, np.uint32), np.zeros(PERMS, np.uint32)
     for k in range(0, len(low), CHUNK):
         v = low[k : k + CHUNK, None] * MULTIPLY
+        v += ADD
         least, most = np.minimum(least, v.min(0)), np.maximum(most, v.max(0))
     return np.concatenate([least, most])
 

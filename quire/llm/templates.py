@@ -7,8 +7,8 @@ window with fewer than ``LITERAL`` plain words says too little as a template and
 words instead. Items are also posted by their words, so a copy that lost its capitals, or is all
 capitals, meets them too.
 
-Slot consistency: along one alignment (document position minus item position) every slot value of
-the item must stand for one value in the document, always the same; an alignment that breaks this is
+Slot consistency: along one alignment (document position minus item position), over the covered words
+and a window's reach beyond, every slot value of the item must stand for one value in the document; an alignment that breaks this is
 dropped. A document is contaminated by an item if the consistent alignments together cover at least
 ``COVER`` of the item's windows.
 
@@ -65,19 +65,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col(item_col).alias("item_id"), plain_words(F.col(item_text_col)).alias("words"))
     items = items.groupBy("words").agg(F.min("item_id").alias("item_id"))
     posted = windows(items, "item_id").withColumn("n_windows", F.size("w") - WINDOW + 1)
-    cut = lambda c: F.slice(F.col(c), F.col("i") + 1, WINDOW)
-    posted = shared.cut(posted.select("item_id", F.explode(F.array_distinct(F.array("key", "literal"))).alias("key"), F.col("i").alias("j"), "n_windows", cut("w").alias("iw")), "item-windows")
+    posted = shared.cut(posted.select("item_id", F.explode(F.array_distinct(F.array("key", "literal"))).alias("key"), F.col("i").alias("j"), "n_windows"), "item-windows")
     keys = shared.cut(posted.select("key").distinct(), "item-keys")
     own = docs.select(F.col(id_col).alias("doc_id"), plain_words(F.col(text_col)).alias("words"))
     found = windows(own, "doc_id").join(shared.broadcast_if_small(keys, 16), "key", "left_semi")
-    found = shared.cut(found.select("doc_id", "key", "i", cut("w").alias("dw"), cut("t").alias("dt")), "doc-windows")
+    found = shared.cut(found.select("doc_id", "key", "i"), "doc-windows")
     hits = found.join(posted, "key").withColumn("shift", F.col("i") - F.col("j")).drop("key")
     # pairs that cover enough even before slots are looked at
     enough = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("j").alias("m")).where(F.col("m") >= COVER * F.col("n_windows")).select(F.col("doc_id").alias("d"), F.col("item_id").alias("e"))
     hits = shared.cut(hits.join(enough, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("e")), "left_semi"), "hits")
     group = ["doc_id", "item_id", "shift"]
-    slots = hits.select(*group, "j", F.posexplode(F.arrays_zip("dt", "iw", "dw")).alias("k", "s")).where(F.col("s.dt").isin(*SLOTS))
-    slots = slots.select(*group, (F.col("j") + F.col("k")).alias("at"), F.col("s.dt").alias("kind"), F.col("s.iw").alias("iv"), F.col("s.dw").alias("dv")).distinct()
+    # the aligned passages of these few documents, a window's reach beyond what was covered
+    runs = hits.groupBy(*group).agg((F.min("j") - WINDOW + 1).alias("first"), (F.max("j") + 2 * (WINDOW - 1)).alias("last"))
+    ids = shared.cut(hits.select(F.col("doc_id").alias("d")).distinct(), "hit-docs")
+    whole = own.join(shared.broadcast_if_small(ids, 16), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    both = lambda rows, key, w, t: rows.select(F.col(key).alias(f"_{key}"), F.split(F.lower("words"), " ").alias(w), F.split(template(F.col("words")), " ").alias(t))
+    runs = runs.join(both(whole, "doc_id", "dw", "dt"), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    runs = runs.join(both(items, "item_id", "iw", "it"), F.col("item_id").eqNullSafe(F.col("_item_id")))
+    runs = runs.select(*group, "dw", "dt", "iw", "it", F.explode(F.sequence(F.greatest("first", F.lit(0), -F.col("shift")), F.greatest(F.lit(0), F.least("last", F.size("iw") - 1, F.size("dw") - F.col("shift") - 1)))).alias("at"))
+    at = lambda c, k: F.get(F.col(c), k)
+    here, there = F.col("at"), F.col("at") + F.col("shift")
+    slots = runs.where(at("it", here).isin(*SLOTS) & (at("it", here) == at("dt", there)))
+    slots = slots.select(*group, "at", at("it", here).alias("kind"), at("iw", here).alias("iv"), at("dw", there).alias("dv")).distinct()
     per_value = slots.groupBy(*group, "kind", "iv").agg((F.min("dv") != F.max("dv")).alias("bad"), F.count_if(F.col("iv") != F.col("dv")).alias("c"))
     per_shift = per_value.groupBy(*group).agg(F.max("bad").alias("bad"), F.sum("c").alias("c")).toDF("d", "e", "s", "bad", "c")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("e")) & (F.col("shift") == F.col("s"))
