@@ -79,7 +79,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     runs = hits.groupBy(*group).agg((F.min("j") - WINDOW + 1).alias("first"), (F.max("j") + 2 * (WINDOW - 1)).alias("last"))
     ids = shared.cut(hits.select(F.col("doc_id").alias("d")).distinct(), "hit-docs")
     few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).join(shared.broadcast_if_small(ids, 16), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    whole = few.select("doc_id", plain_words(F.col("__text")).alias("words"))
+    whole = shared.cut(few, "hit-texts").select("doc_id", plain_words(F.col("__text")).alias("words"))
     both = lambda rows, key, w, t: rows.select(F.col(key).alias(f"_{key}"), F.split(F.lower("words"), " ").alias(w), F.split(template(F.col("words")), " ").alias(t))
     runs = runs.join(both(whole, "doc_id", "dw", "dt"), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
     runs = runs.join(both(items, "item_id", "iw", "it"), F.col("item_id").eqNullSafe(F.col("_item_id")))
