@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import kernels, scalars
-from quire.operators import census, correspond, history, sampling, verdicts
+from quire.operators import census, correspond, documents, history, sampling, verdicts
 from quire.session import table
 from quire.streaming import windows
 
@@ -426,3 +426,67 @@ def correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of a turn against those of the turn two later: pair kinds and judgements."""
     rows = leaves(spark, sf_dir).withColumn("ktype", F.lit("p"))
     return correspond.correspondence(rows, rows.withColumn("turn", F.col("turn") - 2), ["conv_id", "turn"])
+
+
+#: A document around each whole text: heading, marker, the text as an opaque fence, a list and a link.
+SHAPE = r"""
+WITH d AS (SELECT doc_id, lang, regexp_split_to_array(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, lang, list_transform(ls, lambda x: '| ' || x) AS ls, len(ls) AS n FROM d)
+"""
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.regexp_replace(F.regexp_replace("text", r"\r\n|\r", "\n"), r"(?m)^", "| ")
+    head = F.concat(F.lit("# Text "), F.col("doc_id"), F.lit("\n\n<!-- #body -->\n~~~ "), "lang", F.lit("\n"))
+    tail = F.concat(F.lit("\n~~~\n- a\n- [b](#body)\n\n> [c](#text-"), F.col("doc_id"), F.lit(")\n"))
+    return docs_of(spark, sf_dir).where("text is not null").select("doc_id", "lang", F.concat(head, body, tail).alias("text"))
+
+
+@query(SHAPE + """
+SELECT doc_id, true AS accept, 5 AS n_blocks, 6 AS n_leaves, 3 AS body_at, (n + 5)::INT AS body_end,
+       sha256(array_to_string(ls, chr(10)) || chr(10)) AS body, 'text-' || doc_id AS slug
+FROM p
+""")
+def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, leaves and names of documents that hold each whole text in a fence."""
+    doc = shaped(spark, sf_dir).select("doc_id", documents.parse("text").alias("doc"))
+    blocks, leaves = F.col("doc.blocks"), F.col("doc.leaves")
+    body = F.try_element_at(F.col("doc.names"), F.lit("body"))["targets"][0]["node"][0]
+    return doc.select(
+        "doc_id", "doc.accept", F.size(blocks).alias("n_blocks"), F.size(leaves).alias("n_leaves"), (body + 1).alias("body_at"), F.get(blocks, body)["end"].alias("body_end"),
+        F.sha2(F.filter(leaves, lambda x: x["type"] == "code_block")[0]["content"], 256).alias("body"), F.map_keys("doc.slugs")[0].alias("slug"),
+    )
+
+
+@query(SHAPE + """,
+b AS (SELECT doc_id, lang, array_to_string(ls, chr(10)) AS body FROM p),
+t AS (SELECT doc_id, '# Text ' || doc_id || chr(10) || chr(10) || '<!-- #body -->' || chr(10) AS head, '~~~ ' || lang || chr(10) || body || chr(10) || '~~~' || chr(10) AS fence,
+             '- a' || chr(10) || '- [b](#body)' || chr(10) AS list, chr(10) || '> [c](#text-' || doc_id || ')' || chr(10) AS quote FROM b)
+SELECT doc_id, sha256(head || 'New *text*.' || chr(10) || list || quote) AS replaced, sha256(head || fence || list || chr(10) || 'Added.' || chr(10) || quote) AS inserted,
+       sha256(head || fence || list) AS deleted, 'dangling-link' AS broken FROM t
+""")
+def edit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block replaced, one inserted, one deleted, and a deletion that a link forbids."""
+    at = lambda k: F.array(F.lit(k))
+    text = F.col("text")
+    done = shaped(spark, sf_dir).select(
+        "doc_id",
+        documents.replace_block(text, at(2), F.lit("New *text*.\n")).alias("r"),
+        documents.insert_block(text, F.lit("Added."), after=at(3)).alias("i"),
+        documents.delete_block(text, at(4)).alias("d"),
+        documents.delete_block(text, at(0)).alias("b"),
+    )
+    return done.select("doc_id", F.sha2("r.text", 256).alias("replaced"), F.sha2("i.text", 256).alias("inserted"), F.sha2("d.text", 256).alias("deleted"), F.col("b.refusal").alias("broken"))
+
+
+@query()
+def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as it stands: accepted or refused, and with which code."""
+    doc = docs_of(spark, sf_dir).select("doc_id", documents.parse("text").alias("doc"))
+    return doc.select("doc_id", "doc.accept", "doc.refusal", F.size("doc.blocks").alias("n_blocks"), F.size("doc.leaves").alias("n_leaves"))
+
+
+@query("SELECT p_partkey, CASE WHEN slug = '' THEN NULL ELSE slug END AS slug FROM (SELECT p_partkey, replace(regexp_replace(lower(p_name || ' #' || p_partkey || '!'), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS slug FROM part)")
+def slug_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heading = F.concat("p_name", F.lit(" #"), F.col("p_partkey"), F.lit("!"))
+    return table(spark, sf_dir, "part").select("p_partkey", documents.text_slug(heading).alias("slug"))
