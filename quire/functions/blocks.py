@@ -66,6 +66,7 @@ class Block:
     level: int = 0
     rows: list[list[str]] = field(default_factory=list)
     marker: tuple[str, str | None] | None = None
+    pieces: list[tuple[int, int, int, int]] = field(default_factory=list)  # line, first character, spaces before it, length
     mark: tuple = ()  # list: kind; item: content column; fence: character, length, indent
 
     @property
@@ -172,10 +173,12 @@ class Reader:
     def __init__(self, first: int) -> None:
         self.root = Block("document", first, first)
         self.open, self.leaf = [self.root], None
+        self.prefix: dict[int, tuple[int, bool, bool]] = {}  # line: end of the container prefix, first of an item, lazy
 
     def feed(self, n: int, text: str) -> None:
         line = Cursor(text)
         kept, whole = self._match(line, n)
+        self.prefix[n] = (line.pos, False, not whole)
         if whole and self.leaf is not None and self._into_leaf(line, n):
             return
         lazy_ok = self.leaf is not None and self.leaf.type == "paragraph"
@@ -218,6 +221,7 @@ class Reader:
             else:
                 line.eat(min(width, indent))
                 leaf.content += line.rest() + "\n"
+                leaf.pieces.append((n, line.pos, line.left, len(line.rest()) + 1))
             return True
         if leaf.type == "table":
             if line.blank():
@@ -257,10 +261,12 @@ class Reader:
                 line.skip(1)
                 line.eat(1)
                 kept = self._push(Block("block_quote", n, n), kept)
+                self.prefix[n] = (line.pos, self.prefix[n][1], False)
             elif found := HEADING.match(bare):
                 text = bare[found.end() :].strip(" \t")
+                pieces = [(n, len(line.text) - len(bare[found.end() :].lstrip(" \t")), 0, len(text))]
                 text = re.sub(r"(?:^|[ \t]+)#+\Z", "", text).rstrip(" \t")
-                return self._leaf(Block("heading", n, n, content=text, level=len(found[1])), kept)
+                return self._leaf(Block("heading", n, n, content=text, level=len(found[1]), pieces=pieces), kept)
             elif found := FENCE.match(bare):
                 run = found[1] or found[2]
                 self._leaf(Block("code_block", n, n, mark=(run[0], len(run), width)), kept, stays=True)
@@ -278,6 +284,7 @@ class Reader:
                 return self._leaf(Block("thematic_break", n, n), kept)
             elif (found := ITEM.match(bare)) and self._may_begin(found, bare, joins):
                 kept = self._item(line, found, n, kept, width)
+                self.prefix[n] = (line.pos, True, False)
             elif joins and self._table(line, bare, n):
                 return None
             else:
@@ -329,13 +336,20 @@ class Reader:
 
     def _paragraph(self, line: Cursor, n: int, kept: int) -> None:
         node = Block("paragraph", n, n)
-        node.lines.append((line.rest(), False))
+        self._line(node, line, n, False)
         self._leaf(node, kept, stays=True)
 
     def _text(self, line: Cursor, n: int, lazy: bool) -> None:
-        self.leaf.lines.append((line.rest(), lazy))
+        self._line(self.leaf, line, n, lazy)
         self._reach(self.leaf, n)
 
+    @staticmethod
+    def _line(paragraph: Block, line: Cursor, n: int, lazy: bool) -> None:
+        text = line.rest()
+        paragraph.lines.append((text, lazy))
+        bare = text.lstrip(" \t")
+        paragraph.pieces.append((n, len(line.text) - len(bare), 0, len(bare) + 1))
+
     def _table(self, line: Cursor, bare: str, n: int) -> bool:
         """Turn the open paragraph into a table if this line delimits one under its last line."""
         paragraph, delimiter = self.leaf, line.rest()
@@ -377,8 +391,8 @@ class Reader:
                 raise Refused("link-reference-definition")
 
 
-def read(text: str) -> tuple[Block, tuple[int, int] | None, list[tuple[str, str]]]:
-    """(root, frontmatter lines, lines) of a text whose U+0000 are replaced first."""
+def read(text: str) -> tuple[Block, tuple[int, int] | None, list[tuple[str, str]], dict[int, tuple[int, bool, bool]]]:
+    """(root, frontmatter lines, lines, prefixes) of a text whose U+0000 are replaced first."""
     text = text.replace("\0", "\ufffd")
     lines = lines_of(text)
     for line, _ in lines:
@@ -395,4 +409,4 @@ def read(text: str) -> tuple[Block, tuple[int, int] | None, list[tuple[str, str]
             node.content = node.content.removesuffix("\n")
         while node.start < node.end < len(lines) and not lines[node.end][0].strip(" \t"):
             node.end -= 1
-    return reader.root, front, lines
+    return reader.root, front, lines, reader.prefix

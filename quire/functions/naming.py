@@ -48,6 +48,7 @@ class Document:
     nodes: list[Block] = field(default_factory=list)
     names: dict[str, tuple[bool, list[Block]]] = field(default_factory=dict)
     declared: dict[str, Block] = field(default_factory=dict)
+    prefix: dict[int, tuple[int, bool, bool]] = field(default_factory=dict)
     slugs: dict[str, list[Block]] = field(default_factory=lambda: defaultdict(list))
 
     def resolve(self, name: str) -> str | tuple[bool, list[Block]]:
@@ -135,8 +136,8 @@ def _dangling(doc: Document) -> bool:
 
 def document(text: str, check_links: bool = True) -> Document:
     """Read a document or raise Refused; annotation bodies are read with ``check_links`` off."""
-    root, front, lines = read(text)
-    doc = Document(text, root, front, lines, list(root.walk()))
+    root, front, lines, prefix = read(text)
+    doc = Document(text, root, front, lines, list(root.walk()), prefix=prefix)
     faults: set[str] = set()
     for container in [root, *doc.nodes]:
         if container.type in ("document", "block_quote", "list_item"):

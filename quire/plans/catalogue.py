@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import kernels, scalars
-from quire.operators import census, correspond, documents, history, sampling, verdicts
+from quire.operators import census, correspond, documents, history, resolution, sampling, verdicts
 from quire.session import table
 from quire.streaming import windows
 
@@ -490,3 +490,36 @@ def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slug_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.concat("p_name", F.lit(" #"), F.col("p_partkey"), F.lit("!"))
     return table(spark, sf_dir, "part").select("p_partkey", documents.text_slug(heading).alias("slug"))
+
+
+def repository(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A repository of one document, one comment and one referrer for each document: the comment was made on an old text.
+
+    By the document's number the current text is the same, has a new word in another block, lost the block, or is gone.
+    """
+    nl, kind = F.lit("\n"), F.col("doc_id") % 4
+    keep = F.concat(F.lit("Source "), "source", F.lit(" holds number "), F.col("doc_id"), F.lit(" of the corpus."))
+    old = F.concat(F.lit("# Notes\n\n<!-- #kept -->\n"), keep, F.lit("\n\nWritten in "), "lang", nl)
+    new = F.when(kind == 0, old).when(kind == 1, F.concat(old, F.lit("\n***\n"))).when(kind == 2, F.concat(F.lit("# Notes\n\nWritten in "), "lang", nl))
+    d = docs_of(spark, sf_dir).where("lang is not null and source is not null").select("doc_id", keep.alias("keep"), old.alias("old"), new.alias("new"))
+    oid, name = scalars.blob_id(F.col("old")), F.concat(F.lit("d"), F.col("doc_id"), F.lit(".md"))
+    head = F.concat(F.lit('---\nanchor: {"base": "'), oid, F.lit('", "leaf": {"type": "p", "nth": 0, "text": "'), "keep", F.lit('"}, "span": "'), F.col("doc_id"))
+    before, after = F.substr(F.split_part(F.col("keep"), F.concat(F.lit("number "), F.col("doc_id")), F.lit(1)), F.lit(1)), F.lit(" of the corpus.")
+    context = F.right(F.concat(before, F.lit("number ")), F.lit(32))
+    record = F.concat(head, F.lit('", "prefix": "'), context, F.lit('", "suffix": "'), after, F.lit('"}\nkind: comment\nstatus: open\n---\nwhy\n'))
+    use = F.concat(F.lit('---\npins:\n  - {"path": "'), name, F.lit('", "blob": "'), oid, F.lit('"}\n---\n[t]('), name, F.lit('#kept "transclude")\n'))
+    paths = [name, F.concat(name, F.lit(".notes/01J9Z3M8Q4X7V2K6T0R5N1B801.md")), F.concat(F.lit("use"), F.col("doc_id"), F.lit(".md"))]
+    files = F.array(*(F.struct(p.alias("path"), t.alias("text")) for p, t in zip(paths, (F.col("new"), record, use), strict=True)))
+    return d.select(F.inline(files)), d.select(oid.alias("oid"), F.col("old").alias("text"))
+
+
+@query("SELECT 'd' || doc_id || '.md.notes/01J9Z3M8Q4X7V2K6T0R5N1B801.md' AS path, CASE doc_id % 4 WHEN 2 THEN 'ORPHANED' WHEN 3 THEN 'REFUSED(document-missing)' ELSE 'RESOLVED' END AS status, CASE WHEN doc_id % 4 < 2 THEN length('Source ' || source || ' holds number ') END::INT AS first FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def record_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comment of each document against its current text."""
+    return resolution.records(*repository(spark, sf_dir)).select("path", "status", "first")
+
+
+@query("SELECT 'use' || doc_id || '.md' AS referrer, 0 AS ord, CASE doc_id % 4 WHEN 2 THEN '#REF!(kept)' WHEN 3 THEN 'REFUSED(document-missing)' ELSE 'RESOLVED' END AS status, CASE WHEN doc_id % 4 < 2 THEN 'd' || doc_id || '.md' END AS document FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def transclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pinned use of each document's named block."""
+    return resolution.transclusions(*repository(spark, sf_dir)).where("ord >= 0").select("referrer", "ord", "status", "document")
