@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CONFLICT = r"(?m)^(?:[<>|]{7,}(?: .*)?|={7,})\r?$"
+CONFLICT = r"(?m)^(?:(?:<{7,}|>{7,}|\|{7,})(?: .*)?|={7,})\r?$"
 
 
 def blob_id(text: Column) -> Column:

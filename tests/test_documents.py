@@ -152,3 +152,29 @@ def test_refused_edits():
     assert refused(edits.delete_block, "- a\n\nx\n\n- b\n", [1]) == "changes-another-block"
     assert refused(edits.replace_block, marked, [2], "two\n===") == "setext-heading"
     assert edits.insert_block("<!-- #r:begin -->\na\n<!-- #r:end -->\n", "b", after=[1]) == "<!-- #r:begin -->\na\n\nb\n\n<!-- #r:end -->\n"
+
+
+def test_columns(spark):
+    from quire.operators import documents
+
+    rows = [(1, "# Head\n\n<!-- #m -->\n- a\n\n<!-- #r:begin -->\nx\n<!-- #r:end -->\n"), (2, "<div>"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("doc", documents.parse("text")).cache()
+    assert {r.id: (r.accept, r.refusal) for r in df.select("id", "doc.*").collect()} == {1: (True, None), 2: (False, "raw-html"), 3: (None, None), 4: (True, None)}
+    flat = documents.leaves(df.select("id", "doc")).where("id = 1").orderBy("ord").collect()
+    assert [(r.ord, r.node, r.ktype) for r in flat] == [(0, [0], "h1"), (1, [1], None), (2, [2, 0, 0], "p"), (3, [3], None), (4, [4], "p"), (5, [5], None)]
+    names = spark.createDataFrame([("m",), ("r",), ("head",), ("none",)], "name string")
+    got = {r.name: r.t for r in df.where("id = 1").crossJoin(names).select("name", documents.resolve(df.doc, names.name).alias("t")).collect()}
+    assert got == {"m": '{"node":[2],"type":"list"}', "r": '{"region":[{"node":[4],"type":"paragraph"}]}', "head": '{"node":[0],"type":"heading"}', "none": "#REF!(none)"}
+    documents.register(spark)
+    assert spark.sql("select document_slug('A B') s, parse_document('x').accept a").first() == ("a-b", True)
+    node = documents.F.array(documents.F.lit(0))
+    assert [tuple(r.e) if r.e.text or r.e.refusal else None for r in df.orderBy("id").select(documents.delete_block(df.text, node).alias("e")).collect()][1:] == [(None, "raw-html"), None, (None, "no-such-block")]
+
+
+def test_command(spark, tmp_path, capsys):
+    from quire.__main__ import main
+
+    (tmp_path / "a.md").write_text("# A\n")
+    (tmp_path / "b.md").write_text("<div>\n")
+    assert main(["check", str(tmp_path)]) == 1
+    assert capsys.readouterr().out.splitlines()[-2:] == ["b.md: is outside the profile [raw-html]", "2 file(s) checked, 1 refused"]
