@@ -151,6 +151,49 @@ def test_line_dedup(spark, odd, empty):
     assert lines.strip_boilerplate(empty).count() == 0
 
 
+def brute_strip(rows):
+    """{doc_id: (text, n_removed)}: a line's spread is its sites, at most the sites of single-site groups of copies and the other groups."""
+    cut = lambda t: [x.strip(" \t\r") for x in (t or "").split("\n")]
+    places, sites, witness = defaultdict(set), defaultdict(set), defaultdict(set)
+    group, held = {}, {}
+    for t in {t for _, t, _ in rows}:
+        w = (t or "").lower().split()
+        held[t] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+        near = {group[x] for x in group if 10 * len(held[x] & held[t]) >= 8 * len(held[x] | held[t])}
+        group = {x: t if g in near else g for x, g in group.items()} | {t: t}
+    for _, t, s in rows:
+        places[group[t]] |= {s} - {None}
+    for _, t, s in rows:
+        at = places[group[t]]
+        for x in cut(t):
+            sites[x] |= {s} - {None}
+            witness[x] |= {("t", group[t])} if len(at) > 1 else at
+    bad = {x for x in sites if len(x) >= 10 and min(len(sites[x]), len(witness[x])) >= 10}
+    out = {}
+    for i, t, _ in rows:
+        left = [x for x in (t or "").split("\n") if x.strip(" \t\r") not in bad]
+        out[i] = (t, 0) if not any(x.strip(" \t\r") for x in left) else ("\n".join(left), len(cut(t)) - len(left))
+    return out
+
+
+def test_line_dedup_short_pages_and_copies(spark):
+    foot, copy = "All rights reserved here.", "a page that was copied as a whole\nall of its lines are its own"
+    rows = [(k, f"own {k}\n{foot}", f"s{k % 12}") for k in range(24)]  # over half of each text is the foot
+    rows += [(100 + k, copy, f"s{k}") for k in range(15)]
+    rows += [(200 + k, f"text {k} of one site\nall of its lines are its own", "s0") for k in range(12)]
+    words = [f"w{k}" for k in range(300)]
+    edited = [" ".join(words[:150]) + "\n" + " ".join([*words[150 : 160 + 9 * k], f"edit{k}", *words[161 + 9 * k :]]) for k in range(14)]
+    rows += [(300 + k, t, f"s{k}") for k, t in enumerate(edited)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip_boilerplate(frame).collect()}
+    assert got[305] == (edited[5], 0)
+    assert got == brute_strip(rows) and got[3] == ("own 3", 1) and got[100] == (copy, 0)
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip_boilerplate(frame).collect()}
+    assert got == brute_strip(rows) and sum(n for _, n in got.values()) > 0
+
+
 def brute_near(pairs, percent):
     sets = {}
     for i, t in pairs:
