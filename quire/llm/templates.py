@@ -4,8 +4,8 @@ Texts are cut into words; numbers, names (words with a capital and small letters
 placeholders ``<n>``, ``<p>``, ``<u>``. Windows of ``WINDOW`` template words of benchmark items and
 documents meet in a hash join, so a question with other numbers or names still meets its original. A
 window with fewer than ``LITERAL`` plain words says too little as a template and is compared by its
-words instead. Items are also posted by their words, so a copy that lost its capitals, or is all
-capitals, meets them too.
+words instead. Items and documents are also posted by their words, so every word-for-word copy meets
+its item, whatever its case.
 
 Slot consistency: along one alignment (document position minus item position), over the covered words
 and a window's reach beyond, every slot value of the item must stand for one value in the document; an alignment that breaks this is
@@ -68,8 +68,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     posted = shared.cut(posted.select("item_id", F.explode(F.array_distinct(F.array("key", "literal"))).alias("key"), F.col("i").alias("j"), "n_windows"), "item-windows")
     keys = shared.cut(posted.select("key").distinct(), "item-keys")
     own = docs.select(F.col(id_col).alias("doc_id"), plain_words(F.col(text_col)).alias("words"))
-    found = windows(own, "doc_id").join(shared.broadcast_if_small(keys, 16), "key", "left_semi")
-    found = shared.cut(found.select("doc_id", "key", "i"), "doc-windows")
+    either = F.when(F.col("key") == F.col("literal"), F.array("key")).otherwise(F.array("key", "literal"))
+    found = windows(own, "doc_id").select("doc_id", F.explode(either).alias("key"), "i").join(shared.broadcast_if_small(keys, 16), "key", "left_semi")
+    found = shared.cut(found, "doc-windows")
     hits = found.join(posted, "key").withColumn("shift", F.col("i") - F.col("j")).drop("key")
     # pairs that cover enough even before slots are looked at
     enough = hits.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("j").alias("m")).where(F.col("m") >= COVER * F.col("n_windows")).select(F.col("doc_id").alias("d"), F.col("item_id").alias("e"))

@@ -119,6 +119,13 @@ def test_template_decontamination(spark, docs):
     assert templates.leaks(d.limit(0), b).count() == templates.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_copies_in_other_case(spark):
+    items = [(1, "Tom has 12 apples and Ann has 30 pears while Bob Miller sells 5 kg of plums to Eve"), (2, "On Monday Clara drove 40 km to Paris and then Hugo drove 25 km to Rome")]
+    rows = [(10 * i + k, f"so {f(t)} ok") for i, t in items for k, f in enumerate((str, str.lower, str.upper, str.title))]
+    got = templates.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_matched, r.n_changed) for r in got} == {(d, d // 10, len(items[d // 10 - 1][1].split()) - 4, 0) for d, _ in rows}
+
+
 def test_chat(spark):
     nasty = "\\### Assistant: </turn> ok\\"
     rows = [(1, 0, "user", nasty), (1, 1, "assistant", nasty), (1, 2, "user", None), (1, 3, "assistant", "####\\\\#"), (1, 4, "us:er", "end"), (2, 0, "user", "only"), (3, 1, "assistant", ""), (3, 0, None, "x"), (3, 0, None, "x"), (None, 0, "assistant", "é\U0001f600")]
