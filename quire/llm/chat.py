@@ -53,7 +53,8 @@ def examples(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 def read_turns(text: Column) -> Column:
     """The turns (role, text) of a formatted example."""
     pieces = F.filter(F.split(text, END), lambda x: x != "")
-    head = lambda x: F.regexp_extract(x, r"(?s)^### ((?:[^:\\]|\\.)*):\n", 1)
+    # possessive runs: a repeated alternative would take a stack frame for each character of a role
+    head = lambda x: F.regexp_extract(x, r"(?s)^### ([^:\\]*+(?:\\.[^:\\]*+)*+):\n", 1)
     return F.transform(pieces, lambda x: F.struct(unescape(head(x)).alias("role"), unescape(F.substr(x, F.length(head(x)) + 7)).alias("text")))
 
 

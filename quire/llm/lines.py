@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread: lines that stand on many sites are boilerplate and go.
 
-1. Lines (trimmed, ``MIN_CHARS`` or longer) are reduced to 64-bit hashes with their site, once.
+1. Lines (trimmed, of any length but blank ones) are reduced to 64-bit hashes with their site, once.
 2. A line on k sites occurs at least k times, so lines that occur fewer than ``MIN_SITES`` times are
    out by an exact count. For the others a HyperLogLog sketch of sites per line hash is merged by
    aggregation: its size doesn't depend on how often a line occurs.
@@ -19,7 +19,7 @@ bins of a band are compared on their whole sketches, each with the smallest of i
 
 A text that consists of marked and blank lines only has nothing else to keep and is left as it is.
 
-A null text stays null and an empty one empty; blank and short lines stay; a null site counts as
+A null text stays null and an empty one empty; blank lines stay; a null site counts as
 none. Every occurrence of a marked line goes, repeated rows alike. DataFrame expressions only.
 """
 
@@ -32,7 +32,6 @@ from quire.llm import shared
 from quire.llm.components import connected_components
 
 MIN_SITES = 10
-MIN_CHARS = 10
 SKETCH_LG = 12
 SHINGLE, ALIKE = 5, 0.8
 #: Bins of a text's sketch, and bins of a band.
@@ -41,9 +40,9 @@ BAND = max(1.0, 3 * 1.04 / (1 << SKETCH_LG) ** 0.5 * MIN_SITES)
 
 
 def line_key(line: Column) -> Column:
-    """Hash of the trimmed line; null for a short one."""
+    """Hash of the trimmed line; null for a blank one."""
     trimmed = F.btrim(line, F.lit(" \t\r"))
-    return F.when(F.length(trimmed) >= MIN_CHARS, F.xxhash64(trimmed))
+    return F.when(trimmed != "", F.xxhash64(trimmed))
 
 
 def site_lines(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
@@ -56,11 +55,11 @@ def spread_wide(lines: DataFrame, over: str, least: int) -> DataFrame:
     """Hashes (h) of lines with at least ``least`` distinct values of the column ``over``."""
     band = max(1.0, BAND * least / MIN_SITES)
     often = shared.cut(lines.groupBy("h").agg(F.count(over).alias("n")).where(F.col("n") >= least).select("h"), "often")
-    some = lines.join(shared.broadcast_if_small(often, 16), "h", "left_semi").select("h", over)
+    some = lines.join(shared.broadcast_if_small(often), "h", "left_semi").select("h", over)
     spread = some.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg(over, F.lit(SKETCH_LG))).alias("e"))
     spread = shared.cut(spread.where(F.col("e") >= least - band), "spread")
     near = spread.where(F.col("e") <= least + band).select("h")
-    exact = some.join(shared.broadcast_if_small(near, 16), "h", "left_semi").distinct().groupBy("h").agg(F.count(over).alias("n"))
+    exact = some.join(shared.broadcast_if_small(near), "h", "left_semi").distinct().groupBy("h").agg(F.count(over).alias("n"))
     return spread.where(F.col("e") > least + band).select("h").union(exact.where(F.col("n") >= least).select("h"))
 
 
@@ -68,7 +67,7 @@ def copy_groups(docs: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
     """(node, component) of those texts (hashes ``t`` of ``ids``) that have edited copies."""
     text = F.col(text_col)
     rows = docs.select(F.xxhash64(text).alias("t"), F.split(F.lower(F.btrim(text)), r"\s+").alias("w"))
-    rows = rows.join(shared.broadcast_if_small(ids, 16), "t", "left_semi")
+    rows = rows.join(shared.broadcast_if_small(ids), "t", "left_semi")
     rows = rows.select("t", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - SHINGLE))).alias("i"))
     shingle = F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(SHINGLE)])
     bins = rows.select("t", shingle.alias("h")).groupBy("t", F.pmod("h", F.lit(BINS)).cast("int").alias("bin")).agg(F.min("h").alias("least"))
@@ -86,14 +85,14 @@ def copy_groups(docs: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
 def boilerplate(docs: DataFrame, lines: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text") -> DataFrame:
     """Hashes (h) of lines on at least ``min_sites`` distinct sites, a copied text counted once."""
     wide = shared.cut(spread_wide(lines, "site", min_sites), "wide")
-    some = lines.join(shared.broadcast_if_small(wide, 16), "h", "left_semi").where("site is not null")
+    some = lines.join(shared.broadcast_if_small(wide), "h", "left_semi").where("site is not null")
     some = shared.cut(some.distinct(), "wide-lines")
     groups = copy_groups(docs, shared.cut(some.select("t").distinct(), "wide-texts"), text_col)
-    some = some.join(shared.broadcast_if_small(groups, 24), F.col("t") == F.col("node"), "left")
+    some = some.join(shared.broadcast_if_small(groups), F.col("t") == F.col("node"), "left")
     some = shared.cut(some.select("h", "site", F.coalesce("component", "t").alias("c")), "wide-lines")
     copied = some.groupBy("c").agg(F.min("site").alias("x"), F.max("site").alias("y")).where("x <> y").select(F.col("c").alias("d"))
     copied = shared.cut(copied, "copied-texts")
-    some = some.join(shared.broadcast_if_small(copied, 16), F.col("c") == F.col("d"), "left")
+    some = some.join(shared.broadcast_if_small(copied), F.col("c") == F.col("d"), "left")
     witness = F.when(F.col("d").isNull(), F.concat(F.lit("s"), "site")).otherwise(F.concat(F.lit("t"), F.col("c").cast("string")))
     return spread_wide(some.select("h", witness.alias("witness")), "witness", min_sites)
 
@@ -102,10 +101,9 @@ def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str
     """``docs`` with cleaned texts, and n_lines, n_removed (columns of these names give way)."""
     lines = shared.cut(site_lines(docs, text_col, site_col), "site-lines")
     marked = shared.cut(boilerplate(docs, lines, min_sites, text_col), "boilerplate")
-    per_text = lines.join(shared.broadcast_if_small(marked, 16), "h", "left_semi").groupBy("t").agg(F.collect_set("h").alias("hs"))
+    per_text = lines.join(shared.broadcast_if_small(marked), "h", "left_semi").groupBy("t").agg(F.collect_set("h").alias("hs"))
     per_text = shared.cut(per_text.withColumnRenamed("t", "__t"), "marked-texts")
-    size = per_text.agg(F.coalesce(F.sum(F.size("hs") * 8 + 64), F.lit(0))).first()[0]
-    side = F.broadcast(per_text) if size <= shared.BROADCAST_BYTES else per_text
+    side = shared.broadcast_if_small(per_text)
     kept = shared.keep_columns(docs, ["n_lines", "n_removed", "__t", "__all", "__new"])
     text = F.col(f"`{text_col}`")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept]).join(side, F.xxhash64(text) == F.col("__t"), "left")

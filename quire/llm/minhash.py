@@ -14,10 +14,11 @@ How links are found without pairing whole groups:
    only, never pairs. The components are then made final.
 So every pair that shares a bucket is either confirmed, refuted, or already in one component.
 
-A document without words or text has no shingles, is linked with nothing and kept. Rows with one id
-are one document. A null id is never a component's name: such a row joins the component of rows with
-its shingle set; if no row of the set has an id, its component is null and it is kept. An empty table
-gives an empty result. Columns other than id and text are not read.
+A document without words or text has no shingles, is linked with nothing and kept. Ids must be
+integers. Rows with one id are one document. Every row with a null id is a document of its own: it gets
+a number above all ids and takes part like any other, but is shown with a null id, and a component of
+such rows only has a null name; one of its rows is kept. An empty table gives an empty result. Columns
+other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ from quire.llm.words import coded, hashes, split, starts, steps
 
 SHINGLE = 5
 PERMS, ROWS, BANDS = 120, 6, 40
-#: Least and most rows in a block.
+#: Least and most rows in a block, and most shingles on average.
 BLOCK = (256, 4096)
+BLOCK_SHINGLES = 1_000_000
+#: Members that meet one copy of their representative's text.
+MEMBERS = 500
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
@@ -119,44 +123,54 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
-    Only texts that occur in a pair travel. The ids are broadcast if their count shows them small.
+    Only texts that occur in a pair travel: a member's once a pair, a representative's (b) once for
+    ``MEMBERS`` members. The members of a representative of many are spread over that many groups.
     """
     ids = shared.cut(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "pair-ids")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("x"))
-    texts = texts.join(shared.broadcast_if_small(ids, 16), "i", "left_semi")
-    left = texts.select(F.col("i").alias("a"), F.col("x").alias("xa"))
-    right = texts.select(F.col("i").alias("b"), F.col("x").alias("xb"))
-    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb")
+    texts = texts.join(shared.broadcast_if_small(ids), "i", "left_semi")
+    groups = shared.cut(pairs.groupBy(F.col("b").alias("c")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "pair-groups")
+    left = pairs.join(shared.broadcast_if_small(groups), F.col("b") == F.col("c")).select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
+    left = left.join(texts, F.col("a") == F.col("i")).select("b", "part", "a", "x")
+    right = groups.join(texts, F.col("c") == F.col("i")).select(F.col("c").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "x")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = left.union(right).repartition(n, "b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, reps = None, []
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                xa, xb = shingle_sets(part.column(2)), part.column(3)
-                d = xb.dictionary_encode()
-                sets_b = shingle_sets(d.dictionary)
-                good = []
-                for s, j in zip(xa, np.asarray(d.indices).tolist(), strict=True):
-                    t = sets_b[j]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    good.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return wide.mapInArrow(shared.lean(run), "a long, b long").distinct()
+            at = 0
+            for members, texts in steps(batch.column(2), batch.column(3)):
+                bs, parts = (batch.column(k).slice(at, len(members)).to_pylist() for k in (0, 1))
+                at += len(members)
+                found = []
+                for b, part, a, s in zip(bs, parts, members.to_pylist(), shingle_sets(texts), strict=True):
+                    if (b, part) != group:
+                        group, reps = (b, part), []
+                    if a is None:
+                        reps.append(s)
+                        continue
+                    both = [len(np.intersect1d(s, t, assume_unique=True)) for t in reps]
+                    if any(m and 100 * m >= percent * (len(s) + len(t) - m) for m, t in zip(both, reps, strict=True)):
+                        found.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(shared.lean(run), "a long, b long").distinct()
 
 
 def _open_links(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links inside buckets between components, on full sets, block against block.
 
-    ``rows`` (key, cid, comp, n): a bucket of n classes is cut into blocks of at most ``BLOCK[1]``,
-    and every two blocks meet in one group of rows, so no task holds more than two blocks at a time.
+    ``rows`` (key, cid, comp, n, held): a bucket of n classes with ``held`` shingles is cut into blocks
+    of at most ``BLOCK[1]`` classes and about ``BLOCK_SHINGLES`` shingles, and every two blocks meet in
+    one group of rows, so no task holds more than two blocks at a time.
     Only links leave a task.
     """
     block = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.ceil(F.col("n") / 16)))
-    laid = rows.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    laid = rows.withColumn("nb", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     ids = rows.select(F.col("cid").alias("i")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("x"))
-    texts = texts.join(shared.broadcast_if_small(ids, 16), "i", "left_semi").dropDuplicates(["i", "x"])
+    texts = texts.join(shared.broadcast_if_small(ids), "i", "left_semi").dropDuplicates(["i", "x"])
     laid = laid.select("key", "cid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     laid = laid.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "comp")
     laid = laid.join(texts, laid["cid"] == texts["i"]).drop("i")
@@ -206,22 +220,46 @@ def _open_links(rows: DataFrame, docs: DataFrame, percent: int, id_col: str, tex
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
+    """``docs`` with a number above all ids wherever the id is null, and the greatest id (None: no null ids)."""
+    shared.integer_id(docs, id_col)
+    own = F.col(f"`{id_col}`").cast("long")
+    nulls, top = docs.agg(F.count_if(own.isNull()), F.coalesce(F.max(own), F.lit(-1))).first()
+    if not nulls:
+        return docs, None
+    if top >= (1 << 63) - (1 << 53):
+        raise ValueError("the greatest id leaves no numbers for rows with a null id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    number = (F.monotonically_increasing_id() + (top + 1)).alias(id_col)
+    # written, as a number must not change when a task is run again
+    lone = shared.cut(docs.where(own.isNull()).select(*[number if c == id_col else F.col(f"`{c}`") for c in docs.columns]), "no-ids")
+    return docs.where(own.isNotNull()).select(*columns).withColumn(id_col, own).union(lone), top
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (see the module's text)."""
+    docs, top = numbered(docs, id_col)
+    out = _near_duplicates(docs, percent, id_col, text_col)
+    if top is None:
+        return out
+    shown = lambda c: F.when(F.col(c) <= top, F.col(c)).alias(c)
+    return out.select(shown("doc_id"), "n_shingles", shown("component_id"), "kept")
+
+
+def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     sets = shared.cut(signatures(docs, id_col, text_col), "signatures")
     full = sets.where("n > 0")
     classes = shared.cut(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("cid")), "classes")
-    ids = classes.where("cid is not null").select(F.col("cid").alias("doc_id"))
-    reps = full.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "bands")
-    rows = reps.select("cid", F.explode("bands").alias("key"))
-    groups = rows.groupBy("key").agg(F.min("cid").alias("rep"), F.max("cid").alias("last"), F.count("*").alias("n")).where("rep <> last").drop("last")
-    buckets = shared.cut(rows.join(groups, "key").where("cid <> rep"), "buckets")
+    reps = full.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), F.col("n").alias("size"), "bands")
+    rows = reps.select("cid", "size", F.explode("bands").alias("key"))
+    groups = rows.groupBy("key").agg(F.min("cid").alias("rep"), F.max("cid").alias("last"), F.count("*").alias("n"), F.sum("size").alias("held")).where("rep <> last").drop("last")
+    buckets = shared.cut(rows.join(groups, "key").where("cid <> rep").drop("size"), "buckets")
     stars = shared.cut(buckets.select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = shared.cut(confirm(stars, docs, percent, id_col, text_col), "links")
     labels = shared.cut(connected_components(links, "a", "b"), "labels")
     named = buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_rows = shared.cut(named.join(open_keys, "key", "left_semi").select("key", "cid", "comp", "n"), "open")
+    open_rows = shared.cut(named.join(open_keys, "key", "left_semi").select("key", "cid", "comp", "n", "held"), "open")
     added = shared.cut(_open_links(open_rows, docs, percent, id_col, text_col), "links")
     if added.limit(1).count():
         labels = shared.cut(connected_components(links.union(added), "a", "b"), "labels")
@@ -233,6 +271,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, with all columns as they were."""
-    gone = shared.cut(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    side = shared.broadcast_if_small(gone, 16)
-    return docs.join(side, F.col(f"`{id_col}`").cast("long") == side["__gone"], "left_anti")
+    schema = docs.schema
+    docs, top = numbered(docs, id_col)
+    gone = shared.cut(_near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    side = shared.broadcast_if_small(gone)
+    own = F.col(f"`{id_col}`")
+    stay = docs.join(side, own.cast("long") == side["__gone"], "left_anti")
+    if top is None:
+        return stay
+    return stay.select(*[F.when(own <= top, own).cast(f.dataType).alias(f.name) if f.name == id_col else F.col(f"`{f.name}`") for f in schema])

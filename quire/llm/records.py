@@ -7,7 +7,8 @@ an id takes (one byte, 2 or 4), six zero bytes, then the token ids. Beside ``par
 ``part-N.idx``: the offset of every record, so a shuffled reader seeks straight to any of them.
 
 Null texts are empty (a document of the end id alone), a null document id sorts first and is read
-back as null, repeated rows give repeated records, an empty table gives no file.
+back as null, repeated rows give repeated records, an empty table gives no file. Ids must be integers:
+the order of the file is theirs. A text may hold the string of an added token, which is then one id.
 """
 
 from __future__ import annotations
@@ -34,16 +35,17 @@ from quire.llm.wordshuffle import pretokens
 END_ID = 2
 #: Distinct words whose ids a worker keeps between steps.
 CACHE = 700_000
-#: Bytes of text that a worker encodes at a time.
+#: Bytes of text that a worker encodes at a time, and bytes of text in a file.
 STEP = 8 << 20
+PART_BYTES = 256 << 20
 
 
 class WordEncoder:
     """Encodes each distinct word once with the tokenizers library and keeps its ids.
 
     For a byte-level BPE without normaliser the library's model takes a text word by word, a word
-    being one match of the public pattern in its byte alphabet. Any other kind of tokenizer is run
-    over whole texts.
+    being one match of the public pattern in its byte alphabet. A text that holds the string of an
+    added token, and every text under another kind of tokenizer, is given to the library whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -51,11 +53,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.by_word = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.pattern, self.model = public_tokenizers.PATTERN, self.tokenizer.model
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.clear()
 
     def clear(self) -> None:
@@ -64,9 +66,18 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and each text's end in them."""
-        if not self.by_word:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
-            return np.fromiter((i for x in ids for i in x), np.uint32), np.cumsum([len(x) for x in ids], dtype=np.int64)
+        whole = np.full(len(texts), not self.by_word)
+        for content in self.added if self.by_word else []:
+            whole |= np.asarray(pc.fill_null(pc.match_substring(texts, content), False).cast(pa.uint8())).astype(bool)
+        if not whole.any():
+            return self._by_word(texts)
+        ids = iter([e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts.filter(pa.array(whole)), "").to_pylist(), add_special_tokens=False)])
+        flat, ends = self._by_word(texts.filter(pa.array(~whole))) if not whole.all() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        rest = iter(np.split(flat, ends[:-1]) if len(ends) else [])
+        each = [np.array(next(ids), np.uint32) if w else next(rest) for w in whole.tolist()]
+        return np.concatenate(each), np.cumsum([len(x) for x in each], dtype=np.int64)
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         code, ends, distinct = pretokens(texts, self.pattern)
         if len(self.known) > CACHE:
             self.clear()
@@ -189,7 +200,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "
     """
     spark = docs.sparkSession
     shared.bound_batches(spark)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared.integer_id(docs, id_col)
+    n = parts or shared.parts_of(docs, text_col, PART_BYTES)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("x"))
     rows = rows.select("i", "x", F.xxhash64("x").alias("h"), F.monotonically_increasing_id().alias("m"))
     rows = rows.repartitionByRange(n, "i", "h", "m").sortWithinPartitions("i", "h", "m").select("i", "x")

@@ -20,21 +20,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegralType, StringType
 
-#: Broadcast bound: a side is broadcast only when its counted rows times their width stay below it.
+#: Broadcast bound: a side is broadcast only when its measured size stays below it.
 BROADCAST_BYTES = 8 << 20
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only where none is configured."""
+    """The cluster's shared folder; a fresh temporary one only in local mode and where none is configured."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def integer_id(df: DataFrame, name: str) -> None:
+    """Ids of operators that order or number by id must be integers; a clear error beats a failed cast."""
+    kind = df.select(F.col(f"`{name}`")).schema[0].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{name} must be an integer column, not {kind.simpleString()}")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, through Hadoop so that any store works."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -76,12 +87,21 @@ def uncut(df: DataFrame) -> None:
     drop(df.sparkSession, df._quire_path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if counted rows times ``row_bytes`` stay under ``limit``.
+def measured_bytes(df: DataFrame) -> int:
+    """What the rows of ``df`` take in a broadcast: a slot of 8 bytes a column, 24 a row, and the strings and arrays."""
+    wide = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, StringType | BinaryType)]
+    many = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, ArrayType)]
+    extra = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in wide), F.lit(0)) + sum((F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0)) * 16 + 16), F.lit(0)) for c in many), F.lit(0))
+    rows, more = df.agg(F.count("*"), extra).first()
+    return rows * (24 + 8 * len(df.columns)) + more
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the measured size stays under ``limit``.
 
     Beyond it the join is left to Catalyst, which shuffles both sides.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
 def lean(run):
@@ -108,6 +128,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def parts_of(docs: DataFrame, text_col: str, part_bytes: int) -> int:
+    """Parts for what grows with the texts: one for ``part_bytes`` of them, the session's shuffle partitions at least."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+
+
 def keep_columns(df: DataFrame, taken: list[str]) -> list[str]:
     """Columns of ``df`` that do not clash (case-insensitively) with those an operator adds."""
     low = {x.lower() for x in taken}

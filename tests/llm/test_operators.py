@@ -91,12 +91,87 @@ def test_sharding(spark, docs, odd, empty, shards):
     assert sharding.shard_documents(empty, shards).count() == 0
 
 
+def test_sharding_subdivides_overfull_ranges(spark):
+    rows = [(k, "") for k in range(3000)] + [(k, "long text " * 500) for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    d = sharding.digests(frame, "doc_id", "text").withColumn("k", sharding.order_key()).cache()
+    cuts = sharding.subdivided(d, [], 200)
+    sizes = [r[1] for r in d.groupBy(sharding.range_of(d["k"], cuts)).count().collect()]
+    assert max(sizes) <= 200 and sum(sizes) == 3003
+    got = sharding.shard_documents(frame, 4, range_rows=200).collect()
+    whole = sharding.shard_documents(frame, 4).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, whole), key=str) and len(got) == 3003
+
+
 def test_sharding_splits_a_hot_row(spark):
     hot = spark.createDataFrame([(5, "same")] * 900 + [(k, f"t{k}") for k in range(100)], "doc_id long, text string")
     load = Counter(r.shard for r in sharding.shard_documents(hot, 8).collect())
     assert len(load) == 8 and max(load.values()) < 200
 
 
+def brute_leaks(docs, items):
+    """{(doc_id, item_id, n_windows, n_matched)} by comparing every text with every item."""
+    import regex
+
+    def words_of(text):
+        text = regex.sub(r"(?<=\p{Nd})[.,](?=\p{Nd})", "_", text or "")
+        raw = regex.findall(r"[\p{L}\p{M}\p{Nd}_%$€£]+", text)
+        kind = []
+        for k, w in enumerate(raw):
+            if regex.match(r"[$€£]?\p{Nd}", w):
+                kind.append("<n>")
+            elif k and kind[-1] == "<n>" and w.lower() in templates.UNITS:
+                kind.append("<u>")
+            else:
+                kind.append("<p>" if regex.match(r"\p{Lu}.*\p{Ll}", w) else w.lower())
+        return [w.lower() for w in raw], kind, tuple(raw)
+
+    by_words = {}
+    for i, t in items:
+        w, kind, raw = words_of(t)
+        if w and (raw not in by_words or i < by_words[raw][0]):
+            by_words[raw] = (i, w, kind)
+    cut = lambda x, k, n: tuple(x[k : k + n])
+    out = set()
+    for d, t in docs:
+        dw, dk, _ = words_of(t)
+        for i, w, kind in by_words.values():
+            n = min(5, len(w))
+            total, places = len(w) - n + 1, defaultdict(list)
+            for k in range(len(dw) - n + 1):
+                places[cut(dw, k, n)].append(k)
+                if n == 5 and not set(cut(dk, k, n)) <= set(templates.SLOTS):
+                    places[cut(dk, k, n)].append(k)
+            shifts = defaultdict(dict)
+            for j in range(total):
+                for key in {cut(w, j, n)} | ({cut(kind, j, n)} if n == 5 and not set(cut(kind, j, n)) <= set(templates.SLOTS) else set()):
+                    for k in places.get(key, []):
+                        shifts[k - j][j] = shifts[k - j].get(j, False) or cut(w, j, n) == cut(dw, k, n)
+            if 100 * len({j for s in shifts.values() for j in s}) < 80 * total:
+                continue
+            matched = set()
+            for s, js in shifts.items():
+                stands = defaultdict(set)
+                for at in range(max(min(js) - 4, 0, -s), min(max(js) + 8, len(w) - 1, len(dw) - s - 1) + 1):
+                    if kind[at] in templates.SLOTS and kind[at] == dk[at + s]:
+                        stands[kind[at], w[at]].add(dw[at + s])
+                bad = any(len(v) > 1 for v in stands.values())
+                matched |= {j for j, same in js.items() if same or not bad}
+            if 100 * len(matched) >= 80 * total:
+                out.add((d, i, total, len(matched)))
+    return out
+
+
+def test_short_and_slot_dense_items(spark):
+    items = [(1, "2 + 2 equals"), (2, "What is 12 times 7"), (3, "Tom Ann Bob 12 13"), (4, "a 1 b 1 c 1 d 1 e 1 f 1 g 1 h the end of it comes now at last and here")]
+    docs = [
+        (1, "so 2 + 2 equals four"), (2, "3 + 3 equals six"), (3, "What is 13 times 8"), (4, "Eve Ida Max 14 15"), (5, "see Tom, Ann, Bob: 12 13"), (6, "nothing"),
+        (7, "a 2 b 2 c 2 d 2 e 2 f 2 g 2 h the end of it comes now at last and here"), (8, "a 2 b 3 c 2 d 2 e 2 f 2 g 2 h the end of it comes now at last and here"),
+    ]
+    got = {tuple(r)[:4] for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, items) and {x[:2] for x in got} == {(1, 1), (3, 2), (5, 3), (7, 4)}
+
+
 def test_template_decontamination(spark, docs):
     b = spark.createDataFrame([
         (1, "Alice Brown has 12 apples and gives 5 of them to the poor neighbour near Alice Street"), (2, "two short"), (3, None),
@@ -108,14 +183,16 @@ def test_template_decontamination(spark, docs):
         (5, "the train leaves with 44 km to go and then 45 more people wait at the door for it", "x"), (6, "", "x"), (7, None, "x"), (8, "nothing of this kind stands here at all today", "x"), (1, "two short", "x"), (None, "the train leaves with 30 km to go and then 30 more people wait at the door for it", "x"),
     ], "doc_id long, text string, item_id string")
     got = {(r.doc_id, r.item_id): r.n_changed for r in templates.leaks(d, b).collect()}
-    assert set(got) == {(1, 1), (3, 4), (4, 4), (None, 4), (3, 5), (4, 5), (None, 5)}  # items 4 and 5 differ by a capital
+    assert set(got) == {(1, 1), (3, 4), (4, 4), (None, 4), (3, 5), (4, 5), (None, 5), (1, 2)}  # items 4 and 5 differ by a capital
     assert got[1, 1] == 5 and got[4, 4] == 2 and got[None, 4] == 0
     kept = [r.doc_id for r in templates.decontaminate(d, b).collect()]
     assert sorted(kept) == [2, 5, 6, 7, 8]
+    lone = spark.createDataFrame([(None, "the train leaves with 30 km to go and then 30 more people wait at the door for it"), (None, "an innocent text without an id stays")], "doc_id string, text string")
+    assert [r.text for r in templates.decontaminate(lone, b).collect()] == ["an innocent text without an id stays"]
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
-    flat = lambda s: " " + " ".join(re.findall(r"\w+", (s or "").lower())) + " "
-    want = {(x.doc_id, y.item_id) for x in docs.collect() for y in bench.collect() if flat(y.text) in flat(x.text)}
-    assert want <= {(r.doc_id, r.item_id) for r in templates.leaks(docs, bench).collect()}
+    for x, y in ((docs, bench), (d, b)):
+        want = brute_leaks([(r.doc_id, r.text) for r in x.collect()], [(r.item_id, r.text) for r in y.collect()])
+        assert {tuple(r)[:4] for r in templates.leaks(x, y).collect()} == want and want
     assert templates.leaks(d.limit(0), b).count() == templates.leaks(d, b.limit(0)).count() == 0
 
 
@@ -144,6 +221,13 @@ def test_chat(spark):
     assert chat.digest(chat.examples(frame.limit(0))).count() == 0
 
 
+def test_chat_long_roles(spark):
+    long = "a:\\b" * 250_000
+    frame = spark.createDataFrame([(1, 0, long, long), (1, 1, "assistant", long + "#")], "conv_id long, turn long, role string, text string")
+    r = chat.digest(chat.examples(frame)).collect()[0]
+    assert (r.n_turns, r.loss_chars) == (2, 1_000_001) and r.turns_sha256 == hashlib.sha256(f"{long}\n{long}\nassistant\n{long}#\n".encode()).hexdigest()
+
+
 def test_line_dedup(spark, odd, empty):
     foot = "All rights reserved here."
     rows = [(k, f"own line number {k} of a page\n\n {foot}\t\nmore own text {k}", f"s{k % 12}", 0, "k") for k in range(60)]
@@ -175,7 +259,7 @@ def brute_strip(rows):
         for x in cut(t):
             sites[x] |= {s} - {None}
             witness[x] |= {("t", group[t])} if len(at) > 1 else at
-    bad = {x for x in sites if len(x) >= 10 and min(len(sites[x]), len(witness[x])) >= 10}
+    bad = {x for x in sites if x and min(len(sites[x]), len(witness[x])) >= 10}
     out = {}
     for i, t, _ in rows:
         left = [x for x in (t or "").split("\n") if x.strip(" \t\r") not in bad]
@@ -188,6 +272,7 @@ def test_line_dedup_short_pages_and_copies(spark):
     rows = [(k, f"own {k}\n{foot}", f"s{k % 12}") for k in range(24)]  # over half of each text is the foot
     rows += [(100 + k, copy, f"s{k}") for k in range(15)]
     rows += [(200 + k, f"text {k} of one site\nall of its lines are its own", "s0") for k in range(12)]
+    rows += [(400 + k, f"page {k}\nMenu", f"s{k % 12}") for k in range(24)]
     words = [f"w{k}" for k in range(300)]
     edited = [" ".join(words[:150]) + "\n" + " ".join([*words[150 : 160 + 9 * k], f"edit{k}", *words[161 + 9 * k :]]) for k in range(14)]
     rows += [(300 + k, t, f"s{k}") for k, t in enumerate(edited)]
@@ -238,6 +323,10 @@ def test_minhash(spark, docs, odd, empty):
     got = minhash.near_duplicates(odd).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute_near([(k, t) for k, t in enumerate(ODD)], 80)
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+    base = " ".join(f"v{k}" for k in range(60))
+    lone = spark.createDataFrame([(None, base), (None, base), (None, base + " x"), (None, "other words stand here now"), (None, ""), (7, base + " y"), (None, "p q r s t u v w"), (None, "p q r s t u v w")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in minhash.near_dedup(lone).collect()) == [(0, ""), (0, "other words stand here now"), (0, "p q r s t u v w"), (7, base + " y")]
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(lone).collect())[None, 7, False] == 3
     assert minhash.near_dedup(odd).columns == odd.columns and minhash.near_duplicates(empty).count() == 0
 
 
@@ -337,8 +426,8 @@ def test_records(spark, docs, odd, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    for frame in (docs, odd):
+    marked = spark.createDataFrame([(1, "hi <|endoftext|> x"), (2, "plain"), (3, "<|endoftext|>"), (4, None), (5, "<|endoftext |> no")], "doc_id long, text string")
+    for frame in (docs, odd, marked):
         got = records.token_records(frame, path).collect()
         got.sort(key=lambda r: r.start)
         assert [r.doc_id for r in got] == sorted([r.doc_id for r in got], key=lambda i: (i is not None, i))
@@ -351,6 +440,8 @@ def test_records(spark, docs, odd, empty):
             assert r.start == start
             start += r.n_tokens
     assert records.token_records(empty, path).count() == 0
+    with pytest.raises(TypeError):
+        records.token_records(docs.withColumn("doc_id", docs.doc_id.cast("string")), path)
 
 
 def test_records_notice_damage():
@@ -411,8 +502,10 @@ def test_array_files(tmp_path):
 
 def test_broadcast_needs_a_proven_size(spark):
     small = spark.range(10)
-    assert "broadcast" in shared.broadcast_if_small(small, 8)._jdf.queryExecution().logical().toString().lower()
-    assert shared.broadcast_if_small(small, 8, limit=10) is small
+    assert "broadcast" in shared.broadcast_if_small(small)._jdf.queryExecution().logical().toString().lower()
+    assert shared.broadcast_if_small(small, limit=10) is small
+    assert shared.broadcast_if_small(spark.range(300_000)).schema and "Broadcast" not in spark.range(10).join(shared.broadcast_if_small(spark.range(300_000)), "id")._jdf.queryExecution().analyzed().toString()
+    assert shared.measured_bytes(spark.createDataFrame([("x" * 1000, [1, 2])], "a string, b array<long>")) >= 1032
 
 
 def test_pipeline(spark):
