@@ -30,12 +30,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import shared
 from quire.llm.eliasfano import Sequence, encode
+from quire.llm.packs import pack, unpack
 from quire.llm.words import coded, hashes, split, steps
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line feed
@@ -64,34 +64,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
     return out
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of non-negative integers, each in the bytes that its largest value needs, by planes."""
-    out = []
-    for a in arrays:
-        width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
-        planes = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(len(a), 8)[:, :width].T
-        out += [len(a).to_bytes(8, "little"), bytes([width]), planes.tobytes()]
-    data = zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-    return len(data).to_bytes(8, "little") + data
-
-
-def _unpack(data: bytes) -> Iterator[list[np.ndarray]]:
-    at = 0
-    while at < len(data):
-        size = int.from_bytes(data[at : at + 8], "little")
-        raw, k, arrays = zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size]), 0, []
-        at += 8 + size
-        while k < len(raw):
-            n, width = int.from_bytes(raw[k : k + 8], "little"), raw[k + 8]
-            planes = np.frombuffer(raw, np.uint8, n * width, k + 9).reshape(width, n)
-            a = np.zeros(n, np.int64)
-            for b in range(width):
-                a |= planes[b].astype(np.int64) << (8 * b)
-            arrays.append(a)
-            k += 9 + n * width
-        yield arrays
-
-
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys and the sums of their counts."""
     order = np.argsort(key, kind="stable")
@@ -177,13 +149,13 @@ def build_vocabulary(texts: DataFrame, folder: str, parts: int) -> tuple[Vocabul
                 for p in range(parts):
                     if cuts[p] < cuts[p + 1]:
                         own = h[cuts[p] : cuts[p + 1]]
-                        packed.setdefault(p, []).append(_pack([own >> np.uint64(32), own & np.uint64(0xFFFFFFFF), n[cuts[p] : cuts[p + 1]]]))
+                        packed.setdefault(p, []).append(pack([own >> np.uint64(32), own & np.uint64(0xFFFFFFFF), n[cuts[p] : cuts[p + 1]]]))
         if packed:
             yield pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array([b"".join(x) for x in packed.values()], pa.binary())], names=["part", "data"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, rows in _rows(batches).items():
-            high, low, n = (np.concatenate(x) for x in zip(*(a for r in rows for a in _unpack(r)), strict=True))
+            high, low, n = (np.concatenate(x) for x in zip(*(a for r in rows for a in unpack(r)), strict=True))
             h = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
             h, n = _summed(h, n)
             shared.write_arrays(f"{folder}/vocabulary-{p:05d}.bin", {"hash": h, "count": n, "sum": np.cumsum(n)})
@@ -253,14 +225,14 @@ def build_levels(texts: DataFrame, folder: str, vocabulary: Vocabulary, shards:
                     if lo < hi:
                         x, y = child_end[lo], child_end[hi]
                         own = [np.diff(a[lo:hi], prepend=0), b[lo:hi], pair_count[keep[lo:hi]], children[keep[lo:hi]], third[x:y], triple_count[x:y]]
-                        packed.setdefault(k, []).append(_pack(own))
+                        packed.setdefault(k, []).append(pack(own))
         if packed:
             yield pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array([b"".join(x) for x in packed.values()], pa.large_binary()).cast(pa.binary())], names=["shard", "data"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _rows(batches)
         for k in list(rows):
-            blocks = [a for r in rows.pop(k) for a in _unpack(r)]
+            blocks = [a for r in rows.pop(k) for a in unpack(r)]
             key = np.concatenate([np.cumsum(b[0]) * v + b[1] for b in blocks])
             number = np.concatenate([b[2] for b in blocks])
             children = np.concatenate([b[3] for b in blocks])

@@ -81,7 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.wordshuffle import bpe_round_trip
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+    return bpe_round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,17 +1,18 @@
 """Byte-level BPE by a global distinct-word shuffle.
 
-1. Every text is cut into pre-tokens at their positions; a batch numbers its distinct words and keeps
-   the positions as arrays of these numbers, so nothing is repeated per occurrence.
-2. The words of all batches meet in one shuffle, dealt by word hash. There each distinct word of the
-   whole corpus is encoded once; the (word hash, ids) dictionary is written in hash order.
-3. The second pass joins the ids back by word hash and reassembles them by position.
-4. Decoding joins each id with its bytes in the token table and concatenates.
-
-The dictionary grows with the corpus, so it isn't broadcast: its parts lie in the shared folder and
-workers map them into memory, touching only pages they look up. Every word that is looked up is in
-the dictionary, so two words with one hash always meet in step 2, which then fails loudly.
-
-Null texts are empty; empty texts give no ids; repeated rows stay; an empty table gives an empty one.
+1. Every text is cut into pre-tokens at their positions. A block (some texts of one task) lists its
+   distinct words and keeps the position table as numbers into that list, so an occurrence is a number
+   and only (block, word) pairs travel. Blocks are written to the shared folder, which cuts lineage.
+2. The words of all blocks are exploded and meet in one shuffle, by word, in order. Equal words stand
+   together there, so each distinct word of the whole corpus is encoded once; nothing is kept but the
+   word at hand, however many distinct words there are.
+3. The ids are joined back to the blocks by block number and reassembled by position.
+4. Decoding joins each id with its bytes in the token-byte table, which every task holds: its size is
+   the vocabulary's, not the corpus's.
+
+A word that stands in every block is a row a block. Ids and words meet by the word itself, never by a
+hash of it. Null texts are empty; empty texts give no ids; repeated rows stay, each on its own; an
+empty table gives an empty one. A column of the input that clashes with a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -23,15 +24,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.llm import shared
 from quire.llm.chunks import cut_chunks, gather, words_of
-from quire.llm.words import hashes, steps
+from quire.llm.packs import pack, unpack
+from quire.llm.words import steps
 
-#: Distinct words that a task holds before it hands them on.
-HELD = 300_000
+#: Bytes of text in a block; one longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
+#: Encoded words that a task holds before it hands them on by block.
+HELD = 400_000
+#: Bytes of text for each part of the word shuffle.
+PART_BYTES = 128 << 20
 
 
 @lru_cache(maxsize=2)
@@ -48,13 +56,20 @@ def encoding_of(path: str, pattern: str):
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table, by id."""
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table, by id: all bytes, each token's begin and length in them."""
     ranks = ranks_of(path)
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for word, rank in ranks.items():
         table[rank] = word
-    return table
+    length = np.array([len(x) for x in table], np.int64)
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(length) - length, length
+
+
+def decode(ids: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids joined with the token-byte table: all bytes, and where each id's bytes end in them."""
+    raw, begin, length = token_bytes(vocabulary)
+    return gather(raw, begin, length, ids.astype(np.int64))
 
 
 def pretokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -72,130 +87,147 @@ def pretokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, li
     return flat, np.concatenate([[0], end])[ends], list(known)
 
 
-def build_dictionary(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", parts: int | None = None) -> tuple[str, int]:
-    """Encode each distinct word of all texts once; the dictionary's folder and its number of parts."""
-    spark = docs.sparkSession
-    shared.bound_batches(spark)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = shared.new_folder(spark, "words")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
-
-        def out() -> pa.RecordBatch:
-            a = pa.array(list(held), pa.string())
-            deal = (hashes(a) % np.uint64(n)).astype(np.int32)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(deal), a], names=["part", "word"])
+def position_table(docs: DataFrame, kept: list[str], pattern: str, text_col: str) -> DataFrame:
+    """Blocks of texts: block, words, positions (numbers into words, and each text's end), rows (the kept columns)."""
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = f"block long, words array<string>, positions binary, rows array<{rows.schema['row'].dataType.simpleString()}>"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for _, texts in steps(batch.column(0), batch.column(0)):
-                held.update(pretokens(texts, pattern)[2])
-                if len(held) >= HELD:
-                    yield out()
-        if held:
-            yield out()
+            for own, texts in steps(batch.column(0), batch.column(1), BLOCK_BYTES):
+                flat, ends, distinct = pretokens(texts, pattern)
+                order = np.argsort(-np.bincount(flat, minlength=len(distinct)), kind="stable")  # frequent words get small numbers
+                number = np.empty(len(order), np.int64)
+                number[order] = np.arange(len(order))
+                words = pa.array([distinct[k] for k in order.tolist()], pa.string())
+                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(words), pa.array([pack([number[flat], ends])], pa.binary()), one(own)], names=["block", "words", "positions", "rows"])
+                block += 1
+
+    return shared.cut(rows.mapInArrow(shared.lean(run), schema), "positions")
+
+
+def encode_words(blocks: DataFrame, vocabulary: str, pattern: str, parts: int) -> DataFrame:
+    """(block, ids): the ids of the blocks' words, packed as (word number steps, lengths, ids). Each distinct word is encoded once."""
+    words = blocks.select("block", F.posexplode("words").alias("number", "word"))
+    words = words.repartition(parts, "word").sortWithinPartitions("word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, last, last_ids, held, size = None, None, None, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            block, number, length, start = (np.concatenate([h[k] for h in held]) for k in range(4))
+            shift = np.cumsum([0, *(len(h[4]) for h in held[:-1])])
+            start = start + np.repeat(shift, [len(h[0]) for h in held])
+            values = np.concatenate([h[4] for h in held])
+            order = np.lexsort((number, block))
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+            names, data = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = order[a:b]
+                ids, _ = gather(values, start, length, own)
+                names.append(int(block[own[0]]))
+                data.append(pack([np.diff(number[own], prepend=0), length[own], ids]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["block", "ids"])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, set[str]] = {}
         for batch in batches:
-            part = np.asarray(batch.column(0))
-            for p in np.unique(part).tolist():
-                by_part.setdefault(p, set()).update(batch.column(1).filter(pa.array(part == p)).to_pylist())
-        enc = encoding_of(vocabulary, pattern) if by_part else None
-        for p, found in by_part.items():
-            distinct = sorted(found)
-            h = hashes(pa.array(distinct, pa.string()))
-            order = np.argsort(h)
-            h = h[order]
-            if (h[1:] == h[:-1]).any():
-                raise ValueError("two distinct words share a 64-bit hash")
-            ids = [enc.encode_ordinary(distinct[k]) for k in order.tolist()]
+            enc = enc or encoding_of(vocabulary, pattern)
+            coded = batch.column(2).dictionary_encode()
+            ids = []
+            for w in coded.dictionary.to_pylist():
+                if w != last:
+                    last, last_ids = w, enc.encode_ordinary(w)
+                ids.append(last_ids)
             length = np.array([len(x) for x in ids], np.int64)
-            shared.write_arrays(f"{folder}/{p:05d}.bin", {"hash": h, "end": np.cumsum(length).astype(np.int64), "ids": np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))})
-            yield pa.RecordBatch.from_pylist([{"part": p, "words": len(distinct)}], schema=pa.schema([("part", pa.int32()), ("words", pa.int64())]))
-
-    rows = docs.select(F.col(text_col).cast("string").alias("x")).mapInArrow(shared.lean(words), "part int, word string")
-    rows.repartition(n, "part").mapInArrow(shared.lean(encode), "part int, words long").agg(F.sum("words")).collect()
-    return folder, n
-
-
-def lookup(folder: str, n: int, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of words, joined by hash: (all ids, each word's begin, each word's length)."""
-    h = hashes(pa.array(words, pa.string()))
-    part = h % np.uint64(n)
-    order = np.argsort(part, kind="stable")
-    begin, length, flat, base = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), [], 0
-    cuts = np.searchsorted(part[order], np.arange(n + 1, dtype=np.uint64))
-    for p in range(n):
-        at = order[cuts[p] : cuts[p + 1]]
-        if not len(at):
-            continue
-        arrays, _ = shared.open_cached(f"{folder}/{p:05d}.bin")
-        found = np.searchsorted(arrays["hash"], h[at])
-        end = arrays["end"][found]
-        start = np.where(found > 0, arrays["end"][np.maximum(found - 1, 0)], 0)
-        ids, ends = gather(arrays["ids"], start, end - start, np.arange(len(at)))
-        flat.append(ids)
-        length[at] = end - start
-        begin[at] = base + ends - length[at]
-        base += len(ids)
-    return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), begin, length
-
-
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, finish: Callable[[list[np.ndarray]], list[pa.Array]], schema: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and those that ``finish`` makes of each document's ids.
-
-    A column of ``docs`` that clashes with a new one gives way to it.
-    """
-    from pyspark.sql.types import _parse_datatype_string
-
-    new = [f.name for f in _parse_datatype_string(schema).fields]
-    kept = shared.keep_columns(docs, new)
-    folder, n = build_dictionary(docs, vocabulary, pattern, text_col)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+            at = np.asarray(coded.indices).astype(np.int64)
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64), length[at], (np.cumsum(length) - length)[at], values))
+            size += len(at)
+            if size >= HELD:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+
+    return words.mapInArrow(shared.lean(run), "block long, ids binary")
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, finish: Callable[[np.ndarray, np.ndarray], list[pa.Array]], schema: str, text_col: str = "text", drop_text: bool = True) -> DataFrame:
+    """The columns of ``docs`` and those that ``finish`` makes of all ids of some texts and each text's end in them."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(schema)
+    shared.bound_batches(docs.sparkSession)
+    kept = [c for c in shared.keep_columns(docs, [f.name for f in new]) if not (drop_text and c == text_col)]
+    parts = shared.parts_of(docs, text_col, PART_BYTES)
+    blocks = position_table(docs, kept, pattern, text_col)
+    ids = encode_words(blocks, vocabulary, pattern, parts)
+    none = lambda c: F.lit(None).cast(blocks.schema[c].dataType).alias(c)
+    both = blocks.select("block", "positions", "rows", F.lit(None).cast("binary").alias("ids")).union(ids.select("block", none("positions"), none("rows"), "ids"))
+    both = both.repartition(parts, "block").sortWithinPartitions("block", F.col("ids").isNotNull())
+    fields = StructType([f for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + list(new))
+    arrow = to_arrow_schema(fields)
+
+    def finished(head: tuple, got: list) -> pa.RecordBatch:
+        rows, flat, ends = head
+        number = np.concatenate([np.cumsum(g[0]) for g in got]) if got else np.zeros(0, np.int64)
+        own_length = np.concatenate([g[1] for g in got]) if got else number
+        values = np.concatenate([g[2] for g in got]).astype(np.uint32) if got else np.zeros(0, np.uint32)
+        begin, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        begin[number], length[number] = np.cumsum(own_length) - own_length, own_length
+        tokens, end = gather(values, begin, length, flat)
+        columns = [rows.field(k + 1) for k in range(len(kept))] + finish(tokens, np.concatenate([[0], end])[ends])
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, got = None, []
         for batch in batches:
-            table, at = pa.Table.from_batches([batch]), 0
-            text = batch.column(batch.num_columns - 1)
-            for part, texts in steps(text, text):
-                code, ends, distinct = pretokens(texts, pattern)
-                ids, begin, length = lookup(folder, n, distinct)
-                flat, end = gather(ids, begin, length, code)
-                end = np.concatenate([[0], end])[ends]
-                docs_ids = np.split(flat, end[:-1]) if len(end) else []
-                own = table.slice(at, len(part)).drop_columns(["__text"])
-                at += len(part)
-                for name, column in zip(new, finish(docs_ids), strict=True):
-                    own = own.append_column(name, column)
-                yield from own.combine_chunks().to_batches()
+            for k in range(batch.num_rows):
+                if batch.column(3)[k].is_valid:
+                    got += unpack(batch.column(3)[k].as_py())
+                    continue
+                if head is not None:
+                    yield finished(head, got)
+                flat, ends = next(unpack(batch.column(1)[k].as_py()))
+                head, got = (batch.column(2)[k].values, flat, ends), []
+        if head is not None:
+            yield finished(head, got)
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + [schema])
-    return rows.mapInArrow(shared.lean(encode), fields)
+    return both.mapInArrow(shared.lean(run), fields)
 
 
-def decode(ids: np.ndarray, vocabulary: str) -> bytes:
-    table = token_bytes(vocabulary)
-    return b"".join(map(table.__getitem__, ids.tolist()))
+def digests(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lower-case hex SHA-256 of each run of ``values`` that ends at ``ends``."""
+    raw, at, out = memoryview(np.ascontiguousarray(values).view(np.uint8)), 0, []
+    for end in (ends * values.itemsize).tolist():
+        out.append(hashlib.sha256(raw[at:end]).hexdigest())
+        at = end
+    return pa.array(out, pa.string())
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Per document: n_tokens, and the SHA-256 of its ids (little-endian 32 bits) and of the decoded bytes."""
+def id_digests(vocabulary: str) -> Callable[[np.ndarray, np.ndarray], list[pa.Array]]:
+    """``finish`` for n_tokens long, ids_sha256 string, decoded_sha256 string."""
+
+    def finish(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        raw, at = decode(ids, vocabulary)
+        return [pa.array(np.diff(ends, prepend=0), pa.int64()), digests(ids.astype("<u4"), ends), digests(raw, np.concatenate([[0], at])[ends])]
 
-    def finish(documents: list[np.ndarray]) -> list[pa.Array]:
-        digest = [hashlib.sha256(d.astype("<u4").tobytes()).hexdigest() for d in documents]
-        back = [hashlib.sha256(decode(d, vocabulary)).hexdigest() for d in documents]
-        return [pa.array([len(d) for d in documents], pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+    return finish
 
-    return encode_documents(docs, vocabulary, pattern, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col)
+
+def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """Per document: n_tokens, and the SHA-256 of its ids (little-endian 32 bits) and of the decoded bytes; the text goes."""
+    return encode_documents(docs, vocabulary, pattern, id_digests(vocabulary), "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col)
 
 
 def bpe_ids(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``token_ids`` array<int> and ``decoded`` (the text from the ids)."""
 
-    def finish(documents: list[np.ndarray]) -> list[pa.Array]:
-        back = [decode(d, vocabulary).decode("utf-8", "replace") for d in documents]
-        return [pa.array([d.astype(np.int32) for d in documents], pa.list_(pa.int32())), pa.array(back, pa.string())]
+    def finish(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        raw, at = decode(ids, vocabulary)
+        cuts = np.concatenate([[0], at])[np.concatenate([[0], ends])].tolist()
+        back = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))), pa.array(back, pa.string())]
 
-    return encode_documents(docs, vocabulary, pattern, finish, "token_ids array<int>, decoded string", text_col)
+    return encode_documents(docs, vocabulary, pattern, finish, "token_ids array<int>, decoded string", text_col, drop_text=False)
