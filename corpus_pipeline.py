@@ -6,8 +6,6 @@ of ``documents``. ``run`` writes each stage's rows as Parquet in the shared fold
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -19,7 +17,7 @@ from quire.llm.lines import strip_boilerplate
 from quire.llm.minhash import near_dedup
 from quire.llm.quality import quality_filter
 from quire.llm.templates import decontaminate
-from quire.llm.wordshuffle import decode, encode_documents
+from quire.llm.wordshuffle import encode_documents, id_digests
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -49,16 +47,15 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of these and of the bytes decoded from them."""
     vocabulary = public_tokenizers.path(VOCABULARY)
 
-    def finish(documents: list[np.ndarray]) -> list[pa.Array]:
-        ends = np.cumsum([0, *(len(d) for d in documents)]).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, np.uint32), *documents]).astype(np.int32)
-        digest = [hashlib.sha256(d.astype("<u4").tobytes()).hexdigest() for d in documents]
-        back = [hashlib.sha256(decode(d, vocabulary)).hexdigest() for d in documents]
-        return [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+    digest = id_digests(vocabulary)
+
+    def finish(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        count, own, back = digest(ids, ends)
+        return [count, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))), own, back]
 
     rows = docs.select("doc_id", "lang", "source", "text")
     schema = "n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string"
-    return encode_documents(rows, vocabulary, public_tokenizers.PATTERN, finish, schema).drop("text")
+    return encode_documents(rows, vocabulary, public_tokenizers.PATTERN, finish, schema)
 
 
 STAGES = [
