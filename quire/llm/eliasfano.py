@@ -1,7 +1,7 @@
 """Elias-Fano coded monotone sequences in numpy, laid out so that they can be memory-mapped.
 
 n values below a universe u take about 2 + log2(u / n) bits each: low bits packed, high bits as a
-unary bitmap with one running count of zeros a word. Searches are vectorised over queries.
+unary bitmap with running counts of its zeros and ones. Searches are vectorised over queries.
 """
 
 from __future__ import annotations
@@ -44,36 +44,49 @@ def encode(values: np.ndarray, universe: int, name: str) -> tuple[dict[str, np.n
     high = np.packbits(bits, bitorder="little").view("<u8")
     zeros = 64 - np.bitwise_count(high).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(zeros)[:-1]])
-    kind = np.uint32 if len(before) == 0 or before[-1] < 1 << 32 else np.int64
-    return {f"{name}.low": pack(values & ((1 << width) - 1), width), f"{name}.high": high, f"{name}.zeros": before.astype(kind)}, {"n": n, "width": width}
+    ones = 64 * np.arange(len(before)) - before
+    kind = np.uint32 if size < 1 << 32 else np.int64
+    return {f"{name}.low": pack(values & ((1 << width) - 1), width), f"{name}.high": high, f"{name}.zeros": before.astype(kind), f"{name}.ones": ones.astype(kind)}, {"n": n, "width": width}
 
 
 class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray], meta: dict, name: str):
-        self.low, self.high, self.zeros = (np.asarray(arrays[f"{name}.{x}"]) for x in ("low", "high", "zeros"))
+        self.low, self.high, self.zeros, self.ones = (np.asarray(arrays[f"{name}.{x}"]) for x in ("low", "high", "zeros", "ones"))
         self.n, self.width = meta["n"], meta["width"]
 
-    def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
-        """How many ones stand before the k-th zero of the bitmap; 0 for k below 0."""
-        at = np.maximum(k, 0)
-        word = np.searchsorted(self.zeros, at.astype(self.zeros.dtype), side="right") - 1
-        rest = (at - self.zeros[word].astype(np.int64)).astype(np.uint8)
-        w = ~self.high[word]
-        pos = np.zeros(len(k), np.int64)
+    @staticmethod
+    def _place(w: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Where in each 64-bit word its ``rest``-th one stands."""
+        pos = np.zeros(len(w), np.int64)
         for half in (32, 16, 8, 4, 2, 1):
             count = np.bitwise_count(w & np.uint64((1 << half) - 1))
             up = rest >= count
             rest = np.where(up, rest - count, rest)
             w = np.where(up, w >> np.uint64(half), w)
             pos += np.where(up, half, 0)
-        return np.where(k < 0, 0, word * 64 + pos - at)
+        return pos
+
+    def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
+        """How many ones stand before the k-th zero of the bitmap; 0 for k below 0."""
+        at = np.maximum(k, 0)
+        word = np.searchsorted(self.zeros, at.astype(self.zeros.dtype), side="right") - 1
+        rest = (at - self.zeros[word].astype(np.int64)).astype(np.uint8)
+        return np.where(k < 0, 0, word * 64 + self._place(~self.high[word], rest) - at)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values."""
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
+        rest = (i - self.ones[word].astype(np.int64)).astype(np.uint8)
+        return (word * 64 + self._place(self.high[word], rest) - i) << self.width | unpack(self.low, self.width, i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each value in the sequence, -1 where it is absent: a successor search."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value in the sequence, within [begin, stop) if given; -1 where it is absent: a successor search."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
         top = x >> self.width
         lo, end = self._ones_before_zero(top - 1), self._ones_before_zero(top)
+        if begin is not None:
+            lo, end = np.maximum(lo, begin), np.minimum(end, stop)
         want, hi = x & ((1 << self.width) - 1), end.copy()
         live = np.flatnonzero(lo < hi)
         while len(live):

@@ -9,7 +9,8 @@ Tokens are lower-cased words and one end mark a text. Words are numbered by the
    tokens; a frequent first word is spread over several shards.
 3. Trie: level 2 holds, for each first word of the shard, its successors; level 3 each pair's. The
    ids of a level are made monotone by their context's place (context * V + id) and Elias-Fano
-   coded; so are the pointers from a level into the next.
+   coded; so are the pointers from a level into the next. A query takes its context's range from the
+   pointers and searches the successor of its context-relative id in that range only.
 4. Probabilities: absolute discounting, with discounts D1, D2, D3+ from the counts of counts of all
    n-grams of an order. Discounted probabilities and back-off weights become one byte each, on a
    logarithmic grid.
@@ -41,6 +42,8 @@ from quire.llm.words import coded, hashes, split, steps
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line feed
 SHARD_TOKENS = 3_000_000
 STEP = 6 << 20
+#: Bytes of text for each file of the vocabulary.
+PART_BYTES = 256 << 20
 #: Grids of the byte codes: steps of -log10.
 P_STEP, L_STEP = 28.0, 60.0
 NONE = 255
@@ -55,6 +58,13 @@ def _range(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, begin, end) of each run of sorted keys: work by keys that are there, not by all that may be."""
+    cuts = np.flatnonzero(np.diff(keys, prepend=-1, append=-1)) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(keys[a]), a, b
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
     """Packed rows (key, data) of a task, by key."""
     out: dict[int, list[bytes]] = {}
@@ -117,12 +127,11 @@ class Vocabulary:
         """(id or -1, count, tokens of all words with a lower id) of word hashes."""
         order = np.argsort(h)
         s = h[order]
-        cuts = np.searchsorted(_range(s, self.parts), np.arange(self.parts + 1))
         ids, count, before = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        for p in range(self.parts):
-            at = order[cuts[p] : cuts[p + 1]]
-            if not len(at) or self.first[p] == self.first[p + 1]:
+        for p, x, y in _runs(_range(s, self.parts)):
+            if self.first[p] == self.first[p + 1]:
                 continue
+            at = order[x:y]
             a, _ = shared.open_cached(f"{self.folder}/vocabulary-{p:05d}.bin")
             k = np.minimum(np.searchsorted(a["hash"], h[at]), len(a["hash"]) - 1)
             good = a["hash"][k] == h[at]
@@ -145,11 +154,8 @@ def build_vocabulary(texts: DataFrame, folder: str, parts: int) -> tuple[Vocabul
                 n = np.concatenate([np.bincount(code, minlength=len(distinct)), [len(part)]])
                 order = np.argsort(h)
                 h, n = h[order], n[order]
-                cuts = np.searchsorted(_range(h, parts), np.arange(parts + 1))
-                for p in range(parts):
-                    if cuts[p] < cuts[p + 1]:
-                        own = h[cuts[p] : cuts[p + 1]]
-                        packed.setdefault(p, []).append(pack([own >> np.uint64(32), own & np.uint64(0xFFFFFFFF), n[cuts[p] : cuts[p + 1]]]))
+                for p, x, y in _runs(_range(h, parts)):
+                    packed.setdefault(p, []).append(pack([h[x:y] >> np.uint64(32), h[x:y] & np.uint64(0xFFFFFFFF), n[x:y]]))
         if packed:
             yield pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array([b"".join(x) for x in packed.values()], pa.binary())], names=["part", "data"])
 
@@ -218,14 +224,11 @@ def build_levels(texts: DataFrame, folder: str, vocabulary: Vocabulary, shards:
                 keep = np.flatnonzero(used)  # pairs across two texts go
                 children = np.bincount(owner, minlength=len(pair))
                 a, b = np.divmod(pair[keep], v)
-                cuts = np.searchsorted(shard[keep], np.arange(shards + 1))
                 child_end = np.concatenate([[0], np.cumsum(children[keep])])
-                for k in range(shards):
-                    lo, hi = cuts[k], cuts[k + 1]
-                    if lo < hi:
-                        x, y = child_end[lo], child_end[hi]
-                        own = [np.diff(a[lo:hi], prepend=0), b[lo:hi], pair_count[keep[lo:hi]], children[keep[lo:hi]], third[x:y], triple_count[x:y]]
-                        packed.setdefault(k, []).append(pack(own))
+                for k, lo, hi in _runs(shard[keep]):
+                    x, y = child_end[lo], child_end[hi]
+                    own = [np.diff(a[lo:hi], prepend=0), b[lo:hi], pair_count[keep[lo:hi]], children[keep[lo:hi]], third[x:y], triple_count[x:y]]
+                    packed.setdefault(k, []).append(pack(own))
         if packed:
             yield pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array([b"".join(x) for x in packed.values()], pa.large_binary()).cast(pa.binary())], names=["shard", "data"])
 
@@ -317,7 +320,7 @@ def write_probabilities(spark, folder: str, found: list, d2: list[float], d3: li
 def _shard(folder: str, k: int):
     levels, meta = shared.open_arrays(f"{folder}/levels-{k:05d}.bin")
     weights, _ = shared.open_arrays(f"{folder}/weights-{k:05d}.bin")
-    return levels["word"], Sequence(levels, meta["ids2"], "ids2"), Sequence(levels, meta["ids3"], "ids3"), weights
+    return levels["word"], *(Sequence(levels, meta[name], name) for name in ("to2", "ids2", "to3", "ids3")), weights
 
 
 class Model:
@@ -345,11 +348,11 @@ class Model:
         l1 = self._first_weights(s)
         place, p2, l2 = np.full(len(pair), -1, np.int64), np.zeros(len(pair)), np.ones(len(pair))
         for k, q in self._by_shard(shard, np.flatnonzero(known)):
-            word, ids2, _, weights = _shard(self.folder, k)
+            word, to2, ids2, _, _, weights = _shard(self.folder, k)
             rel = np.minimum(np.searchsorted(word, s.ids[a[q]]), len(word) - 1)
             rel_ok = word[rel] == s.ids[a[q]]
             q, rel = q[rel_ok], rel[rel_ok]
-            pos = ids2.find(rel * v + s.ids[b[q]])
+            pos = ids2.find(rel * v + s.ids[b[q]], to2.get(rel), to2.get(rel + 1))
             q, pos = q[pos >= 0], pos[pos >= 0]
             place[q], p2[q], l2[q] = pos, P_GRID[weights["p2"][pos]], L_GRID[weights["l2"][pos]]
         triple, one, back = np.unique(inverse[at - 2] * m + s.seq[at], return_index=True, return_inverse=True)
@@ -357,17 +360,17 @@ class Model:
         third = s.seq[at[one]]
         p3 = np.zeros(len(triple))
         for k, q in self._by_shard(shard[context], np.flatnonzero((place[context] >= 0) & (s.ids[third] >= 0))):
-            _, _, ids3, weights = _shard(self.folder, k)
-            pos = ids3.find(place[context[q]] * v + s.ids[third[q]])
+            *_, to3, ids3, weights = _shard(self.folder, k)
+            own = place[context[q]]
+            pos = ids3.find(own * v + s.ids[third[q]], to3.get(own), to3.get(own + 1))
             p3[q[pos >= 0]] = P_GRID[weights["p3"][pos[pos >= 0]]]
         p = p3 + l2[context] * (p2[last] + l1[a[last]] * p1[third])
         return *out, np.bincount(doc, np.log10(np.maximum(p, 1e-300))[back], n)
 
     def _by_shard(self, shard: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = chosen[np.argsort(shard[chosen], kind="stable")]
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            yield k, order[cuts[k] : cuts[k + 1]]
+        for k, x, y in _runs(shard[order]):
+            yield k, order[x:y]
 
     def _first_weights(self, s: Step) -> np.ndarray:
         """Back-off weight of each distinct word as a context; 1 for unknown words."""
@@ -381,7 +384,7 @@ class Model:
                 if not self.present[k]:
                     left.append(q)
                     continue
-                word, _, _, weights = _shard(self.folder, k)
+                word, *_, weights = _shard(self.folder, k)
                 rel = np.minimum(np.searchsorted(word, s.ids[q]), len(word) - 1)
                 good = word[rel] == s.ids[q]
                 out[q[good]] = L_GRID[weights["l1"][rel[good]]]
@@ -396,7 +399,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     spark = docs.sparkSession
     shared.bound_batches(spark)
     folder = shared.new_folder(spark, "lm")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = shared.parts_of(docs, text_col, PART_BYTES)
     texts = docs.select(F.col(text_col).cast("string").alias("x"))
     vocabulary, n1 = build_vocabulary(texts, folder, parts)
     shards = max(parts, -(-vocabulary.tokens // SHARD_TOKENS))
