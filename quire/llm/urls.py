@@ -6,11 +6,13 @@ fits take the block of any url they are equivalent to: redirect and canonical-li
 by distributed connected components. An explicit allow always has precedence: a url that an allow
 rule fits stays allowed whatever its aliases are; only blocks travel.
 
-Edges: ``<link rel=canonical>``, ``<meta http-equiv=refresh>`` of a page, and rows of an optional
-redirect table. Two urls are one node if they differ in scheme, host case or fragment only.
+Edges: every ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` of a page, and rows of an
+optional redirect table. Character references in links are decoded, ``.`` and ``..`` segments resolved.
+Two urls are one node if they differ in scheme, host case or fragment only.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and have no aliases, so
-they are allowed. Repeated rows are judged alike. DataFrame expressions only.
+they are allowed; each is a join key of its own, so many of them never meet in one task. Repeated rows
+are judged alike. No pages give no rows. Other columns are not read. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -57,14 +59,42 @@ def resolve(url: Column, link: Column) -> Column:
     )
 
 
+#: Character references that links hold, in decoding order: the ampersand last.
+REFERENCES = [("&(?:quot|#34|#x22);", '"'), ("&(?:apos|#39|#x27);", "'"), ("&(?:lt|#60|#x3c);", "<"), ("&(?:gt|#62|#x3e);", ">"), ("&(?:sol|#47|#x2f);", "/"), ("&(?:amp|#38|#x26);", "&")]
+
+
+def decoded(link: Column) -> Column:
+    for pattern, to in REFERENCES:
+        link = F.regexp_replace(link, f"(?i){pattern}", to)
+    return link
+
+
+def dotless(url: Column) -> Column:
+    """An absolute url with ``.`` and ``..`` segments of its path resolved; above the top there is the top."""
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    tail = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)
+    parts = F.split(F.substr(path_of(url), F.lit(2)), "/")
+    inner = F.slice(parts, 1, F.size(parts) - 1)
+    last = F.element_at(parts, -1)
+    none = F.lit(None).cast("array<string>")
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    dots = last.isin(".", "..")
+    done = F.aggregate(F.concat(inner, F.when(dots, F.array(last)).otherwise(F.array())), F.coalesce(none, F.array().cast("array<string>")), step)
+    path = F.array_join(F.concat(done, F.array(F.when(dots, "").otherwise(last))), "/")
+    return F.when(path_of(url).rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(head, F.lit("/"), path, tail)).otherwise(url)
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) nodes of canonical links and refresh redirects in the pages' html."""
+    """(src, dst) nodes of all canonical links and refresh redirects in the pages' html."""
     html, url = F.col(html_col), F.col(url_col)
-    canonical = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    links = F.array(F.regexp_extract(canonical, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    found = pages.where(url.isNotNull() & html.isNotNull()).select(url.alias("u"), F.explode(F.filter(links, lambda x: x != "")).alias("l"))
-    return found.select(node_of(F.col("u")).alias("src"), node_of(resolve(F.col("u"), F.col("l"))).alias("dst")).where("src <> dst")
+    canonical = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
+    refresh = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
+    href = lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    to = lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
+    links = F.filter(F.concat(F.transform(canonical, href), F.transform(refresh, to)), lambda x: x != "")
+    found = pages.where(url.isNotNull() & html.isNotNull()).select(url.alias("u"), F.explode(links).alias("l"))
+    found = found.select("u", dotless(resolve(F.col("u"), decoded(F.col("l")))).alias("l"))
+    return found.select(node_of(F.col("u")).alias("src"), node_of(F.col("l")).alias("dst")).where("src <> dst")
 
 
 def ruled(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -93,7 +123,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame =
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("src")), node_of(F.col("dst"))))
     alias = shared.cut(connected_components(edges), "aliases")
-    rows = pages.select(id_col, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), node_of(F.col(url_col)).alias("node"))
+    # a url without a node gets a key that no node has, its row's own
+    lone = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    rows = pages.select(id_col, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.coalesce(node_of(F.col(url_col)), lone).alias("node"))
     # a node is a host and what follows it, so it parses as a url with an empty scheme
     known = alias.select("component", host_of(F.concat(F.lit("://"), "node")).alias("host"), path_of(F.concat(F.lit("://"), "node")).alias("path"))
     blocked = known.join(ruled(known, rules), ["host", "path"]).where("ruling = 'block'").select(F.col("component").alias("c")).distinct()

@@ -75,6 +75,54 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_links_of_all_kinds(spark):
+    link = '<link rel="canonical" href="{}"><p>x</p><link href=\'{}\' rel=canonical><meta http-equiv="refresh" content="5; URL={}">'
+    rows = [
+        (1, "http://a.org/d/e?q", link.format("../x?a=1&amp;b=2", "./y/../z/.", "HTTP://b.org/..//k")), (2, "http://q.net/p", '<link rel=canonical href="http://A.org/x?a=1&b=2">'),
+        (3, "http://a.org/d/z/", ""), (4, "http://b.org//k", ""), (5, "http://b.org/k", ""), (6, "http://a.org/x?a=1&b=2", None), (7, None, ""), (8, None, ""), (9, "http://a.org/d/z", ""),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "allow", 8: "allow", 9: "allow"}
+
+
+def brute_urls(pages, redirects, rules):
+    """{page_id: (host, path, rule, verdict)} by a search from every url over all edges."""
+    def parts(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        return (low(m[1]), m[2]) if m else ("", "")
+
+    node = lambda u: low(re.match(r"(?s).*?://([^/?#]*)", u)[1]) + "/" + re.match(r"(?s).*?://[^/?#]*/?([^#]*)", u)[1] if u and "://" in u else None
+    def rule(h, p):
+        fit = [(len(rh + rp), len(rh), rh + rp, v) for v, rh, rp in rules if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        return max(fit)[2:] if fit else (None, None)
+
+    near = defaultdict(set)
+    for a, b in redirects:
+        if node(a) and node(b):
+            near[node(a)].add(node(b)), near[node(b)].add(node(a))
+    out = {}
+    for i, u in pages:
+        seen, todo = {node(u)}, [node(u)]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x), todo.append(x)
+        own = rule(*parts(u))
+        out[i] = (*parts(u), own[0], own[1] or ("block" if any(x and rule(*parts("://" + x))[1] == "block" for x in seen) else "allow"))
+    return out
+
+
+def test_urls_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pages = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    known = [u for _, u in pages] + ["http://else.net/x", "http://shop.org/fr/a"]
+    edges = [(known[a], known[b]) for a, b in rng.integers(0, len(known), (90, 2))]
+    frame = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(frame, redirects=spark.createDataFrame(edges, "src string, dst string")).collect()}
+    want = brute_urls(pages, edges, urls.RULES)
+    alone = brute_urls(pages, [], urls.RULES)
+    assert got == want and sum(want[i] != alone[i] for i in want) > 5
+
+
 @pytest.mark.parametrize("shards", [1, 3, 16])
 def test_sharding(spark, docs, odd, empty, shards):
     for frame in (docs, odd):
@@ -475,6 +523,34 @@ def test_quality(spark, docs, odd, empty):
     assert quality.quality_verdicts(empty, labels).count() == 0 and quality.quality_verdicts(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_quality_verdicts_by_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    twice = labels.union(labels.where("quality = 1").limit(3).selectExpr("doc_id", "0", "toxic"))  # labelled both ways
+    for known in (labels, twice):
+        got = {r.doc_id: r for r in quality.quality_verdicts(docs, known).collect()}
+        stats = quality.with_statistics(docs.select("doc_id", "text"))
+        model = quality.fit(stats, known)
+        f, paths = model.forest, {}
+        for r in stats.collect():
+            x, total = quality.features(np.array([[r[c] for c in quality.COUNTS + quality.EXTRA]]))[0], 0.0
+            for feature, value, left, length in zip(f.feature, f.value, f.left, f.length):
+                at = 0
+                while feature[at] >= 0:
+                    at = left[at] + (1 if x[feature[at]] >= value[at] else 0)
+                total += length[at]
+            paths[r.doc_id] = 2.0 ** (-total / len(f.feature) / f.scale)
+        assert all(abs(got[i].anomaly - p) < 1e-9 for i, p in paths.items())
+        poor, good = set(), set()
+        for r in known.collect():
+            (good if r.quality else poor).add(r.doc_id)
+        good -= poor
+        over = lambda ids, t: np.mean([paths[i] >= t for i in ids if i in paths and not got[i].base_failed])
+        fine = [t / quality.BINS for t in range(quality.BINS) if over(good, t / quality.BINS) <= quality.GOOD_LOSS]
+        best = max(fine, key=lambda t: (over(poor, t) - over(good, t), -t))
+        assert model.threshold == (best if over(poor, best) > over(good, best) else 2.0)
+        assert all(r.kept == (not r.base_failed and paths[i] < model.threshold) for i, r in got.items())
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(5)
     rows = rng.normal(size=(2000, 8))
