@@ -9,7 +9,9 @@ good rows above) among those that lose at most ``GOOD_LOSS`` of the good rows. W
 of both kinds, or where no threshold tells them apart, the forest rejects nothing.
 
 Null texts and texts without words have zero statistics and fail the base rule. Repeated rows get
-equal verdicts. An empty table gives an empty result.
+equal verdicts and count once in the sample; rows of equal rank are equal. A document labelled both
+ways counts as poor, labels other than 0 and 1 and labels without a document count for nothing. Null
+ids are judged like others and never labelled. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -212,7 +214,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     Only the sample (``FIT_ROWS`` rows) and two histograms of ``BINS`` bins reach the driver.
     """
     names = [F.col(c) for c in COUNTS + EXTRA]
-    sample = stats.where((F.col("n_words") >= MIN_WORDS)).select(F.xxhash64(id_col, *names).alias("h"), *names)
+    sample = stats.where((F.col("n_words") >= MIN_WORDS)).select(F.xxhash64(id_col, *names).alias("h"), *names).distinct()
     rows = np.array([r[1:] for r in sample.orderBy("h", *names).limit(FIT_ROWS).collect()], np.int64).reshape(-1, len(COUNTS + EXTRA))
     if len(rows) < 2:
         return Model(None, 2.0)
@@ -225,7 +227,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
             bins = np.minimum((score * BINS).astype(np.int32), BINS - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins).filter(pa.array(passed))], names=["q", "bin"]) if passed.all() else pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(passed)), pa.array(bins[passed])], names=["q", "bin"])
 
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__q")).where("__q in (0, 1)").distinct()
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__q")).where("__q in (0, 1)").groupBy("__id").agg(F.min("__q").alias("__q"))
     joined = stats.join(known, stats[id_col] == known["__id"]).select("__q", *names)
     found = joined.mapInArrow(shared.lean(scored), "q int, bin int").groupBy("q", "bin").count().collect()
     per = np.zeros((2, BINS))
