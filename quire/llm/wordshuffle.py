@@ -34,8 +34,8 @@ from quire.llm.chunks import cut_chunks, gather, words_of
 from quire.llm.packs import pack, unpack
 from quire.llm.words import steps
 
-#: Bytes of text in a block; one longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block; one longer text is a block of its own. Larger blocks repeat fewer words.
+BLOCK_BYTES = 16 << 20
 #: Encoded words that a task holds before it hands them on by block.
 HELD = 400_000
 #: Bytes of text for each part of the word shuffle.
@@ -92,18 +92,27 @@ def position_table(docs: DataFrame, kept: list[str], pattern: str, text_col: str
     rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = f"block long, words array<string>, positions binary, rows array<{rows.schema['row'].dataType.simpleString()}>"
 
+    def one_block(block: int, own: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        flat, ends, distinct = pretokens(texts, pattern)
+        order = np.argsort(-np.bincount(flat, minlength=len(distinct)), kind="stable")  # frequent words get small numbers
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        words = pa.array([distinct[k] for k in order.tolist()], pa.string())
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(words), pa.array([pack([number[flat], ends])], pa.binary()), one(own)], names=["block", "words", "positions", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for own, texts in steps(batch.column(0), batch.column(1), BLOCK_BYTES):
-                flat, ends, distinct = pretokens(texts, pattern)
-                order = np.argsort(-np.bincount(flat, minlength=len(distinct)), kind="stable")  # frequent words get small numbers
-                number = np.empty(len(order), np.int64)
-                number[order] = np.arange(len(order))
-                words = pa.array([distinct[k] for k in order.tolist()], pa.string())
-                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(words), pa.array([pack([number[flat], ends])], pa.binary()), one(own)], names=["block", "words", "positions", "rows"])
-                block += 1
+                more = texts.nbytes
+                if held and size + more > BLOCK_BYTES:
+                    yield one_block(block, *(pa.concat_arrays(x) for x in zip(*held, strict=True)))
+                    block, held, size = block + 1, [], 0
+                held.append((own, texts))
+                size += more
+        if held:
+            yield one_block(block, *(pa.concat_arrays(x) for x in zip(*held, strict=True)))
 
     return shared.cut(rows.mapInArrow(shared.lean(run), schema), "positions")
 
