@@ -2,10 +2,10 @@
 
 1. Every text is cut into pre-tokens at their positions. A block (some texts of one task) lists its
    distinct words and keeps the position table as numbers into that list, so an occurrence is a number
-   and only (block, word) pairs travel. Blocks are written to the shared folder, which cuts lineage.
-2. The words of all blocks are exploded and meet in one shuffle, by word, in order. Equal words stand
-   together there, so each distinct word of the whole corpus is encoded once; nothing is kept but the
-   word at hand, however many distinct words there are.
+   and only (block, word) pairs travel. Position tables are files of the shared folder: they stay where
+   they are until the ids come.
+2. The words of all blocks meet in one shuffle, by word. Each distinct word of the whole corpus is
+   encoded once there; parts are as many as the texts need, so a task's words fit its memory.
 3. The ids are joined back to the blocks by block number and reassembled by position.
 4. Decoding joins each id with its bytes in the token-byte table, which every task holds: its size is
    the vocabulary's, not the corpus's.
@@ -19,11 +19,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +35,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.llm import shared
 from quire.llm.chunks import cut_chunks, gather, words_of
 from quire.llm.packs import pack, unpack
-from quire.llm.words import steps
+from quire.llm.words import hashes, steps
 
 #: Bytes of text in a block; one longer text is a block of its own. Larger blocks repeat fewer words.
 BLOCK_BYTES = 16 << 20
-#: Encoded words that a task holds before it hands them on by block.
+#: (block, word) pairs that a task encodes at a time and hands on by block.
 HELD = 400_000
 #: Bytes of text for each part of the word shuffle.
 PART_BYTES = 128 << 20
@@ -87,10 +90,22 @@ def pretokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, li
     return flat, np.concatenate([[0], end])[ends], list(known)
 
 
-def position_table(docs: DataFrame, kept: list[str], pattern: str, text_col: str) -> DataFrame:
-    """Blocks of texts: block, words, positions (numbers into words, and each text's end), rows (the kept columns)."""
+def pack_words(words: pa.Array) -> bytes:
+    return pack([np.asarray(pc.binary_length(words)).astype(np.int64), np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)])
+
+
+def unpack_words(lengths: np.ndarray, raw: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(raw.astype(np.uint8)))
+
+
+def position_table(docs: DataFrame, kept: list[str], pattern: str, parts: int, text_col: str) -> DataFrame:
+    """Blocks of texts: block, place (its position file), rows (the kept columns), words (part, numbers and words)."""
+    spark = docs.sparkSession
+    folder = shared.new_folder(spark, "positions")
     rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = f"block long, words array<string>, positions binary, rows array<{rows.schema['row'].dataType.simpleString()}>"
+    schema = f"block long, place string, rows array<{rows.schema['row'].dataType.simpleString()}>, words array<struct<part:int,data:binary>>"
+    kind = pa.list_(pa.struct([("part", pa.int32()), ("data", pa.binary())]))
 
     def one_block(block: int, own: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         flat, ends, distinct = pretokens(texts, pattern)
@@ -98,8 +113,15 @@ def position_table(docs: DataFrame, kept: list[str], pattern: str, text_col: str
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
         words = pa.array([distinct[k] for k in order.tolist()], pa.string())
-        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(words), pa.array([pack([number[flat], ends])], pa.binary()), one(own)], names=["block", "words", "positions", "rows"])
+        # a name of its own, as another attempt of this task may meet its rows in another order
+        place = f"{folder}/{block:016x}-{uuid.uuid4().hex}.bin"
+        shared.write_arrays(place, {"packed": np.frombuffer(pack([number[flat], ends]), np.uint8)})
+        deal = (hashes(words) % np.uint64(parts)).astype(np.int64)
+        by_part = np.argsort(deal, kind="stable")
+        cuts = np.flatnonzero(np.diff(deal[by_part], prepend=-1, append=-1)).tolist() if len(words) else [0]
+        dealt = [{"part": int(deal[by_part[a]]), "data": pack([np.diff(by_part[a:b], prepend=0)]) + pack_words(words.take(pa.array(by_part[a:b])))} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([place], pa.string()), rows, pa.array([dealt], kind)], names=["block", "place", "rows", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -114,50 +136,53 @@ def position_table(docs: DataFrame, kept: list[str], pattern: str, text_col: str
         if held:
             yield one_block(block, *(pa.concat_arrays(x) for x in zip(*held, strict=True)))
 
-    return shared.cut(rows.mapInArrow(shared.lean(run), schema), "positions")
+    return shared.cut(rows.mapInArrow(shared.lean(run), schema), "blocks")
 
 
 def encode_words(blocks: DataFrame, vocabulary: str, pattern: str, parts: int) -> DataFrame:
     """(block, ids): the ids of the blocks' words, packed as (word number steps, lengths, ids). Each distinct word is encoded once."""
-    words = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    words = words.repartition(parts, "word").sortWithinPartitions("word")
+    words = blocks.select("block", F.inline("words")).repartition(parts, "part").select("block", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last, last_ids, held, size = None, None, None, [], 0
+        enc, known, ids, length = None, {}, array("I"), array("I")
+        held, size = [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            block, number, length, start = (np.concatenate([h[k] for h in held]) for k in range(4))
-            shift = np.cumsum([0, *(len(h[4]) for h in held[:-1])])
-            start = start + np.repeat(shift, [len(h[0]) for h in held])
-            values = np.concatenate([h[4] for h in held])
+        def out() -> pa.RecordBatch:
+            nonlocal enc
+            enc = enc or encoding_of(vocabulary, pattern)
+            block = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+            number = np.concatenate([h[1] for h in held])
+            coded = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
+            place = np.empty(len(coded.dictionary), np.int64)
+            for k, w in enumerate(coded.dictionary.to_pylist()):
+                at = known.get(w)
+                if at is None:
+                    own = enc.encode_ordinary(w)
+                    known[w] = at = len(length)
+                    length.append(len(own))
+                    ids.extend(own)
+                place[k] = at
+            sizes = np.array(length, np.int64)
+            start, own = np.cumsum(sizes) - sizes, place[np.asarray(coded.indices)]
             order = np.lexsort((number, block))
-            cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
-            names, data = [], []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own = order[a:b]
-                ids, _ = gather(values, start, length, own)
-                names.append(int(block[own[0]]))
-                data.append(pack([np.diff(number[own], prepend=0), length[own], ids]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["block", "ids"])
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1)).tolist()
+            values, names, data = np.array(ids, np.uint32), [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                mine = order[a:b]
+                names.append(int(block[mine[0]]))
+                data.append(pack([np.diff(number[mine], prepend=0), sizes[own[mine]], gather(values, start, sizes, own[mine])[0]]))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["block", "ids"])
 
         for batch in batches:
-            enc = enc or encoding_of(vocabulary, pattern)
-            coded = batch.column(2).dictionary_encode()
-            ids = []
-            for w in coded.dictionary.to_pylist():
-                if w != last:
-                    last, last_ids = w, enc.encode_ordinary(w)
-                ids.append(last_ids)
-            length = np.array([len(x) for x in ids], np.int64)
-            values = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-            at = np.asarray(coded.indices).astype(np.int64)
-            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64), length[at], (np.cumsum(length) - length)[at], values))
-            size += len(at)
-            if size >= HELD:
-                yield from out()
-                held, size = [], 0
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (steps_,), (lengths, raw) = unpack(data)
+                held.append((block, np.cumsum(steps_), unpack_words(lengths, raw)))
+                size += len(steps_)
+                if size >= HELD:
+                    yield out()
+                    held, size = [], 0
         if held:
-            yield from out()
+            yield out()
 
     return words.mapInArrow(shared.lean(run), "block long, ids binary")
 
@@ -170,10 +195,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, finish: Cal
     shared.bound_batches(docs.sparkSession)
     kept = [c for c in shared.keep_columns(docs, [f.name for f in new]) if not (drop_text and c == text_col)]
     parts = shared.parts_of(docs, text_col, PART_BYTES)
-    blocks = position_table(docs, kept, pattern, text_col)
+    blocks = position_table(docs, kept, pattern, parts, text_col)
     ids = encode_words(blocks, vocabulary, pattern, parts)
     none = lambda c: F.lit(None).cast(blocks.schema[c].dataType).alias(c)
-    both = blocks.select("block", "positions", "rows", F.lit(None).cast("binary").alias("ids")).union(ids.select("block", none("positions"), none("rows"), "ids"))
+    both = blocks.select("block", "place", "rows", F.lit(None).cast("binary").alias("ids")).union(ids.select("block", none("place"), none("rows"), "ids"))
     both = both.repartition(parts, "block").sortWithinPartitions("block", F.col("ids").isNotNull())
     fields = StructType([f for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + list(new))
     arrow = to_arrow_schema(fields)
@@ -198,7 +223,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, finish: Cal
                     continue
                 if head is not None:
                     yield finished(head, got)
-                flat, ends = next(unpack(batch.column(1)[k].as_py()))
+                flat, ends = next(unpack(shared.open_arrays(batch.column(1)[k].as_py())[0]["packed"].tobytes()))
                 head, got = (batch.column(2)[k].values, flat, ends), []
         if head is not None:
             yield finished(head, got)
