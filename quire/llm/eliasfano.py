@@ -9,6 +9,21 @@ from __future__ import annotations
 import numpy as np
 
 PACK = 1 << 17
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A one in every byte; the pairs, fours and bytes of a word.
+EACH, TWO, FOUR, EIGHT, TOP = (np.uint64(x) for x in (0x0101010101010101, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x8080808080808080))
+#: Where the r-th one of a byte b stands, at r * 256 + b.
+IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for r in range(8) for b in range(256)], np.int64)
+
+
+def select(w: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Where in each 64-bit word its ``rest``-th one stands: running byte counts, then a table of bytes."""
+    s = w - (w >> np.uint64(1) & TWO)
+    s = (s & FOUR) + (s >> np.uint64(2) & FOUR)
+    sums = (s + (s >> np.uint64(4)) & EIGHT) * EACH
+    place = np.minimum(np.bitwise_count((rest * EACH | TOP) - sums & TOP).astype(np.uint64) << np.uint64(3), np.uint64(56))
+    rank = rest - ((sums << np.uint64(8)) >> place & np.uint64(255))
+    return place.astype(np.int64) + IN_BYTE[((rank & np.uint64(7)) << np.uint64(8) | (w >> place & np.uint64(255))).astype(np.int64)]
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -55,36 +70,33 @@ class Sequence:
         self.n, self.width = meta["n"], meta["width"]
 
     @staticmethod
-    def _place(w: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Where in each 64-bit word its ``rest``-th one stands."""
-        pos = np.zeros(len(w), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(w & np.uint64((1 << half) - 1))
-            up = rest >= count
-            rest = np.where(up, rest - count, rest)
-            w = np.where(up, w >> np.uint64(half), w)
-            pos += np.where(up, half, 0)
-        return pos
-
-    def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
-        """How many ones stand before the k-th zero of the bitmap; 0 for k below 0."""
-        at = np.maximum(k, 0)
-        word = np.searchsorted(self.zeros, at.astype(self.zeros.dtype), side="right") - 1
-        rest = (at - self.zeros[word].astype(np.int64)).astype(np.uint8)
-        return np.where(k < 0, 0, word * 64 + self._place(~self.high[word], rest) - at)
-
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """The i-th values."""
-        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
-        rest = (i - self.ones[word].astype(np.int64)).astype(np.uint8)
-        return (word * 64 + self._place(self.high[word], rest) - i) << self.width | unpack(self.low, self.width, i)
+    def _pair(bits: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where the k-th and the next one of a bitmap (zero, if ``flip``) stand."""
+        word = np.searchsorted(before, k.astype(before.dtype), side="right") - 1
+        w = ~bits[word] if flip else bits[word]
+        at = select(w, (k - before[word].astype(np.int64)).astype(np.uint64))
+        after = w & ((ALL << at.astype(np.uint64)) << np.uint64(1))
+        first, then = word * 64 + at, word * 64 + np.bitwise_count((after & (~after + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero(after == 0)  # the next one stands in a later word
+        if len(far):
+            word = np.searchsorted(before, (k[far] + 1).astype(before.dtype), side="right") - 1
+            w = ~bits[word] if flip else bits[word]
+            then[far] = word * 64 + select(w, (k[far] + 1 - before[word].astype(np.int64)).astype(np.uint64))
+        return first, then
+
+    def get(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th and the next values: a range, where the sequence holds pointers."""
+        one, two = self._pair(self.high, self.ones, i, False)
+        return (one - i) << self.width | unpack(self.low, self.width, i), (two - i - 1) << self.width | unpack(self.low, self.width, i + 1)
 
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
         """Index of each value in the sequence, within [begin, stop) if given; -1 where it is absent: a successor search."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
         top = x >> self.width
-        lo, end = self._ones_before_zero(top - 1), self._ones_before_zero(top)
+        lower = np.maximum(top - 1, 0)
+        one, two = self._pair(self.high, self.zeros, lower, True)
+        lo, end = np.where(top > 0, one - lower, 0), np.where(top > 0, two, one) - top
         if begin is not None:
             lo, end = np.maximum(lo, begin), np.minimum(end, stop)
         want, hi = x & ((1 << self.width) - 1), end.copy()

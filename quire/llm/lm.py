@@ -352,7 +352,7 @@ class Model:
             rel = np.minimum(np.searchsorted(word, s.ids[a[q]]), len(word) - 1)
             rel_ok = word[rel] == s.ids[a[q]]
             q, rel = q[rel_ok], rel[rel_ok]
-            pos = ids2.find(rel * v + s.ids[b[q]], to2.get(rel), to2.get(rel + 1))
+            pos = ids2.find(rel * v + s.ids[b[q]], *to2.get(rel))
             q, pos = q[pos >= 0], pos[pos >= 0]
             place[q], p2[q], l2[q] = pos, P_GRID[weights["p2"][pos]], L_GRID[weights["l2"][pos]]
         triple, one, back = np.unique(inverse[at - 2] * m + s.seq[at], return_index=True, return_inverse=True)
@@ -362,7 +362,7 @@ class Model:
         for k, q in self._by_shard(shard[context], np.flatnonzero((place[context] >= 0) & (s.ids[third] >= 0))):
             *_, to3, ids3, weights = _shard(self.folder, k)
             own = place[context[q]]
-            pos = ids3.find(own * v + s.ids[third[q]], to3.get(own), to3.get(own + 1))
+            pos = ids3.find(own * v + s.ids[third[q]], *to3.get(own))
             p3[q[pos >= 0]] = P_GRID[weights["p3"][pos[pos >= 0]]]
         p = p3 + l2[context] * (p2[last] + l1[a[last]] * p1[third])
         return *out, np.bincount(doc, np.log10(np.maximum(p, 1e-300))[back], n)

@@ -40,7 +40,7 @@ PERMS, ROWS, BANDS = 120, 6, 40
 BLOCK = (256, 4096)
 BLOCK_SHINGLES = 1_000_000
 #: Members that meet one copy of their representative's text.
-MEMBERS = 500
+MEMBERS = 64
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
