@@ -1,4 +1,10 @@
-"""Queries over the whole tables, one for each operator, with production parameters."""
+"""Queries over the whole tables, one for each operator, with production parameters.
+
+Each takes (spark, folder of the tables) and reads all rows. Nulls, repeated rows, ties and empty tables
+give what its operator's module states, in the columns of the query. SQL for those that SQL can express
+is in ``oracles``; SQL says nothing about placeholders, sketches, models and tokenizers, so op3, op5,
+op7, op8, op9 and op10 are held against brute force in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.oracles import ORACLE_SQL as ORACLE_SQL
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +29,7 @@ def vocabulary(name: str) -> str:
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.urls import judge_urls
 
-    return judge_urls(_read(spark, sf_dir, "pages"))
+    return judge_urls(_read(spark, sf_dir, "pages")).drop("component")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +104,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
-
-#: DuckDB SQL where it can express the query. The others are held against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
