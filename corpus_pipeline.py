@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``documents``. ``run`` writes each stage's rows as Parquet in the shared folder and rereads them.
+
+Null ids and texts, repeated rows, empty and very long texts and empty tables are taken by every stage as
+its operator's module states: rows without words fail the quality rules, rows with a null id are documents
+of their own, lines and leaks are judged by text, and each row that is kept gets its own token ids.
 """
 
 from __future__ import annotations
@@ -66,7 +70,8 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: SQL can express neither the forest nor BPE; tests/llm holds every stage against brute force.
+#: SQL can express neither the forest nor BPE. tests/llm holds lines, near-dedup, decontamination and BPE against
+#: brute force on each stage's own input, and the first stage against verdicts that are so tested themselves.
 ORACLE_SQL = None
 
 
