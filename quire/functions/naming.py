@@ -13,7 +13,19 @@ from quire.functions.blocks import Block, Refused, read
 
 NAME = regex.compile(r"[a-z0-9][a-z0-9-]*")
 CUSTOM_ID = regex.compile(r"\{#([^{}\s]+)\}\Z")
-NOT_IN_SLUG = regex.compile(r"[^\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\- ]")  # GitHub's class: what Ruby's \p{Word} lacks
+# The slug class is that of Unicode 13.0. These are the letters, marks, digits and connectors of later
+# versions, by code point in hexadecimal; ranges run over what 13.0 leaves unassigned.
+LATER = """
+558 58B-58C 5C8-5C9 870-89F 8B5 8C8-8D2 B53-B54 C3C C5C-C5D CDC-CDD CF3 ECE 170D 1715-171F 180F 1AC1-1AF0 1B4C 1C89-1C8A
+1DFA 208F 209D-209F 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7F4 AB6C-AB6D 10570-105F3 10780-107BF 10940-10959 10D40-10D85
+10EC2-10EFF 10F70-10F85 11070-11075 110C2 1123F-11241 11380-113E2 116D0-116E3 11740-11746 11AB0-11ABF 11B0A-11BF9
+11DB0-11DF1 11F00-11F5A 1246F 12475-1247F 12550-12FF0 1342F 13440-143FA 16100-16139 16A70-16AC9 16D40-16D79 16EA0-16ED3
+16FF2-16FF6 187F8-187FF 18CD6-18CFF 18D09-1AFFE 1B11F-1B132 1B155 1B168 1CCF0-1CF46 1D127-1D128 1D250-1D281 1D6A6
+1DF00-1DFFF 1E030-1E08F 1E290-1E2AE 1E4D0-1E7FE 2A6DE-2A6DF 2B735-2B73F 2B81E 2CEA2-2CEAD 2EBF0-2EE5D 31350-3FC3F
+""".split()
+NEW = "".join("-".join(f"\\U{int(end, 16):08x}" for end in ends.split("-")) for ends in LATER)
+#: What a slug drops: all but word characters, as Ruby's \p{Word} has them, hyphens and spaces.
+NOT_IN_SLUG = regex.compile(rf"[^\p{{Alphabetic}}\p{{M}}\p{{Nd}}\p{{Pc}}\- ]|[{NEW}]")
 MARKUP = regex.compile(r"[*_`\[<&]")
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 CONFLICT = r"(?m)^(?:(?:<{7,}|>{7,}|\|{7,})(?: .*)?|={7,})\r?$"
 
 
-def blob_id(text: Column) -> Column:
-    """The SHA-1 object id of a blob: header with its byte length, a zero byte, the bytes."""
+def blob_id(text: Column, fmt: str = "sha1") -> Column:
+    """The object id (``sha1`` or ``sha256``) of a blob: header with its byte length, a zero byte, the bytes."""
     data = F.encode(text, "UTF-8")
-    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string")), "UTF-8"), F.unhex(F.lit("00")), data))
+    whole = F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string")), "UTF-8"), F.unhex(F.lit("00")), data)
+    return F.sha1(whole) if fmt == "sha1" else F.sha2(whole, 256)
 
 
 def annotation_data(text: Column) -> Column:
@@ -57,17 +58,20 @@ def ascii_slug(text: Column) -> Column:
 
 
 def resolve_path(folder: Column, path: Column) -> Column:
-    """``path`` relative to ``folder``: ``.`` and ``..`` are walked; null if absolute, with a scheme, or above the root."""
+    """``path`` relative to ``folder``: ``.`` and ``..`` are walked, empty segments stay.
+
+    Null if absolute, with a colon in the first segment, or above the root.
+    """
     start = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/"))
     step = lambda at, p: (
         F.when(at.isNull(), at)
-        .when((p == ".") | (p == ""), at)
+        .when(p == ".", at)
         .when((p == "..") & (F.size(at) == 0), F.lit(None).cast("array<string>"))
         .when(p == "..", F.slice(at, 1, F.size(at) - 1))
         .otherwise(F.concat(at, F.array(p)))
     )
     walked = F.aggregate(F.split(path, "/"), start, step)
-    return F.when(path.startswith("/") | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).otherwise(F.array_join(walked, "/"))
+    return F.when(path.startswith("/") | F.contains(F.substring_index(path, "/", 1), F.lit(":")), None).otherwise(F.array_join(walked, "/"))
 
 
 def exceeds(l1: Column, t1: Column, l2: Column, t2: Column) -> Column:
