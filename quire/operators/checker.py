@@ -13,6 +13,7 @@ from quire.operators.documents import DOC, describe
 def verdicts(files: DataFrame) -> DataFrame:
     """(path, refused, code) of decoded (path, text) files; a null text is refused without a code.
 
+    A column ``unread`` marks files that could not be read: they are neither accepted nor refused.
     A file in ``<document>.notes`` beside its document is an annotation: its links may name anything.
     """
     owners = files.select(F.col("path").alias("owner"), F.lit(True).alias("owned")).distinct()
@@ -22,15 +23,16 @@ def verdicts(files: DataFrame) -> DataFrame:
     def code(texts: pd.Series, exempt: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else describe(t, not e)["refusal"] for t, e in zip(texts, exempt, strict=True)], dtype=object)
 
-    known = files.withColumn("owner", owner).join(owners, "owner", "left")
-    found = known.select("path", F.col("text").isNull().alias("broken"), code("text", F.coalesce("owned", F.lit(False))).alias("code"))
-    return found.select("path", (F.col("broken") | F.col("code").isNotNull()).alias("refused"), "code")
+    known = files if "unread" in files.columns else files.withColumn("unread", F.lit(False))
+    known = known.withColumn("owner", owner).join(owners, "owner", "left")
+    found = known.select("path", "unread", F.col("text").isNull().alias("broken"), code("text", F.coalesce("owned", F.lit(False))).alias("code"))
+    return found.select("path", (~F.col("unread") & (F.col("broken") | F.col("code").isNotNull())).alias("refused"), F.when(~F.col("unread"), F.col("code")).alias("code"), "unread")
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """(checked, refused, exit_code): 1 if any file is refused, 2 if there is none at all, else 0."""
-    counts = found.agg(F.count("*").alias("checked"), F.count_if("refused").alias("refused"))
-    return counts.withColumn("exit_code", F.when(F.col("refused") > 0, 1).when(F.col("checked") == 0, 2).otherwise(0))
+    """(checked, refused, unreadable, exit_code): 1 if any file is refused, else 2 if one is unreadable or there is none, else 0."""
+    counts = found.agg(F.count_if(~F.col("unread")).alias("checked"), F.count_if("refused").alias("refused"), F.count_if("unread").alias("unreadable"))
+    return counts.withColumn("exit_code", F.when(F.col("refused") > 0, 1).when((F.col("unreadable") > 0) | (F.col("checked") == 0), 2).otherwise(0))
 
 
 def report(found: DataFrame, annotated: bool = False) -> DataFrame:

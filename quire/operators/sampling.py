@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,26 @@ def first_wins(rows: DataFrame, key: str, order: str, well_formed: Column) -> Da
     return per.where("n_good > 0").withColumn("later", F.col("n_good") - 1)
 
 
-def deal(rows: DataFrame, order: str, items_per_batch: int) -> DataFrame:
-    """Contiguous batches of at most ``items_per_batch`` rows whose sizes differ by one at most."""
-    n = -(-rows.count() // items_per_batch)
-    if n == 0:
+def deal(rows: DataFrame, order: str, items_per_batch: int, parts: int | None = None) -> DataFrame:
+    """Contiguous batches of at most ``items_per_batch`` rows in order, whose sizes differ by one at most.
+
+    Ranges of the order are counted first (a row a range reaches the driver), so a row's place is its place in
+    its range behind those of earlier ranges and no task holds the table. Rows of equal order are equal
+    neighbours: which comes first is open. The first batches take the extra rows.
+    """
+    spark = rows.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.repartitionByRange(n, F.col(order), F.xxhash64(*rows.columns)).withColumn("__part", F.spark_partition_id())
+    laid = laid.persist(StorageLevel.DISK_ONLY)  # both passes must see one set of ranges
+    before, at = {}, 0
+    for part, count in sorted(laid.groupBy("__part").count().collect()):
+        before[part], at = at, at + count
+    batches = -(-at // items_per_batch)
+    if not batches:
         return rows.withColumn("batch", F.lit(0))
-    return rows.withColumn("batch", F.ntile(n).over(Window.orderBy(order)))
+    offset = F.create_map(*[F.lit(x) for part, count in before.items() for x in (part, count)])
+    w = Window.partitionBy("__part").orderBy(order)
+    place = F.row_number().over(w) - 1 + F.element_at(offset, F.col("__part"))
+    size, extra = divmod(at, batches)
+    batch = F.when(place < extra * (size + 1), F.floor(place / (size + 1))).otherwise(extra + F.floor((place - extra * (size + 1)) / max(size, 1))) + 1
+    return laid.withColumn("batch", batch.cast("int")).drop("__part")

@@ -523,3 +523,6 @@ def record_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pinned use of each document's named block."""
     return resolution.transclusions(*repository(spark, sf_dir)).where("ord >= 0").select("referrer", "ord", "status", "document")
+
+
+from quire.plans import measures  # noqa: E402, F401  registers its queries here

@@ -24,10 +24,13 @@ def test_check(spark, root):
         "good.md": (False, None), "sub/B.MD": (True, "raw-html"), "sub/raw.md": (True, None), "x.txt": (True, "raw-html"),
         "good.md.notes/r.md": (False, None), "lost.md.notes/r.md": (True, "dangling-link"), "sub/a b+c%.md": (False, None),
     }
-    assert tuple(checker.summary(found).first()) == (7, 4, 1)
+    assert tuple(checker.summary(found).first()) == (7, 4, 0, 1)
+    lost = spark.createDataFrame([("a.md", "fine\n", False), ("b.md", None, True)], "path string, text string, unread boolean")
+    assert [tuple(r) for r in checker.verdicts(lost).orderBy("path").collect()] == [("a.md", False, None, False), ("b.md", False, None, True)]
+    assert tuple(checker.summary(checker.verdicts(lost)).first()) == (1, 0, 1, 2)
     assert {r.line for r in checker.report(found).where("path like 'sub%'").collect()} == {"sub/raw.md: is not UTF-8", "sub/B.MD: is outside the profile [raw-html]"}
     assert checker.report(found, True).where("path = 'sub/B.MD'").first().line == "::error file=sub/B.MD,title=quire [raw-html]::is outside the profile"
-    assert tuple(checker.summary(found.limit(0)).first()) == (0, 0, 2)
+    assert tuple(checker.summary(found.limit(0)).first()) == (0, 0, 0, 2)
 
 
 def test_every_file_once(spark, root):
