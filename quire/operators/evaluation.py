@@ -114,6 +114,21 @@ def capped(rows: DataFrame, stratum: str, order: list[str], cap: int) -> DataFra
     return rows.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= cap).drop("__place")
 
 
+def rehearsals(rows: DataFrame, by: list[str], checks: dict[str, Column]) -> DataFrame:
+    """Runs of each kind and how many of them pass each check."""
+    return rows.groupBy(*by).agg(F.count("*").alias("runs"), *[F.count_if(c).alias(name) for name, c in checks.items()])
+
+
+def first_match(rows: DataFrame, condition: Column, order: list[str]) -> DataFrame:
+    """The first row in order that meets the condition: each task offers one."""
+    return rows.where(condition).orderBy(*order).limit(1)
+
+
+def is_subset(left: DataFrame, right: DataFrame) -> bool:
+    """Whether every distinct row of ``left`` is one of ``right``; equal sets are subsets of each other."""
+    return left.join(right.distinct(), left.columns, "left_anti").isEmpty()
+
+
 def binomial_bound(k: int, n: int, confidence: float = CONFIDENCE) -> float:
     """One-sided upper bound of a rate after k of n: where so few hits have probability 1 - ``confidence``."""
     if n <= 0 or k >= n:

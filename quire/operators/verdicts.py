@@ -37,6 +37,24 @@ def floor_verdict(decided: Column, undecidable: Column, passed: Column, floor: i
     return verdict, reason
 
 
+def cells(grid: DataFrame, scores: DataFrame, gaps: DataFrame, found: Column, floor: int = FLOOR) -> DataFrame:
+    """Every cell of the grid (arm, mech) with its counts, verdict, reason and, without a finding, the bound 3/n on the rate.
+
+    ``scores`` holds (arm, decided, undecidable, wrong); arms without scores count nothing. A declared gap
+    (arm, mech, gap) overrides what was counted.
+    """
+    joined = grid.join(scores, "arm", "left").na.fill(0, ["decided", "undecidable", "wrong"]).join(F.broadcast(gaps), ["arm", "mech"], "left")
+    verdict, reason = floor_verdict(F.col("decided"), F.col("undecidable"), F.lit(True), floor)
+    gap = F.col("gap").isNotNull()
+    out = joined.withColumn("verdict", F.when(gap, "NO VERDICT").when(found, "FOUND").otherwise(verdict)).withColumn("reason", F.when(gap, F.col("gap")).when(found, "found").otherwise(reason))
+    return out.withColumn("bound", F.when(F.col("verdict") == "NOT FOUND", F.round(3 / F.col("decided"), 5))).drop("gap")
+
+
+def totals(cells: DataFrame) -> DataFrame:
+    """Cells of each verdict and their wrong units."""
+    return cells.groupBy("verdict").agg(F.count("*").alias("cells"), F.sum("wrong").alias("wrong"))
+
+
 def overall(cells: DataFrame) -> DataFrame:
     """Any found cell; else both mechanisms' conditions; else the first one's alone; else open."""
     no = lambda mech: F.bool_and(F.when(F.col("mech") == mech, F.col("verdict") == "NOT FOUND"))

@@ -188,7 +188,8 @@ grid AS (SELECT arm, mech FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('xx')) a
 joined AS (SELECT arm, mech, coalesce(decided, 0) AS decided, coalesce(undecidable, 0) AS undecidable, coalesce(wrong, 0) AS wrong FROM grid LEFT JOIN scores ON arm = scores.lang LEFT JOIN hits ON arm = hits.lang),
 cells AS (SELECT arm, mech, decided, undecidable, wrong,
   CASE WHEN arm = 'es' AND mech = 'R' THEN 'NO VERDICT' WHEN mech = 'Q' AND wrong > 0 THEN 'FOUND' WHEN decided < 300 OR undecidable * 100 > 10 * (decided + undecidable) THEN 'NO VERDICT' ELSE 'NOT FOUND' END AS verdict,
-  CASE WHEN arm = 'es' AND mech = 'R' THEN 'declared gap' WHEN mech = 'Q' AND wrong > 0 THEN 'found' WHEN decided < 300 THEN 'floor' WHEN undecidable * 100 > 10 * (decided + undecidable) THEN 'undecidable' ELSE 'bound' END AS reason FROM joined)
+  CASE WHEN arm = 'es' AND mech = 'R' THEN 'declared gap' WHEN mech = 'Q' AND wrong > 0 THEN 'found' WHEN decided < 300 THEN 'floor' WHEN undecidable * 100 > 10 * (decided + undecidable) THEN 'undecidable' ELSE 'bound' END AS reason FROM joined),
+bounded AS (SELECT *, CASE WHEN verdict = 'NOT FOUND' THEN round(3.0 / decided, 5) END AS bound FROM cells)
 """
 
 
@@ -199,13 +200,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rows.groupBy("lang").agg(F.count_distinct(F.when(F.col("wrong"), F.col("unit"))).alias("wrong"))
     arms = [F.explode(F.array(*map(F.lit, ("en", "de", "fr", "es", "xx")))).alias("arm"), F.array(F.lit("Q"), F.lit("R")).alias("m")]
     grid = spark.range(1).select(*arms).select("arm", F.explode("m").alias("mech"))
-    joined = grid.join(scores, grid["arm"] == scores["lang"], "left").drop("lang").join(hits, grid["arm"] == hits["lang"], "left").drop("lang").na.fill(0)
-    verdict, reason = verdicts.floor_verdict(F.col("decided"), F.col("undecidable"), F.lit(True))
-    gap, found = (F.col("arm") == "es") & (F.col("mech") == "R"), (F.col("mech") == "Q") & (F.col("wrong") > 0)
-    return joined.withColumn("verdict", F.when(gap, "NO VERDICT").when(found, "FOUND").otherwise(verdict)).withColumn("reason", F.when(gap, "declared gap").when(found, "found").otherwise(reason))
+    gaps = spark.createDataFrame([("es", "R", "declared gap")], "arm string, mech string, gap string")
+    per = scores.join(hits, "lang").withColumnRenamed("lang", "arm")
+    return verdicts.cells(grid, per, gaps, (F.col("mech") == "Q") & (F.col("wrong") > 0))
 
 
-@query(CELLS + "SELECT * FROM cells")
+@query(CELLS + "SELECT * FROM bounded")
 def verdict_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir)
 
@@ -222,17 +222,6 @@ def version_gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.version_gap_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 2)
 
 
-@query("""
-SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS modified, count(*) FILTER (WHERE event_type = 'view') AS added, count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) AS other,
-       count(*) FILTER (WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) AS unselected FROM events GROUP BY user_id""")
-def change_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types stand for change statuses; customers of one segment for the selected paths."""
-    chosen = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("selected"))
-    kind = F.col("event_type")
-    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind == "click").alias("modified"), F.count_if(kind == "view").alias("added"), F.count_if(~kind.isin("click", "view")).alias("other"), F.count("*").alias("n"))
-    return per.join(chosen, "user_id", "left").select("user_id", "modified", "added", "other", F.when(F.col("selected"), 0).otherwise(F.col("n")).alias("unselected"))
-
-
 @query(LINES + """, a AS (SELECT content FROM units WHERE source = 'src0'), b AS (SELECT content FROM units WHERE source = 'src1')
 SELECT content, count(*) AS n, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY content UNION ALL SELECT content, count(*), 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY content""")
 def bag_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,15 +239,6 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.agg(F.count_if(l & r).alias("both_sides"), F.count_if(l & ~r).alias("only_left"), F.count_if(r & ~l).alias("only_right"), F.count("*").alias("either"))
 
 
-@query("SELECT count(*) AS packets, count(*) FILTER (WHERE quality = toxic) AS agree, count(*) FILTER (WHERE quality <> toxic) AS differ FROM labels")
-def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two label columns stand for two runs over the same packets."""
-    labels = table(spark, sf_dir, "labels")
-    same = F.col("a") == F.col("b")
-    joined = labels.select("doc_id", F.col("quality").alias("a")).join(labels.select("doc_id", F.col("toxic").alias("b")), "doc_id")
-    return joined.agg(F.count("*").alias("packets"), F.count_if(same).alias("agree"), F.count_if(~same).alias("differ"))
-
-
 @query("SELECT CASE WHEN toxic = 1 THEN 'A' WHEN quality = 1 THEN 'B' ELSE 'C' END AS tier, quality AS q1, toxic AS q2, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL")
 def answer_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
@@ -290,15 +270,17 @@ def duplicate_slug_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT p_partkey, p_brand, p_type, replace(regexp_replace(lower(p_name), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS slug FROM part),
-n AS (SELECT p_brand AS doc, slug, count(*) AS n FROM s GROUP BY ALL)
-SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'name' WHEN n = 1 THEN 'slug' ELSE '#REF!(' || s.slug || ')' END AS target FROM s JOIN n ON p_brand = doc AND s.slug = n.slug""")
+WITH s AS (SELECT p_partkey AS k, p_brand, replace(regexp_replace(lower(p_name), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS slug, p_partkey % 10 = 0 AS marked FROM part),
+n AS (SELECT *, count(*) OVER (PARTITION BY p_brand, slug) AS n, row_number() OVER w - 1 + count(*) FILTER (WHERE marked) OVER w AS node FROM s WINDOW w AS (PARTITION BY p_brand ORDER BY k))
+SELECT k AS p_partkey, CASE WHEN marked OR n = 1 THEN '{"node":[' || node || '],"type":"heading"}' ELSE '#REF!(' || slug || ')' END AS target FROM n""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A brand is a document, a part a heading; every tenth part also has a marker of its own."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", scalars.ascii_slug(F.col("p_name")).alias("slug"))
-    n = F.count("*").over(Window.partitionBy("p_brand", "slug"))
-    target = F.when(F.col("p_partkey") % 10 == 0, "name").when(n == 1, "slug").otherwise(F.concat(F.lit("#REF!("), F.col("slug"), F.lit(")")))
-    return rows.select("p_partkey", target.alias("target"))
+    """A brand is a document, its parts are headings; every tenth has a marker of its own. The document is read and names resolved in it."""
+    mark = F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("m"), F.col("p_partkey").cast("string")))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", mark.alias("mark"))
+    piece = F.concat(F.coalesce(F.concat(F.lit("<!-- #"), "mark", F.lit(" -->\n\n")), F.lit("")), F.lit("# "), "p_name")
+    texts = rows.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", piece.alias("piece")))).alias("x"))
+    read = texts.select("p_brand", documents.parse(F.array_join(F.transform("x", lambda y: y["piece"]), "\n\n")).alias("doc"))
+    return rows.join(read, "p_brand").select("p_partkey", documents.resolve(F.col("doc"), F.coalesce("mark", scalars.ascii_slug(F.col("p_name")))).alias("target"))
 
 
 @query("""
@@ -332,18 +314,6 @@ def marker_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<!-- ?([a-z]+) ?([0-9]*) ?-->"), 1)).alias("marker"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: translate(x, chr(32) || chr(9), '') <> ''))::INTEGER AS lines, 0 AS uncovered, 0 AS overlapping FROM documents WHERE lines > 0")
-def partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks (halves of a document's lines) must cover every non-blank line once, in order."""
-    n = F.size(F.filter(F.split("text", "\r\n|\r|\n"), lambda x: ~census.is_blank(x)))
-    docs = docs_of(spark, sf_dir).select("doc_id", n.alias("lines")).where("lines > 0")
-    half = F.floor(F.col("lines") / 2).cast("int")
-    blocks = docs.select("doc_id", "lines", F.explode(F.array(F.struct(F.lit(1).alias("start"), half.alias("end")), F.struct((half + 1).alias("start"), F.col("lines").alias("end")))).alias("b")).select("doc_id", "lines", "b.*")
-    w = Window.partitionBy("doc_id").orderBy("start", "end")
-    over = blocks.withColumn("late", F.coalesce(F.lag("end").over(w), F.lit(0)) >= F.col("start"))
-    return over.groupBy("doc_id", "lines").agg((F.col("lines") - F.sum(F.greatest(F.col("end") - F.col("start") + 1, F.lit(0)))).cast("int").alias("uncovered"), F.count_if(F.col("late") & (F.col("end") >= F.col("start"))).cast("int").alias("overlapping"))
-
-
 #: Sentences of a conversation's turns: a turn is a snapshot, a sentence a leaf.
 LEAVES = """
 WITH leaves AS (SELECT conv_id, turn, unnest(list_filter(string_split(text, '. '), lambda x: x <> '')) AS leaf, generate_subscripts(list_filter(string_split(text, '. '), lambda x: x <> ''), 1) - 1 AS pos FROM conversations)
@@ -388,11 +358,17 @@ def git_blob_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_of(spark, sf_dir).select("doc_id", scalars.blob_id(F.col("text")).alias("oid"))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'docs/' || page_id || '.md' WHEN 1 THEN 'img/' || page_id || '.md' WHEN 2 THEN page_id || '.md' ELSE NULL END AS path FROM pages")
+@query("""
+WITH r AS (SELECT page_id, regexp_extract(url, '://[^/]*/(.*)', 1) AS p FROM pages),
+f AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN '../' || p WHEN 1 THEN './' || p WHEN 2 THEN p || '/../x' WHEN 3 THEN '../../' || p WHEN 4 THEN '/' || p WHEN 5 THEN replace(p, '/', '//./') ELSE replace(p, '/', ':') END AS raw FROM r),
+w AS (SELECT *, list_reduce(list_concat([['docs']], list_transform(string_split(raw, '/'), lambda s: [s])),
+  lambda acc, s: CASE WHEN acc IS NULL THEN NULL WHEN s[1] = '.' THEN acc WHEN s[1] <> '..' THEN list_concat(acc, s) WHEN len(acc) = 0 THEN NULL ELSE acc[1:len(acc) - 1] END) AS walked FROM f)
+SELECT page_id, CASE WHEN starts_with(raw, '/') OR contains(string_split(raw, '/')[1], ':') THEN NULL ELSE array_to_string(walked, '/') END AS path FROM w""")
 def path_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = ["./%d.md", "../img/./%d.md", "../%d.md", "../../%d.md", "/%d.md"]
-    kind = (F.col("page_id") % 5 + 1).cast("int")
-    raw = F.replace(F.element_at(F.array(*map(F.lit, forms)), kind), F.lit("%d"), F.col("page_id").cast("string"))
+    """Paths of urls in seven forms: above, here, back, above the root, absolute, with empty segments, with a colon."""
+    p = F.regexp_extract("url", "://[^/]*/(.*)", 1)
+    forms = [F.concat(F.lit("../"), p), F.concat(F.lit("./"), p), F.concat(p, F.lit("/../x")), F.concat(F.lit("../../"), p), F.concat(F.lit("/"), p), F.replace(p, F.lit("/"), F.lit("//./")), F.replace(p, F.lit("/"), F.lit(":"))]
+    raw = F.element_at(F.array(*forms), (F.col("page_id") % 7 + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", scalars.resolve_path(F.lit("docs"), raw).alias("path"))
 
 
@@ -402,19 +378,6 @@ def annotation_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_of(spark, sf_dir).select("doc_id", F.sha2(F.concat(F.lit("::error file="), place, F.lit("::"), scalars.annotation_data(F.col("text"))), 256).alias("line"))
 
 
-@query("""SELECT doc_id, '{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}' AS line FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL""")
-def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").select("doc_id", F.to_json(F.struct("doc_id", "quality", "toxic")).alias("line"))
-
-
-@query("SELECT count(*) AS checked, count(*) FILTER (WHERE contains(text, '<')) AS refused, 0::BIGINT AS unread, CASE WHEN count(*) FILTER (WHERE contains(text, '<')) > 0 THEN 1 ELSE 0 END AS exit_code FROM documents")
-def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with an angle bracket stand for refused files; refused beats unread beats passed."""
-    bad = F.count_if(F.contains("text", F.lit("<")))
-    per = docs_of(spark, sf_dir).agg(F.count("text").alias("checked"), bad.alias("refused"), F.count_if(F.col("text").isNull()).alias("unread"))
-    return per.withColumn("exit_code", F.when(F.col("refused") > 0, 1).when(F.col("unread") > 0, 2).otherwise(0))
-
-
 @query("""SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL""")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows; the streaming form is in quire.streaming.windows."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import scalars
-from quire.operators import checker, documents, evaluation, sampling
-from quire.plans.catalogue import docs_of, query
+from quire.operators import checker, documents, evaluation, sampling, verdicts
+from quire.plans.catalogue import CELLS, cells, docs_of, query
 from quire.session import table
 from quire.sources import records
 
@@ -278,3 +278,30 @@ def case_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir).select(F.col("doc_id").alias("k"), "lang", "source")
     got = docs.where("k % 50 <> 0").withColumn("lang", F.when(F.col("k") % 7 == 0, "xx").otherwise(F.col("lang")))
     return evaluation.differences(docs, got, "k")
+
+
+@query(CELLS + "SELECT verdict, count(*) AS cells, sum(wrong)::BIGINT AS wrong FROM bounded GROUP BY verdict")
+def verdict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.totals(cells(spark, sf_dir))
+
+
+@query("SELECT role, length(text) > 200 AS long, count(*) AS runs, count(*) FILTER (WHERE contains(text, 'the')) AS q1, count(*) FILTER (WHERE turn = 0) AS q2 FROM conversations GROUP BY ALL")
+def rehearsal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn is a run: its role the prompt, its length the size, two tests of it the checks."""
+    turns = table(spark, sf_dir, "conversations").withColumn("long", F.length("text") > 200)
+    return evaluation.rehearsals(turns, ["role", "long"], {"q1": F.contains("text", F.lit("the")), "q2": F.col("turn") == 0})
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'license') ORDER BY doc_id LIMIT 1")
+def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.first_match(docs_of(spark, sf_dir), F.contains("text", F.lit("license")), ["doc_id"]).select("doc_id")
+
+
+@query(r"""
+SELECT doc_id, sha256(regexp_replace(text, '[\t\n\r ]+', ' ', 'g')) AS collapsed, len(list_filter(regexp_split_to_array(text, '[\t\n\r ]+'), lambda x: x <> ''))::INTEGER AS words,
+       40 * (length(text) // 3) * length(source) - 40 * length(lang) * length(text) >= 3 * length(text) * length(source) AS beats FROM documents""")
+def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space collapsed, words counted, and an exact margin between ratios of lengths."""
+    n = F.length("text")
+    beats = scalars.exceeds(F.floor(n / 3), n, F.length("lang"), F.length("source"))
+    return docs_of(spark, sf_dir).select("doc_id", F.sha2(scalars.collapse(F.col("text")), 256).alias("collapsed"), F.size(scalars.words(F.col("text"))).alias("words"), beats.alias("beats"))

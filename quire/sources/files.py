@@ -43,13 +43,13 @@ def tree(spark: SparkSession, root: str, glob: str | None = None, skipped: Seque
 
 
 def collect(spark: SparkSession, root: str, named: Sequence[str] = ()) -> DataFrame:
-    """(path, content) of the documents below a folder, and of files below it that are named whatever their suffix."""
+    """(path, content) of the documents below a folder, and of files below it that are named whatever their suffix, each path once."""
     found = tree(spark, root, SUFFIX)
     for name in named:
         one = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{name}")
         content = one.agg(F.coalesce(F.first("content"), F.lit(b"")).alias("content"))  # an empty file gives no row
         found = found.unionByName(content.select(F.lit(name).alias("path"), "content"))
-    return found.dropDuplicates(["path"])
+    return found.groupBy("path").agg(F.min("content").alias("content"))
 
 
 def decoded(files: DataFrame) -> DataFrame:

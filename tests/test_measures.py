@@ -143,3 +143,26 @@ def test_paths_slugs_and_brackets(spark):
 def test_hundreds_of_edited_leaves():
     base, cur = ([("p", f"leaf {k} " + " ".join(f"{w}{k * 7 % 83}" for w in "abcdefgh") + tail) for k in range(200)] for tail in (" old", " new"))
     assert len(pair_leaves(base, cur)) == 200
+
+
+def test_sets_and_rebuilding(spark):
+    a, b = spark.range(3), spark.range(5)
+    assert evaluation.is_subset(a, b) and not evaluation.is_subset(b, a) and evaluation.is_subset(a, a.union(a))
+    rows = spark.createDataFrame([("i1", TEXT, TEXT), ("i2", TEXT, None), ("i3", TEXT, "gone")], "id string, before string, after string")
+    whole = evaluation.evaluate(rows, ["id"])
+    again = evaluation.rebuild(rows, "id", "i1", ["id"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, whole.where("id = 'i1'").collect())) and whole.where("id = 'i2'").count() == 0
+
+
+def test_first_answers_on_a_stream(spark, tmp_path):
+    from quire.streaming import windows
+
+    (tmp_path / "in").mkdir()
+    for k, lines in enumerate((["a 1", "b 2", "a 3"], ["b 4", "c 5"])):
+        rows = [json.dumps({"ts": f"2024-01-01T00:00:{int(x[2:]):02d}Z", "k": x[0], "v": int(x[2:])}) for x in lines]
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(rows))
+    answers = spark.readStream.schema("ts timestamp, k string, v int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    stream = windows.first_answers(answers, "ts", "k", "1 hour").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    stream.awaitTermination(120)
+    got = {r.k: r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"] in (2, 4) and got["a"] in (1, 3)
