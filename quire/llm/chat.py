@@ -9,9 +9,10 @@ backslash is doubled, and a backslash is put into every ``##`` and ``</turn>`` (
 colons), so control strings never occur there; dropping each backslash that precedes a character
 gives the original back. The mask is a span of code points [loss_start, loss_end) of the example.
 
-Turns are ordered by (turn, role, text); repeated rows stay. A null role or text is empty. A null
-conversation id is one conversation. A conversation is one training document and must fit one row.
-DataFrame expressions only; the one shuffle is by conversation.
+Turns are ordered by (turn, role, text); repeated rows stay. A null role or text is empty. A row
+without a conversation id is a conversation of its own, so such rows never meet in one task (``lone``
+tells them apart). A conversation is one training document and must fit one row. DataFrame expressions
+only; the one shuffle is by conversation.
 """
 
 from __future__ import annotations
@@ -37,17 +38,18 @@ def render(role: Column, text: Column) -> Column:
 
 
 def examples(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end (both null without a target)."""
+    """conv_id, lone (null with an id), example, text, loss_start, loss_end (both null without a target)."""
     own = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    turns = F.sort_array(F.collect_list(own))
-    conv = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(turns.alias("turns"))
+    turns = F.sort_array(F.collect_list("own"))
+    lone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    conv = rows.select(F.col(conv_col).alias("conv_id"), lone.alias("lone"), own.alias("own")).groupBy("conv_id", "lone").agg(turns.alias("turns"))
     pieces = F.transform("turns", lambda t: F.struct((t["role"] == ASSISTANT).alias("target"), render(t["role"], t["text"]).alias("piece"), F.length(escape(t["text"])).alias("n")))
-    conv = conv.select("conv_id", pieces.alias("p"))
-    each = conv.select("conv_id", "p", F.posexplode("p").alias("example", "last")).where((F.col("last.target")) | (F.col("example") == F.size("p") - 1))
+    conv = conv.select("conv_id", "lone", pieces.alias("p"))
+    each = conv.select("conv_id", "lone", "p", F.posexplode("p").alias("example", "last")).where((F.col("last.target")) | (F.col("example") == F.size("p") - 1))
     text = F.array_join(F.transform(F.slice("p", F.lit(1), F.col("example") + 1), lambda x: x["piece"]), "")
-    each = each.select("conv_id", "example", text.alias("text"), F.col("last.target").alias("target"), F.col("last.n").alias("n"))
+    each = each.select("conv_id", "lone", "example", text.alias("text"), F.col("last.target").alias("target"), F.col("last.n").alias("n"))
     stop = F.length("text") - len(END)
-    return each.select("conv_id", "example", "text", F.when(F.col("target"), stop - F.col("n")).alias("loss_start"), F.when(F.col("target"), stop).alias("loss_end"))
+    return each.select("conv_id", "lone", "example", "text", F.when(F.col("target"), stop - F.col("n")).alias("loss_start"), F.when(F.col("target"), stop).alias("loss_end"))
 
 
 def read_turns(text: Column) -> Column:
@@ -61,7 +63,7 @@ def read_turns(text: Column) -> Column:
 def digest(formatted: DataFrame) -> DataFrame:
     """What the formatted examples hold, read back from them, per conversation."""
     loss = F.when(F.col("loss_start").isNotNull(), unescape(F.substr("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))))
-    per = formatted.select("conv_id", "example", "text", loss.alias("loss")).groupBy("conv_id").agg(
+    per = formatted.select("conv_id", "lone", "example", "text", loss.alias("loss")).groupBy("conv_id", "lone").agg(
         F.max_by("text", "example").alias("longest"),
         F.sort_array(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss")))).alias("losses"),
         F.sum(F.length("text")).alias("formatted_chars"),

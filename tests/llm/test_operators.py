@@ -267,6 +267,8 @@ def test_chat(spark):
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert Counter(r.conv_id for r in out.collect()) == Counter({1: 3, 2: 1, 3: 1, None: 1})
     assert chat.digest(chat.examples(frame.limit(0))).count() == 0
+    lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "assistant", "b"), (None, 0, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert Counter((r.conv_id, r.n_turns, r.loss_chars) for r in chat.digest(chat.examples(lone)).collect()) == {(None, 1, 0): 1, (None, 1, 1): 2}
 
 
 def test_chat_long_roles(spark):
