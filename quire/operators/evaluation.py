@@ -240,6 +240,35 @@ def differences(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
     return joined.where(~F.col("expected").eqNullSafe(F.col("got")))
 
 
+def alterations(expected: DataFrame, key: str) -> DataFrame:
+    """(key, kind, field, answer): every answer that differs from an expected one in one field.
+
+    ``answer`` maps fields to JSON. A field is dropped, altered, or one is added; a comparison that lets any of
+    them pass compares too little.
+    """
+    fields = [c for c in expected.columns if c != key]
+    answer = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("null")) for c in fields]))
+    rows = expected.select(key, answer.alias("a"))
+    own = rows.select(key, "a", F.explode(F.map_keys("a")).alias("field"))
+    dropped = own.select(key, F.lit("drop").alias("kind"), "field", F.map_filter("a", lambda k, _: k != F.col("field")).alias("answer"))
+    altered = own.select(key, F.lit("alter").alias("kind"), "field", F.transform_values("a", lambda k, v: F.when(k == F.col("field"), F.lit('{"v":"altered"}')).otherwise(v)).alias("answer"))
+    added = rows.select(key, F.lit("add").alias("kind"), F.lit("extra").alias("field"), F.map_concat("a", F.create_map(F.lit("extra"), F.lit('{"v":1}'))).alias("answer"))
+    return dropped.union(altered).union(added)
+
+
+def control_gate(lines: DataFrame, line: str, pattern: str, most: int = 0) -> DataFrame:
+    """(line, n, ok) of report lines that match: the number the pattern takes out must not exceed ``most``."""
+    n = F.regexp_extract(line, pattern, 1)
+    return lines.where(F.col(line).rlike(pattern)).select(line, n.cast("long").alias("n"), (n.cast("long") <= most).alias("ok"))
+
+
+def changed_declarations(versions: DataFrame, key: str, order: list[str], entry: str) -> DataFrame:
+    """Versions whose entry isn't what its key first declared: declarations don't change."""
+    w = Window.partitionBy(key).orderBy(*order)
+    first = F.first(entry).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return versions.withColumn("declared", first).where(~F.col(entry).eqNullSafe(F.col("declared")))
+
+
 def disallowed(files: DataFrame, allowed: list[str]) -> DataFrame:
     """(packet, path) of files that the allow-list of patterns doesn't name."""
     return files.where(~F.col("path").rlike("^(?:" + "|".join(allowed) + ")$")).select("packet", "path")

@@ -305,3 +305,29 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     beats = scalars.exceeds(F.floor(n / 3), n, F.length("lang"), F.length("source"))
     return docs_of(spark, sf_dir).select("doc_id", F.sha2(scalars.collapse(F.col("text")), 256).alias("collapsed"), F.size(scalars.words(F.col("text"))).alias("words"), beats.alias("beats"))
+
+
+@query("""
+WITH e AS (SELECT doc_id, coalesce('{"v":' || quality || '}', '{}') AS q, coalesce('{"v":' || toxic || '}', '{}') AS t FROM labels), x AS (SELECT '{"v":"altered"}' AS x)
+SELECT doc_id, 'drop' AS kind, 'quality' AS field, 'toxic=' || t AS answer FROM e UNION ALL SELECT doc_id, 'drop', 'toxic', 'quality=' || q FROM e
+UNION ALL SELECT doc_id, 'alter', 'quality', 'quality=' || x || ' toxic=' || t FROM e, x UNION ALL SELECT doc_id, 'alter', 'toxic', 'quality=' || q || ' toxic=' || x FROM e, x
+UNION ALL SELECT doc_id, 'add', 'extra', 'extra={"v":1} quality=' || q || ' toxic=' || t FROM e""")
+def answer_alterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label is a case with two expected fields."""
+    rows = evaluation.alterations(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    entries = F.transform(F.array_sort(F.map_entries("answer")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("doc_id", "kind", "field", F.array_join(entries, " ").alias("answer"))
+
+
+@query("SELECT line, n, n <= 40 AS ok FROM (SELECT p_type || ': ' || p_size AS line, p_size::BIGINT AS n FROM part)")
+def control_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is a report line; its size is the number that the gate bounds."""
+    lines = table(spark, sf_dir, "part").select(F.concat("p_type", F.lit(": "), F.col("p_size").cast("string")).alias("line"))
+    return evaluation.control_gate(lines, "line", ": ([0-9]+)$", 40)
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority, first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS declared FROM orders QUALIFY o_orderpriority IS DISTINCT FROM declared")
+def changed_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are versions of one declaration, their priority its entry."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority")
+    return evaluation.changed_declarations(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderpriority").drop("o_orderdate")

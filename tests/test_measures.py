@@ -166,3 +166,14 @@ def test_first_answers_on_a_stream(spark, tmp_path):
     stream.awaitTermination(120)
     got = {r.k: r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert set(got) == {"a", "b", "c"} and got["b"] in (2, 4) and got["a"] in (1, 3)
+
+
+def test_every_alteration_is_noticed(spark):
+    expected = spark.createDataFrame([("c", True, "x"), ("d", False, None)], "case string, accept boolean, code string")
+    rows = evaluation.alterations(expected, "case").collect()
+    assert len(rows) == 10
+    for r in rows:
+        own = {"accept": '{"v":true}', "code": '{"v":"x"}'} if r["case"] == "c" else {"accept": '{"v":false}', "code": "{}"}
+        assert r.answer != own and sum(r.answer.get(f) != own.get(f) for f in {*r.answer, *own}) == 1
+    got = spark.createDataFrame([("c", False, "x")], "case string, accept boolean, code string")
+    assert {(r["case"], r.field) for r in evaluation.differences(expected, got, "case").collect()} == {("c", "accept"), ("d", "accept"), ("d", "code")}
