@@ -16,7 +16,7 @@ Slot consistency: along one alignment (document position minus item position), o
 and a window's reach beyond, every slot value of the item must stand for one value in the document. An
 alignment that breaks this keeps only the windows that are equal word for word. A document is
 contaminated by an item if its alignments together cover at least ``COVER`` percent of the item's
-windows.
+windows; the slots that changed are told of the alignment that covers most (of several, with fewest).
 
 Documents are judged by their text (its MD5), so rows with equal texts are judged once and alike,
 whatever their ids; ids may be null, repeated or of any type. Null and empty texts match nothing,
@@ -161,7 +161,7 @@ def text_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     at = (F.col("t") == F.col("d")) & F.col("item_id").eqNullSafe(F.col("e")) & (F.col("shift") == F.col("s"))
     good = hits.join(judged, at, "left").where(F.col("same") | ~F.coalesce("bad", F.lit(False)))
     per_shift = good.groupBy("t", "item_id", "n_windows", "shift").agg(F.collect_set("j").alias("js"), F.max(F.coalesce("c", F.lit(0))).alias("c"))
-    out = per_shift.groupBy("t", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_matched"), F.sum("c").alias("n_changed"))
+    out = per_shift.groupBy("t", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_matched"), F.max_by("c", F.struct(F.size("js"), -F.col("c"))).alias("n_changed"))
     out = out.where(100 * F.col("n_matched") >= COVER * F.col("n_windows"))
     return shared.cut(out.select("t", "item_id", F.col("n_windows").cast("long"), "n_matched", "n_changed"), "leaks")
 
