@@ -303,6 +303,7 @@ def partition_problems(rows: DataFrame, doc: str, text: str, blocks: str) -> Dat
     """
     lines = F.split(F.col(text), "\r\n|\r|\n")
     filled = F.filter(F.transform(lines, lambda x, i: F.when(F.translate(x, " \t", "") != "", i + 1)), lambda x: x.isNotNull())
-    inside = lambda n: F.exists(F.col(blocks), lambda b: n.between(b["start"], b["end"]))
+    none = F.array().cast("array<int>")
+    held = F.flatten(F.transform(F.col(blocks), lambda b: F.when(b["start"] <= b["end"], F.sequence(b["start"], b["end"])).otherwise(none)))
     steps = F.transform(F.col(blocks), lambda b, i: F.when(i > 0, F.coalesce(F.get(F.col(blocks), F.greatest(i - 1, F.lit(0)))["end"] >= b["start"], F.lit(False))).otherwise(F.lit(False)))
-    return rows.select(doc, F.size(F.filter(filled, lambda n: ~inside(n))).alias("uncovered"), F.size(F.filter(steps, lambda x: x)).alias("overlapping"))
+    return rows.select(doc, F.size(F.array_except(filled, held)).alias("uncovered"), F.size(F.filter(steps, lambda x: x)).alias("overlapping"))

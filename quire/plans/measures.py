@@ -265,7 +265,8 @@ def block_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reader's own blocks cover every line once; without blocks every line is uncovered."""
     rows = docs_of(spark, sf_dir).select("doc_id", "text", documents.parse("text").alias("doc")).where("doc.accept").select("doc_id", "text", "doc.blocks")
     good = evaluation.partition_problems(rows, "doc_id", "text", "blocks")
-    bare = evaluation.partition_problems(rows.withColumn("blocks", F.slice("blocks", 1, 0)), "doc_id", "text", "blocks").select("doc_id", F.col("uncovered").alias("without_blocks"))
+    empty = F.array().cast("array<struct<type string, start int, end int>>")
+    bare = evaluation.partition_problems(docs_of(spark, sf_dir).select("doc_id", "text", empty.alias("blocks")), "doc_id", "text", "blocks").select("doc_id", F.col("uncovered").alias("without_blocks"))
     return good.join(bare, "doc_id").where("without_blocks > 0")
 
 
