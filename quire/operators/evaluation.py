@@ -91,6 +91,13 @@ def merge_reproductions(first: DataFrame, second: DataFrame, key: str, value: st
     return per.select(key, F.when(F.col("d") == 1, F.col(value)).alias(value), "sources", (F.col("d") > 1).alias("disagree"))
 
 
+def agreement(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: packets that both runs answer, and how many of these they answer alike and differently."""
+    both = first.select(key, F.col(value).alias("a")).join(second.select(key, F.col(value).alias("b")), key)
+    same = F.col("a").eqNullSafe(F.col("b"))
+    return both.agg(F.count("*").alias("packets"), F.count_if(same).alias("agree"), F.count_if(~same).alias("differ"))
+
+
 def missing_controls(refusals: DataFrame, cases: DataFrame) -> DataFrame:
     """(case_id, control) of controls that are no case or don't accept; refusals hold (case_id, controls), cases (case_id, accept)."""
     wanted = refusals.select("case_id", F.explode("controls").alias("control"))

@@ -332,3 +332,12 @@ def changed_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders are versions of one declaration, their priority its entry."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority")
     return evaluation.changed_declarations(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderpriority").drop("o_orderdate")
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN 0 ELSE 1 END AS v FROM documents WHERE lang <> 'de')
+SELECT count(*) AS packets, count(*) FILTER (WHERE quality IS NOT DISTINCT FROM v) AS agree, count(*) FILTER (WHERE quality IS DISTINCT FROM v) AS differ FROM labels JOIN d USING (doc_id)""")
+def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are one run over the documents, a guess from their length a second one that leaves a language out."""
+    guess = docs_of(spark, sf_dir).where("lang <> 'de'").select("doc_id", F.when(F.col("n_chars") < 300, 0).otherwise(1).alias("v"))
+    return evaluation.agreement(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v")), guess, "doc_id", "v")
