@@ -92,6 +92,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
@@ -103,4 +109,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_records": op8_token_records,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_simhash": op13_simhash,
 }
