@@ -85,3 +85,38 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id =
 """
 
 ORACLE_SQL = {"op1_url_filters": URL, "op2_sharding": SHARDS, "op4_chat_formatting": CHAT, "op6_minhash": NEAR}
+
+
+def _codes() -> str:
+    """Six rounds of assignment and floored means, then codes: one chain of tables."""
+    near = lambda k: f"""
+near{k} AS MATERIALIZED (
+  SELECT v.n, v.p, arg_min(b.e, (d, b.e)) AS e, min(d) AS d
+  FROM parts v JOIN book{k} b USING (p), LATERAL (SELECT list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d)
+  GROUP BY v.n, v.p
+)"""
+    move = lambda k: f"""
+means{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT p, e, i, ((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+    FROM near{k} JOIN parts USING (n, p), (SELECT unnest(range(1, (SELECT len(x) FROM parts LIMIT 1) + 1)) AS i) GROUP BY p, e, i
+  ) GROUP BY p, e
+),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN means{k} m USING (p, e))"""
+    steps = ",".join(near(k) + "," + move(k) for k in range(6)) + "," + near(6)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS x,
+         row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+parts AS MATERIALIZED (SELECT n, p, list_slice(x, p * len(x) // 8 + 1, (p + 1) * len(x) // 8) AS x FROM kept, (SELECT unnest(range(8)) AS p)),
+book0 AS (SELECT p, n - 1 AS e, x FROM parts WHERE n <= 16),{steps},
+codes AS (SELECT n, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near6 GROUP BY n),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (n), books
+"""
+
+
+ORACLE_SQL["op12_vector_codes"] = _codes()
