@@ -120,3 +120,36 @@ FROM codes JOIN kept USING (n), books
 
 
 ORACLE_SQL["op12_vector_codes"] = _codes()
+
+ORACLE_SQL["op11_source_divergence"] = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+),
+said AS (
+  SELECT n, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows
+),
+kept AS (SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT n) >= 30),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM rows),
+counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM said GROUP BY ALL) c USING (lang, source, term)
+),
+p AS (
+  SELECT *, 1 + ((n + 5)::HUGEINT * 1000000000 // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)) AS p FROM counts JOIN size USING (lang)
+),
+q AS (
+  SELECT lang, term, 1 + ((n + 5)::HUGEINT * 1000000000 // (sum(n) OVER (PARTITION BY lang) + 5 * v)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term) JOIN size USING (lang)
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) d
+    ON d.lang = a.lang AND d.s = a.source AND d.t = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
+"""
