@@ -5,37 +5,30 @@
    out by an exact count. For the others a HyperLogLog sketch of sites per line hash is merged by
    aggregation: its size doesn't depend on how often a line occurs.
 3. Lines whose estimate lies near the threshold (three standard errors, one at least) get an exact
-   distinct count; those clearly above go on, those clearly below don't.
-4. A text that was copied to several sites adds one to the spread of its lines: of the lines that
-   stand on enough sites, the same count is made of witnesses. The witness of a text is its site or,
-   where the text has copies on other sites, the group of its copies. Lines that reach ``MIN_SITES`` in
-   both counts are boilerplate.
-5. Marked lines are taken out of every text; the others stay in place and order.
-
-Copies are equal texts and edited ones: texts whose five-word shingles have an estimated Jaccard
-similarity of ``ALIKE`` or more, linked by connected components. Each text that holds a line on enough
-sites is sketched by one hash per shingle, the least in each of ``BINS`` bins; texts that agree in all
-bins of a band are compared on their whole sketches, each with the smallest of its bucket.
-
-A text that consists of marked and blank lines only has nothing else to keep and is left as it is.
-
-A null text stays null and an empty one empty; blank lines stay; a null site counts as
-none. Every occurrence of a marked line goes, repeated rows alike. DataFrame expressions only.
+   distinct count; those clearly above are boilerplate, those clearly below aren't.
+4. Boilerplate lines are taken out of every text; the others stay in place and order.
+
+A text of boilerplate and blank lines only, a copy that stands on many sites as a whole, has nothing
+else to keep: with ``keep_copies`` (the default) it is left as it is, for near-dedup to find; without, the
+blank lines are what remains of it.
+
+A null text stays null and an empty one empty; blank lines stay; a null site counts as none. Every
+occurrence of a marked line goes, repeated rows alike. Lines, and texts, are told apart by 64-bit hashes:
+of 10^11 distinct lines some 270 pairs are expected to share one, and such a line would go with its twin.
+DataFrame expressions only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import shared
-from quire.llm.components import connected_components
 
 MIN_SITES = 10
 SKETCH_LG = 12
-SHINGLE, ALIKE = 5, 0.8
-#: Bins of a text's sketch, and bins of a band.
-BINS, ROWS = 64, 4
 BAND = max(1.0, 3 * 1.04 / (1 << SKETCH_LG) ** 0.5 * MIN_SITES)
 
 
@@ -51,68 +44,36 @@ def site_lines(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
     return each.select("t", "site", line_key(F.col("line")).alias("h")).where("h is not null")
 
 
-def spread_wide(lines: DataFrame, over: str, least: int) -> DataFrame:
-    """Hashes (h) of lines with at least ``least`` distinct values of the column ``over``."""
+def spread_wide(lines: DataFrame, least: int = MIN_SITES) -> DataFrame:
+    """Hashes (h) of lines with at least ``least`` distinct sites."""
     band = max(1.0, BAND * least / MIN_SITES)
-    often = shared.cut(lines.groupBy("h").agg(F.count(over).alias("n")).where(F.col("n") >= least).select("h"), "often")
-    some = lines.join(shared.broadcast_if_small(often), "h", "left_semi").select("h", over)
-    spread = some.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg(over, F.lit(SKETCH_LG))).alias("e"))
+    often = shared.cut(lines.groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= least).select("h"), "often")
+    some = lines.join(shared.broadcast_if_small(often), "h", "left_semi").select("h", "site")
+    spread = some.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_LG))).alias("e"))
     spread = shared.cut(spread.where(F.col("e") >= least - band), "spread")
     near = spread.where(F.col("e") <= least + band).select("h")
-    exact = some.join(shared.broadcast_if_small(near), "h", "left_semi").distinct().groupBy("h").agg(F.count(over).alias("n"))
+    exact = some.join(shared.broadcast_if_small(near), "h", "left_semi").distinct().groupBy("h").agg(F.count("site").alias("n"))
     return spread.where(F.col("e") > least + band).select("h").union(exact.where(F.col("n") >= least).select("h"))
 
 
-def copy_groups(docs: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
-    """(node, component) of those texts (hashes ``t`` of ``ids``) that have edited copies."""
-    text = F.col(text_col)
-    rows = docs.select(F.xxhash64(text).alias("t"), F.split(F.lower(F.btrim(text)), r"\s+").alias("w"))
-    rows = rows.join(shared.broadcast_if_small(ids), "t", "left_semi")
-    rows = rows.select("t", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - SHINGLE))).alias("i"))
-    shingle = F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(SHINGLE)])
-    bins = rows.select("t", shingle.alias("h")).groupBy("t", F.pmod("h", F.lit(BINS)).cast("int").alias("bin")).agg(F.min("h").alias("least"))
-    bins = shared.cut(bins, "text-bins")
-    keys = bins.groupBy("t", F.floor(F.col("bin") / ROWS).alias("band")).agg(F.xxhash64(F.sort_array(F.collect_list("least"))).alias("key"))
-    keys = shared.cut(keys, "text-bands")
-    first = keys.groupBy("band", "key").agg(F.min("t").alias("b"), F.max("t").alias("last")).where("b <> last").drop("last")
-    pairs = shared.cut(keys.join(first, ["band", "key"]).where("t <> b").select(F.col("t").alias("a"), "b").distinct(), "text-pairs")
-    sketch = bins.groupBy("t").agg(F.collect_list("least").alias("s"), F.collect_list("bin").alias("n"))
-    pairs = pairs.join(sketch.toDF("a", "sa", "na"), "a").join(sketch.toDF("b", "sb", "nb"), "b")
-    alike = F.size(F.array_intersect("sa", "sb")) >= ALIKE * F.size(F.array_union("na", "nb"))
-    return shared.cut(connected_components(pairs.where(alike), "a", "b"), "copy-groups")
-
-
-def boilerplate(docs: DataFrame, lines: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text") -> DataFrame:
-    """Hashes (h) of lines on at least ``min_sites`` distinct sites, a copied text counted once."""
-    wide = shared.cut(spread_wide(lines, "site", min_sites), "wide")
-    some = lines.join(shared.broadcast_if_small(wide), "h", "left_semi").where("site is not null")
-    some = shared.cut(some.distinct(), "wide-lines")
-    groups = copy_groups(docs, shared.cut(some.select("t").distinct(), "wide-texts"), text_col)
-    some = some.join(shared.broadcast_if_small(groups), F.col("t") == F.col("node"), "left")
-    some = shared.cut(some.select("h", "site", F.coalesce("component", "t").alias("c")), "wide-lines")
-    copied = some.groupBy("c").agg(F.min("site").alias("x"), F.max("site").alias("y")).where("x <> y").select(F.col("c").alias("d"))
-    copied = shared.cut(copied, "copied-texts")
-    some = some.join(shared.broadcast_if_small(copied), F.col("c") == F.col("d"), "left")
-    witness = F.when(F.col("d").isNull(), F.concat(F.lit("s"), "site")).otherwise(F.concat(F.lit("t"), F.col("c").cast("string")))
-    return spread_wide(some.select("h", witness.alias("witness")), "witness", min_sites)
-
-
-def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", keep_copies: bool = True) -> DataFrame:
     """``docs`` with cleaned texts, and n_lines, n_removed (columns of these names give way)."""
     lines = shared.cut(site_lines(docs, text_col, site_col), "site-lines")
-    marked = shared.cut(boilerplate(docs, lines, min_sites, text_col), "boilerplate")
+    marked = shared.cut(spread_wide(lines, min_sites), "boilerplate")
     per_text = lines.join(shared.broadcast_if_small(marked), "h", "left_semi").groupBy("t").agg(F.collect_set("h").alias("hs"))
-    per_text = shared.cut(per_text.withColumnRenamed("t", "__t"), "marked-texts")
-    side = shared.broadcast_if_small(per_text)
-    kept = shared.keep_columns(docs, ["n_lines", "n_removed", "__t", "__all", "__new"])
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).join(side, F.xxhash64(text) == F.col("__t"), "left")
-    every = F.split(text, "\n")
-    clean = F.when(F.col("hs").isNull(), every).otherwise(F.filter(every, lambda x: ~F.coalesce(F.array_contains("hs", line_key(x)), F.lit(False))))
-    rows = rows.withColumn("__all", F.size(every)).withColumn("__new", clean)
-    whole = F.col("hs").isNull() | ~F.exists("__new", lambda x: F.btrim(x, F.lit(" \t\r")) != "")
+    side = shared.broadcast_if_small(shared.cut(per_text, "marked-texts"))
+    kept = shared.keep_columns(docs, ["n_lines", "n_removed"])
+    text = docs[f"`{text_col}`"]
+    hs, every = side["hs"], F.split(text, "\n")
+    clean = F.when(hs.isNull(), every).otherwise(F.filter(every, lambda x: ~F.coalesce(F.array_contains(hs, line_key(x)), F.lit(False))))
+    lone = f"_{uuid.uuid4().hex}"  # a name that no column has
+    rows = docs.join(side, F.xxhash64(text) == side["t"], "left").select(*[docs[f"`{c}`"] for c in kept], hs.isNull().alias(lone), F.size(every).alias(f"{lone}n"), clean.alias(f"{lone}x"))
+    text, new = F.col(f"`{text_col}`"), F.col(f"{lone}x")
+    whole = F.col(lone)
+    if keep_copies:
+        whole = whole | ~F.exists(new, lambda x: F.btrim(x, F.lit(" \t\r")) != "")
     return rows.select(
-        *[F.when(whole, text).otherwise(F.array_join("__new", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
-        F.when(text.isNull(), 0).otherwise(F.col("__all")).cast("long").alias("n_lines"),
-        F.when(whole, 0).otherwise(F.col("__all") - F.size("__new")).cast("long").alias("n_removed"),
+        *[F.when(whole, text).otherwise(F.array_join(new, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
+        F.when(text.isNull(), 0).otherwise(F.col(f"{lone}n")).cast("long").alias("n_lines"),
+        F.when(whole, 0).otherwise(F.col(f"{lone}n") - F.size(new)).cast("long").alias("n_removed"),
     )

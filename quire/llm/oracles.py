@@ -153,3 +153,19 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found)
 WHERE part = 'pair' OR rank <= 50
 """
+
+ORACLE_SQL["op5_line_dedup"] = r"""
+WITH rows AS (SELECT row_number() OVER () AS n, doc_id, text, source FROM documents),
+lines AS (
+  SELECT n, source, i, l[i] AS line, trim(l[i], ' ' || chr(9) || chr(13)) AS key
+  FROM (SELECT n, source, string_split(text, chr(10)) AS l FROM rows WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)
+),
+wide AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= 10),
+clean AS (
+  SELECT n, count(*) AS n_lines, count(*) FILTER (key IN (FROM wide)) AS gone, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (key NOT IN (FROM wide)), '') AS rest,
+         bool_or(key <> '' AND key NOT IN (FROM wide)) AS holds
+  FROM lines GROUP BY n
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN holds THEN gone ELSE 0 END::BIGINT AS n_removed, CASE WHEN holds THEN rest ELSE text END AS text
+FROM rows LEFT JOIN clean USING (n)
+"""

@@ -292,28 +292,17 @@ def test_line_dedup(spark, odd, empty):
     assert lines.strip_boilerplate(empty).count() == 0
 
 
-def brute_strip(rows):
-    """{doc_id: (text, n_removed)}: a line's spread is its sites, at most the sites of single-site groups of copies and the other groups."""
+def brute_strip(rows, keep_copies=True):
+    """{doc_id: (text, n_removed)}: lines on ten sites go."""
     cut = lambda t: [x.strip(" \t\r") for x in (t or "").split("\n")]
-    places, sites, witness = defaultdict(set), defaultdict(set), defaultdict(set)
-    group, held = {}, {}
-    for t in {t for _, t, _ in rows}:
-        w = (t or "").lower().split()
-        held[t] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
-        near = {group[x] for x in group if 10 * len(held[x] & held[t]) >= 8 * len(held[x] | held[t])}
-        group = {x: t if g in near else g for x, g in group.items()} | {t: t}
+    sites = defaultdict(set)
     for _, t, s in rows:
-        places[group[t]] |= {s} - {None}
-    for _, t, s in rows:
-        at = places[group[t]]
         for x in cut(t):
             sites[x] |= {s} - {None}
-            witness[x] |= {("t", group[t])} if len(at) > 1 else at
-    bad = {x for x in sites if x and min(len(sites[x]), len(witness[x])) >= 10}
     out = {}
     for i, t, _ in rows:
-        left = [x for x in (t or "").split("\n") if x.strip(" \t\r") not in bad]
-        out[i] = (t, 0) if not any(x.strip(" \t\r") for x in left) else ("\n".join(left), len(cut(t)) - len(left))
+        left = [x for k, x in zip(cut(t), (t or "").split("\n")) if not k or len(sites[k]) < 10]
+        out[i] = (t, 0) if t is None or keep_copies and not any(x.strip(" \t\r") for x in left) else ("\n".join(left), len(cut(t)) - len(left))
     return out
 
 
@@ -322,20 +311,25 @@ def test_line_dedup_short_pages_and_copies(spark):
     rows = [(k, f"own {k}\n{foot}", f"s{k % 12}") for k in range(24)]  # over half of each text is the foot
     rows += [(100 + k, copy, f"s{k}") for k in range(15)]
     rows += [(200 + k, f"text {k} of one site\nall of its lines are its own", "s0") for k in range(12)]
-    rows += [(400 + k, f"page {k}\nMenu", f"s{k % 12}") for k in range(24)]
-    words = [f"w{k}" for k in range(300)]
-    edited = [" ".join(words[:150]) + "\n" + " ".join([*words[150 : 160 + 9 * k], f"edit{k}", *words[161 + 9 * k :]]) for k in range(14)]
-    rows += [(300 + k, t, f"s{k}") for k, t in enumerate(edited)]
+    rows += [(400 + k, f"page {k}\nMenu", f"s{k % 12}") for k in range(24)] + [(600, None, "s1"), (601, "Menu\n \n", None), (602, "", "s2"), (603, "\t\n", "s3")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip_boilerplate(frame).collect()}
-    assert got[305] == (edited[5], 0)
-    assert got == brute_strip(rows) and got[3] == ("own 3", 1) and got[100] == (copy, 0)
+    for keep in (True, False):
+        got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip_boilerplate(frame, keep_copies=keep).collect()}
+        assert got == brute_strip(rows, keep) and got[3] == ("own 3", 1) and got[203] == ("text 3 of one site", 1) and got[100] == ((copy, 0) if keep else ("", 2))
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: (r.text, r.n_removed) for r in lines.strip_boilerplate(frame).collect()}
     assert got == brute_strip(rows) and sum(n for _, n in got.values()) > 0
 
 
+def test_line_dedup_leaves_columns_alone(spark):
+    rows = [(k, f"own {k}\nMenu", f"s{k}", k, f"t{k}", [k]) for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed long, t string, hs array<int>")
+    got = lines.strip_boilerplate(frame)
+    assert got.columns == ["doc_id", "text", "source", "t", "hs", "n_lines", "n_removed"]
+    assert {tuple(r) for r in got.withColumn("hs", got["hs"][0]).collect()} == {(k, f"own {k}", f"s{k}", f"t{k}", k, 2, 1) for k in range(12)}
+
+
 def brute_near(pairs, percent):
     sets = {}
     for i, t in pairs:
@@ -676,3 +670,14 @@ def test_pipeline(spark):
     assert {r.doc_id: r.decoded_sha256 for r in last} == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
     assert [n for n, _ in p.STAGES] == ["quality_rules", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
     assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_sql_of_line_dedup(spark):
+    import duckdb
+
+    from quire.llm.oracles import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    got = registry.QUERIES["op5_line_dedup"](spark, "/root/testdata/sf0.01").collect()
+    assert Counter(tuple(r) for r in got) == Counter(con.sql(ORACLE_SQL["op5_line_dedup"]).fetchall())
