@@ -5,7 +5,7 @@ number) become typed placeholders ``<n>``, ``<p>``, ``<u>``. Windows of ``WINDOW
 benchmark items and documents meet in a hash join, so a question with other numbers or names still
 meets its original. Every window is posted by its words as well, so every word-for-word copy meets
 its item, whatever its case; a window of placeholders alone has no template to share and is posted by
-its words only. An item shorter than a window is one window of its own length, posted by its words.
+its words only. An item shorter than a window is one window of its own length, posted in the same way.
 
 Finding pairs: a document that covers ``COVER`` percent of an item's n windows misses at most the
 rest, so it holds at least one of any (rest + 1) of them. Each item's (rest + 1) windows that are
@@ -60,25 +60,21 @@ def arrays(words: Column) -> tuple[Column, Column]:
     return F.split(F.lower(words), " "), F.split(template(words), " ")
 
 
-def windows(rows: DataFrame, *keep: str) -> DataFrame:
-    """Of rows with ``words``: ``keep``, ws, ts (words and template words), i, literal (hash of the window's words), key (of its template)."""
+def windows(rows: DataFrame, *keep: str, length: int = WINDOW) -> DataFrame:
+    """Of rows with ``words``: ``keep``, ws, ts (words and template words), i, literal (hash of the window's words), key (of its template).
+
+    Windows shorter than ``WINDOW`` have hashes of their own, which no longer one shares.
+    """
     w, t = arrays(F.col("words"))
     rows = rows.select(*keep, w.alias("ws"), t.alias("ts"))
-    rows = rows.select(*keep, "ws", "ts", F.explode(F.when(F.size("ws") >= WINDOW, F.sequence(F.lit(0), F.size("ws") - WINDOW))).alias("i"))
+    rows = rows.select(*keep, "ws", "ts", F.explode(F.when(F.size("ws") >= length, F.sequence(F.lit(0), F.size("ws") - length))).alias("i"))
     at = lambda c, k: F.get(F.col(c), F.col("i") + k)
     plain = ~at("ts", 0).isin(*SLOTS)
-    for k in range(1, WINDOW):
+    for k in range(1, length):
         plain = plain | ~at("ts", k).isin(*SLOTS)
-    by_words = F.xxhash64(*[at("ws", k) for k in range(WINDOW)])
-    rows = rows.withColumn("literal", by_words)
-    return rows.withColumn("key", F.when(plain, F.xxhash64(*[at("ts", k) for k in range(WINDOW)])).otherwise(F.col("literal")))
-
-
-def short_windows(rows: DataFrame, length: int, *keep: str) -> DataFrame:
-    """``keep``, i and the hash (key) of every run of ``length`` words, ``length`` below ``WINDOW``."""
-    rows = rows.select(*keep, F.split(F.lower("words"), " ").alias("ws"))
-    rows = rows.select(*keep, "ws", F.explode(F.when(F.size("ws") >= length, F.sequence(F.lit(0), F.size("ws") - length))).alias("i"))
-    return rows.select(*keep, F.xxhash64(F.lit(length), *[F.get("ws", F.col("i") + k) for k in range(length)]).alias("key"), "i")
+    own = [F.lit(length)] if length < WINDOW else []
+    rows = rows.withColumn("literal", F.xxhash64(*own, *[at("ws", k) for k in range(length)]))
+    return rows.withColumn("key", F.when(plain, F.xxhash64(*own, *[at("ts", k) for k in range(length)])).otherwise(F.col("literal")))
 
 
 def post_items(items: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -86,13 +82,16 @@ def post_items(items: DataFrame) -> tuple[DataFrame, list[int]]:
     both = F.when(F.col("key") == F.col("literal"), F.array(F.struct("key", F.lit(True).alias("same")))).otherwise(
         F.array(F.struct("key", F.lit(False).alias("same")), F.struct(F.col("literal").alias("key"), F.lit(True).alias("same")))
     )
-    posted = windows(items, "item_id").select("item_id", F.inline(both), F.col("i").alias("j"), (F.size("ws") - WINDOW + 1).alias("n_windows"))
-    posted = posted.select("item_id", "key", "j", "same", "n_windows")
     length = F.size(F.split("words", " "))
     short = sorted(r[0] for r in items.where(length < WINDOW).select(length).distinct().collect())  # at most WINDOW - 1 rows
+
+    def post(rows: DataFrame, n: int) -> DataFrame:
+        posted = windows(rows, "item_id", length=n).select("item_id", F.inline(both), F.col("i").alias("j"), (F.size("ws") - n + 1).alias("n_windows"))
+        return posted.select("item_id", "key", "j", "same", "n_windows")
+
+    posted = post(items, WINDOW)
     for n in short:
-        own = short_windows(items.where(length == n), n, "item_id")
-        posted = posted.union(own.select("item_id", "key", F.col("i").alias("j"), F.lit(True), F.lit(1)))
+        posted = posted.union(post(items.where(length == n), n))
     return shared.cut(posted, "item-windows"), short
 
 
@@ -100,9 +99,10 @@ def found_windows(rows: DataFrame, keys: DataFrame, short: list[int]) -> DataFra
     """Distinct (t, key, i) of the documents' windows whose key some item has."""
     keys = shared.broadcast_if_small(keys)
     both = F.when(F.col("key") == F.col("literal"), F.array("key")).otherwise(F.array("key", "literal"))
-    found = windows(rows, "t").select("t", F.explode(both).alias("key"), "i").join(keys, "key", "left_semi")
+    find = lambda n: windows(rows, "t", length=n).select("t", F.explode(both).alias("key"), "i").join(keys, "key", "left_semi")
+    found = find(WINDOW)
     for n in short:
-        found = found.union(short_windows(rows, n, "t").join(keys, "key", "left_semi"))
+        found = found.union(find(n))
     return shared.cut(found.distinct(), "doc-windows")
 
 
@@ -176,4 +176,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text no benchmark item contaminates, with all their columns. Ids are not looked at."""
     bad = shared.cut(text_leaks(docs, benchmark, text_col).select(F.col("t").alias("__bad")).distinct(), "contaminated")
-    return docs.join(shared.broadcast_if_small(bad), F.md5(F.col(f"`{text_col}`").cast("string")) == F.col("__bad"), "left_anti")
+    side = shared.broadcast_if_small(bad)
+    return docs.join(side, F.md5(docs[f"`{text_col}`"].cast("string")) == side["__bad"], "left_anti")

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import chat, chunks, crc32c, eliasfano, lines, lm, minhash, quality, records, registry, sharding, shared, templates, urls, words, wordshuffle
 from quire.llm.components import connected_components
@@ -188,11 +189,11 @@ def brute_leaks(docs, items):
             total, places = len(w) - n + 1, defaultdict(list)
             for k in range(len(dw) - n + 1):
                 places[cut(dw, k, n)].append(k)
-                if n == 5 and not set(cut(dk, k, n)) <= set(templates.SLOTS):
+                if not set(cut(dk, k, n)) <= set(templates.SLOTS):
                     places[cut(dk, k, n)].append(k)
             shifts = defaultdict(dict)
             for j in range(total):
-                for key in {cut(w, j, n)} | ({cut(kind, j, n)} if n == 5 and not set(cut(kind, j, n)) <= set(templates.SLOTS) else set()):
+                for key in {cut(w, j, n)} | ({cut(kind, j, n)} if not set(cut(kind, j, n)) <= set(templates.SLOTS) else set()):
                     for k in places.get(key, []):
                         shifts[k - j][j] = shifts[k - j].get(j, False) or cut(w, j, n) == cut(dw, k, n)
             if 100 * len({j for s in shifts.values() for j in s}) < 80 * total:
@@ -211,13 +212,14 @@ def brute_leaks(docs, items):
 
 
 def test_short_and_slot_dense_items(spark):
-    items = [(1, "2 + 2 equals"), (2, "What is 12 times 7"), (3, "Tom Ann Bob 12 13"), (4, "a 1 b 1 c 1 d 1 e 1 f 1 g 1 h the end of it comes now at last and here")]
+    items = [(9, "12 plus 7 equals"), (10, "Tom 5"), (1, "2 + 2 equals"), (2, "What is 12 times 7"), (3, "Tom Ann Bob 12 13"), (4, "a 1 b 1 c 1 d 1 e 1 f 1 g 1 h the end of it comes now at last and here")]
     docs = [
         (1, "so 2 + 2 equals four"), (2, "3 + 3 equals six"), (3, "What is 13 times 8"), (4, "Eve Ida Max 14 15"), (5, "see Tom, Ann, Bob: 12 13"), (6, "nothing"),
         (7, "a 2 b 2 c 2 d 2 e 2 f 2 g 2 h the end of it comes now at last and here"), (8, "a 2 b 3 c 2 d 2 e 2 f 2 g 2 h the end of it comes now at last and here"),
+        (9, "15 plus 9 equals"), (10, "so 2 + 3 equals nothing"), (11, "15 Plus 9 equals"), (12, "15 kg plus 9 equals"), (13, "Ida 6"), (14, "tom 5"),
     ]
     got = {tuple(r)[:4] for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == brute_leaks(docs, items) and {x[:2] for x in got} == {(1, 1), (3, 2), (5, 3), (7, 4)}
+    assert got == brute_leaks(docs, items) and {x[:2] for x in got} == {(1, 1), (2, 1), (3, 2), (5, 3), (7, 4), (9, 9), (14, 10)}
 
 
 def test_template_decontamination(spark, docs):
@@ -237,6 +239,9 @@ def test_template_decontamination(spark, docs):
     assert sorted(kept) == [2, 5, 6, 7, 8]
     lone = spark.createDataFrame([(None, "the train leaves with 30 km to go and then 30 more people wait at the door for it"), (None, "an innocent text without an id stays")], "doc_id string, text string")
     assert [r.text for r in templates.decontaminate(lone, b).collect()] == ["an innocent text without an id stays"]
+    named = lone.selectExpr("1 AS __bad", "text", "'g' AS __gone", "2 AS t")
+    assert [tuple(r) for r in templates.decontaminate(named, b).collect()] == [(1, "an innocent text without an id stays", "g", 2)]
+    assert {tuple(r) for r in minhash.near_dedup(named.withColumn("doc_id", F.lit(1))).select("__bad", "__gone", "t").collect()} == {(1, "g", 2)}
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     for x, y in ((docs, bench), (d, b)):
         want = brute_leaks([(r.doc_id, r.text) for r in x.collect()], [(r.item_id, r.text) for r in y.collect()])
