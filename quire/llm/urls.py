@@ -6,9 +6,11 @@ fits take the block of any url they are equivalent to: redirect and canonical-li
 by distributed connected components. An explicit allow always has precedence: a url that an allow
 rule fits stays allowed whatever its aliases are; only blocks travel.
 
-Edges: every ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` of a page, and rows of an
-optional redirect table. Character references in links are decoded, ``.`` and ``..`` segments resolved.
-Two urls are one node if they differ in scheme, host case or fragment only.
+Edges: every ``<link>`` whose ``rel`` holds the word ``canonical`` and every ``<meta http-equiv=refresh>`` of
+a page outside comments and scripts, and rows of an optional redirect table. Links are resolved against
+the page's first ``<base href>``, itself resolved against the page's url; a link that is a query alone keeps
+the path. Character references are decoded once (all numeric ones, and the named ones of ``NAMED``),
+``.`` and ``..`` segments resolved. Two urls are one node if they differ in scheme, host case or fragment only.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and have no aliases, so
 they are allowed; each is a join key of its own, so many of them never meet in one task. Repeated rows
@@ -45,28 +47,39 @@ def node_of(url: Column) -> Column:
 
 
 def resolve(url: Column, link: Column) -> Column:
-    """A link of a page as an absolute url."""
+    """A link of a page as an absolute url; null for one that leads nowhere else or has no host."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
-    folder = F.when(folder == "", "/").otherwise(folder)
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
     return (
         F.when((link == "") | link.startswith("#"), None)
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(site, path, link))
         .otherwise(F.concat(site, folder, link))
     )
 
 
-#: Character references that links hold, in decoding order: the ampersand last.
-REFERENCES = [("&(?:quot|#34|#x22);", '"'), ("&(?:apos|#39|#x27);", "'"), ("&(?:lt|#60|#x3c);", "<"), ("&(?:gt|#62|#x3e);", ">"), ("&(?:sol|#47|#x2f);", "/"), ("&(?:amp|#38|#x26);", "&")]
+#: Named character references that stand for what urls are made of.
+NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "quest": "?", "num": "#", "equals": "=", "period": ".", "comma": ",", "lowbar": "_", "percnt": "%", "plus": "+", "semi": ";", "excl": "!", "commat": "@"}
+REFERENCE = rf"&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(NAMED)});"
 
 
 def decoded(link: Column) -> Column:
-    for pattern, to in REFERENCES:
-        link = F.regexp_replace(link, f"(?i){pattern}", to)
-    return link
+    """The link with character references decoded, each once; numbers that are no character stay as they are."""
+    name = lambda x: F.substring_index(F.substring_index(x, ";", 1), "&", -1)
+    number = lambda x: F.when(F.lower(x).startswith("&#x"), F.conv(F.substr(name(x), F.lit(3)), 16, 10)).otherwise(F.substr(name(x), F.lit(2))).cast("long")
+    valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    char = lambda x: F.when(valid(number(x)), F.decode(F.unhex(F.lpad(F.hex(number(x)), 8, "0")), "UTF-32")).otherwise(x)
+    table = F.create_map(*[F.lit(v) for pair in NAMED.items() for v in pair])
+    one = lambda x: F.when(x.startswith("&#"), char(x)).otherwise(F.try_element_at(table, name(x)))
+    found = F.transform(F.regexp_extract_all(link, F.lit(REFERENCE), F.lit(0)), one)
+    parts = F.split(link, REFERENCE, -1)
+    joined = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(link, F.lit("&")), joined).otherwise(link)
 
 
 def dotless(url: Column) -> Column:
@@ -86,15 +99,21 @@ def dotless(url: Column) -> Column:
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) nodes of all canonical links and refresh redirects in the pages' html."""
-    html, url = F.col(html_col), F.col(url_col)
-    canonical = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
-    refresh = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
-    href = lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    url = F.col(url_col)
+    rows = pages.where(url.isNotNull() & F.col(html_col).rlike(r"(?i)<(?:link|meta)\b")).select(url.alias("u"), F.regexp_replace(html_col, r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)", "").alias("x"))
+    tags = lambda name: F.regexp_extract_all(F.col("x"), F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    attribute = lambda tag, name: F.concat_ws("", *[F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*{value}", 1) for value in (r'"([^"]*)', r"'([^']*)", r"([^\"'\s>][^\s>]*)")])
+    canonical = F.filter(tags("link"), lambda x: F.array_contains(F.split(F.lower(attribute(x, "rel")), r"\s+"), "canonical"))
+    refresh = F.filter(tags("meta"), lambda x: F.lower(F.btrim(attribute(x, "http-equiv"))) == "refresh")
     to = lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-    links = F.filter(F.concat(F.transform(canonical, href), F.transform(refresh, to)), lambda x: x != "")
-    found = pages.where(url.isNotNull() & html.isNotNull()).select(url.alias("u"), F.explode(links).alias("l"))
-    found = found.select("u", dotless(resolve(F.col("u"), decoded(F.col("l")))).alias("l"))
-    return found.select(node_of(F.col("u")).alias("src"), node_of(F.col("l")).alias("dst")).where("src <> dst")
+    links = F.filter(F.concat(F.transform(canonical, lambda x: F.btrim(attribute(x, "href"))), F.transform(refresh, to)), lambda x: x != "")
+    bases = F.filter(F.transform(tags("base"), lambda x: F.btrim(attribute(x, "href"))), lambda x: x != "")
+    found = rows.select("u", F.get(bases, F.lit(0)).alias("b"), links.alias("ls")).where(F.size("ls") > 0).select("u", "b", F.explode("ls").alias("l"))
+    found = found.select("u", decoded(F.col("b")).alias("b"), decoded(F.col("l")).alias("l"))
+    found = found.select("u", F.coalesce(resolve(F.col("u"), F.col("b")), F.col("u")).alias("b"), "l")
+    found = found.select("u", resolve(F.col("b"), F.col("l")).alias("l")).select("u", dotless(F.col("l")).alias("l"))
+    # written, as a filter above would take all these expressions down into one
+    return shared.cut(found.select(node_of(F.col("u")).alias("src"), node_of(F.col("l")).alias("dst")), "page-links")
 
 
 def ruled(nodes: DataFrame, rules: DataFrame) -> DataFrame:
