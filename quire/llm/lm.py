@@ -13,7 +13,7 @@ Tokens are lower-cased words and one end mark a text. Words are numbered by the
    pointers and searches the successor of its context-relative id in that range only.
 4. Probabilities: absolute discounting, with discounts D1, D2, D3+ from the counts of counts of all
    n-grams of an order. Discounted probabilities and back-off weights become one byte each, on a
-   logarithmic grid.
+   logarithmic grid; those below its end, which contexts of very many tokens have, are kept exactly.
 P(w|a,b) = A3 + L3 (A2 + L2 (A1 + L1 / (V + 1))), a term being absent where its n-gram is.
 
 Shards are files in the shared folder; scoring workers memory-map them and search only where their
@@ -44,9 +44,9 @@ SHARD_TOKENS = 3_000_000
 STEP = 6 << 20
 #: Bytes of text for each file of the vocabulary.
 PART_BYTES = 256 << 20
-#: Grids of the byte codes: steps of -log10.
+#: Grids of the byte codes: steps of -log10. Two codes aren't on the grid: no n-gram, and a value of its own.
 P_STEP, L_STEP = 28.0, 60.0
-NONE = 255
+NONE, EXACT = 255, 254
 
 
 def held_out(id_col: str, fold: int = 2, folds: int = 7) -> Column:
@@ -100,10 +100,23 @@ def _discount(count: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(count, 3)]
 
 
-def _code(p: np.ndarray, step: float) -> np.ndarray:
+def coded_values(name: str, p: np.ndarray, step: float) -> dict[str, np.ndarray]:
+    """Byte codes of probabilities or weights, and the places and values of those that the grid doesn't reach."""
     with np.errstate(divide="ignore"):
         c = np.rint(-np.log10(p) * step)
-    return np.where(p > 0, np.clip(c, 0, NONE - 1), NONE).astype(np.uint8)
+    code = np.where(p > 0, np.clip(c, 0, EXACT), NONE).astype(np.uint8)
+    own = np.flatnonzero(code == EXACT)
+    return {name: code, f"{name}_at": own, f"{name}_own": np.asarray(p, np.float64)[own]}
+
+
+def value_at(weights: dict[str, np.ndarray], name: str, at: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """What :func:`coded_values` has coded at these places."""
+    code = weights[name][at]
+    out = grid[code]
+    own = np.flatnonzero(code == EXACT)
+    if len(own):
+        out[own] = weights[f"{name}_own"][np.searchsorted(weights[f"{name}_at"], at[own])]
+    return out
 
 
 def _grid(step: float) -> np.ndarray:
@@ -259,7 +272,7 @@ def build_levels(texts: DataFrame, folder: str, vocabulary: Vocabulary, shards:
                 arrays |= more
             shared.write_arrays(f"{folder}/levels-{k:05d}.bin", arrays, meta)
             many2, many3 = np.flatnonzero(c2 > 254), np.flatnonzero(c3 > 254)
-            shared.write_arrays(f"{folder}/counts-{k:05d}.bin", {"c2": np.minimum(c2, 255).astype(np.uint8), "c3": np.minimum(c3, 255).astype(np.uint8), "at2": many2, "n2": c2[many2], "at3": many3, "n3": c3[many3]})
+            shared.write_arrays(f"{folder}/counts/{k:05d}.bin", {"c2": np.minimum(c2, 255).astype(np.uint8), "c3": np.minimum(c3, 255).astype(np.uint8), "at2": many2, "n2": c2[many2], "at3": many3, "n3": c3[many3]})
             edge = []
             for i in {0, len(word) - 1}:
                 own = c2[start[i] : (start[i + 1] if i + 1 < len(word) else len(pair))]
@@ -277,6 +290,22 @@ def _kinds(count: np.ndarray, start: np.ndarray, d: list[float]) -> tuple[np.nda
     return total[start[1:]] - total[start[:-1]], freed[start[1:]] - freed[start[:-1]]
 
 
+def weights_of(c2: np.ndarray, c3: np.ndarray, to2: np.ndarray, to3: np.ndarray, d2: list[float], d3: list[float], edges: list[tuple]) -> dict[str, np.ndarray]:
+    """A shard's coded probabilities and weights from its counts and the pointers into them.
+
+    ``edges``: (place, total, singles, doubles, more) of first words whose pairs other shards hold, too.
+    """
+    total1, freed1 = _kinds(c2, to2, d2)
+    for i, total, *kinds in edges:
+        total1[i], freed1[i] = total, sum(a * b for a, b in zip(kinds, d2, strict=True))
+    total2, freed2 = _kinds(c3, to3, d3)
+    a2 = (c2 - _discount(c2, d2)) / np.maximum(np.repeat(total1, np.diff(to2)), 1)
+    a3 = (c3 - _discount(c3, d3)) / np.maximum(np.repeat(total2, np.diff(to3)), 1)
+    l1 = np.where(total1 > 0, freed1 / np.maximum(total1, 1), 1.0)
+    l2 = np.where(total2 > 0, freed2 / np.maximum(total2, 1), 1.0)
+    return coded_values("p2", a2, P_STEP) | coded_values("p3", a3, P_STEP) | coded_values("l1", l1, L_STEP) | coded_values("l2", l2, L_STEP)
+
+
 def write_probabilities(spark, folder: str, found: list, d2: list[float], d3: list[float]) -> None:
     """Turn each shard's counts into byte codes of probabilities and weights; the counts then go."""
     edges: dict[int, list[int]] = {}
@@ -288,20 +317,12 @@ def write_probabilities(spark, folder: str, found: list, d2: list[float], d3: li
     def finish(job: tuple[int, list]) -> int:
         k, own_edges = job
         levels, meta = shared.open_arrays(f"{folder}/levels-{k:05d}.bin")
-        counts, _ = shared.open_arrays(f"{folder}/counts-{k:05d}.bin")
+        counts, _ = shared.open_arrays(f"{folder}/counts/{k:05d}.bin")
         c2, c3 = counts["c2"].astype(np.int64), counts["c3"].astype(np.int64)
         c2[counts["at2"]], c3[counts["at3"]] = counts["n2"], counts["n3"]
         to2, to3 = Sequence(levels, meta["to2"], "to2").all(), Sequence(levels, meta["to3"], "to3").all()
-        total1, freed1 = _kinds(c2, to2, d2)
-        for word, total, *kinds in own_edges:
-            i = int(np.searchsorted(levels["word"], word))
-            total1[i], freed1[i] = total, sum(a * b for a, b in zip(kinds, d2, strict=True))
-        total2, freed2 = _kinds(c3, to3, d3)
-        a2 = (c2 - _discount(c2, d2)) / np.maximum(np.repeat(total1, np.diff(to2)), 1)
-        a3 = (c3 - _discount(c3, d3)) / np.maximum(np.repeat(total2, np.diff(to3)), 1)
-        l1 = np.where(total1 > 0, freed1 / np.maximum(total1, 1), 1.0)
-        l2 = np.where(total2 > 0, freed2 / np.maximum(total2, 1), 1.0)
-        shared.write_arrays(f"{folder}/weights-{k:05d}.bin", {"p2": _code(a2, P_STEP), "p3": _code(a3, P_STEP), "l1": _code(l1, L_STEP), "l2": _code(l2, L_STEP)})
+        places = [(int(np.searchsorted(levels["word"], word)), *rest) for word, *rest in own_edges]
+        shared.write_arrays(f"{folder}/weights-{k:05d}.bin", weights_of(c2, c3, to2, to3, d2, d3, places))
         return k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +333,7 @@ def write_probabilities(spark, folder: str, found: list, d2: list[float], d3: li
     if jobs:
         rows = spark.createDataFrame(spark.sparkContext.parallelize([(k, [list(e) for e in edge]) for k, edge in jobs], len(jobs)), "shard int, edge array<array<long>>")
         rows.mapInArrow(shared.lean(run), "shard int").collect()
-        for k, _ in jobs:
-            shared.drop(spark, f"{folder}/counts-{k:05d}.bin")
+        shared.drop(spark, f"{folder}/counts")
 
 
 @lru_cache(maxsize=512)
@@ -354,7 +374,7 @@ class Model:
             q, rel = q[rel_ok], rel[rel_ok]
             pos = ids2.find(rel * v + s.ids[b[q]], *to2.get(rel))
             q, pos = q[pos >= 0], pos[pos >= 0]
-            place[q], p2[q], l2[q] = pos, P_GRID[weights["p2"][pos]], L_GRID[weights["l2"][pos]]
+            place[q], p2[q], l2[q] = pos, value_at(weights, "p2", pos, P_GRID), value_at(weights, "l2", pos, L_GRID)
         triple, one, back = np.unique(inverse[at - 2] * m + s.seq[at], return_index=True, return_inverse=True)
         context, last = inverse[at[one] - 2], inverse[at[one] - 1]
         third = s.seq[at[one]]
@@ -363,7 +383,7 @@ class Model:
             *_, to3, ids3, weights = _shard(self.folder, k)
             own = place[context[q]]
             pos = ids3.find(own * v + s.ids[third[q]], *to3.get(own))
-            p3[q[pos >= 0]] = P_GRID[weights["p3"][pos[pos >= 0]]]
+            p3[q[pos >= 0]] = value_at(weights, "p3", pos[pos >= 0], P_GRID)
         p = p3 + l2[context] * (p2[last] + l1[a[last]] * p1[third])
         return *out, np.bincount(doc, np.log10(np.maximum(p, 1e-300))[back], n)
 
@@ -387,7 +407,7 @@ class Model:
                 word, *_, weights = _shard(self.folder, k)
                 rel = np.minimum(np.searchsorted(word, s.ids[q]), len(word) - 1)
                 good = word[rel] == s.ids[q]
-                out[q[good]] = L_GRID[weights["l1"][rel[good]]]
+                out[q[good]] = value_at(weights, "l1", rel[good], L_GRID)
                 left.append(q[~good])
             open_ = np.concatenate(left)
             lo[open_] += 1

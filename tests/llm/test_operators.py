@@ -686,3 +686,37 @@ def test_sql_of_line_dedup(spark):
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
     got = registry.QUERIES["op5_line_dedup"](spark, "/root/testdata/sf0.01").collect()
     assert Counter(tuple(r) for r in got) == Counter(con.sql(ORACLE_SQL["op5_line_dedup"]).fetchall())
+
+
+def test_urls_link_forms(spark):
+    bad = "http://b.net/t"
+    rows = [
+        (1, "http://a.org/1", f'<link data-href="http://c.org/" href="{bad}" rel="nofollow Canonical">'), (2, "http://a.org/x/y?q", '<link rel=canonical href="?p=1">'), (3, "http://b.org/x/y?p=1", '<base href="//b.net/x/z"><link rel=canonical href="../t">'),
+        (4, "http://c.org/4", f'<!-- <link rel="canonical" href="{bad}"> --><p>'), (5, "http://c.org/5", f'<script>"<link rel=canonical href={bad}>"</script>'), (6, "http://c.org/6", "<link rel=canonical href='http&#58;&#x2F;&sol;b.net/t'>"),
+        (7, "http://c.org/7", '<link rel="canonical" href="mailto:x@b.net">'), (8, "http://c.org/8", f'<link rel="canonicals" href="{bad}"><link rel=alternate href="{bad}">'), (9, "http://a.org/x/y?p=1", f"<META content=\"0;URL='{bad}'\" HTTP-EQUIV=Refresh>"),
+        (10, "http://c.org/10", '<link rel=canonical href="http://d.org/&amp;#47;">'), (11, "http://d.org/&#47;", f'<link rel=canonical href="{bad}">'), (12, "http://d.org//", ""), (13, "http://e.org/é", f'<link href={bad} rel=canonical>'), (14, "http://c.org/14", "<link rel=canonical href=http://e.org/&#233;>"),
+        (15, "http://c.org/15", f'<!-- open <link rel="canonical" href="{bad}">'), (16, "http://c.org/16", '<link rel="canonical" href="http://z.org/&#xD800;&#0;&bogus;">'),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 6, 9, 10, 11, 13, 14}
+
+
+def test_language_model_keeps_small_values():
+    p = np.concatenate([10.0 ** -np.arange(0, 20, 0.37), [0.0, 8.5e-10, 3e-9]])
+    for step, grid in ((lm.P_STEP, lm.P_GRID), (lm.L_STEP, lm.L_GRID)):
+        w = lm.coded_values("x", p, step)
+        got = lm.value_at(w, "x", np.arange(len(p)), grid)
+        assert (got[p == 0] == 0).all() and np.abs(np.log10(got[p > 0] / p[p > 0])).max() <= 0.02
+    many = 10**10  # a context seen so often, with one successor seen once and one seen twice
+    d = [0.5, 1.0, 1.5]
+    w = lm.weights_of(np.array([many - 3, 1, 2, 1]), np.array([many - 3, 1, 1, 2, 1]), np.array([0, 3, 4]), np.array([0, 1, 2, 4, 5]), d, d, [])
+    at = np.arange(4)
+    want = np.array([(many - 4.5) / many, 0.5 / many, 1.0 / many, 0.5])
+    assert np.abs(np.log10(lm.value_at(w, "p2", at, lm.P_GRID) / want)).max() < 0.02
+    assert np.abs(np.log10(lm.value_at(w, "l1", np.arange(2), lm.L_GRID) / [3.0 / many, 0.5])).max() < 0.02
+    whole = lm.value_at(w, "p2", at[:3], lm.P_GRID).sum() + lm.value_at(w, "l1", np.zeros(1, int), lm.L_GRID)[0]
+    assert abs(whole - 1) < 0.02
+    # a word whose pairs lie in two shards: its totals come from both
+    w = lm.weights_of(np.array([1]), np.array([1]), np.array([0, 1]), np.array([0, 1]), d, d, [(0, many, 1, 1, 1)])
+    assert abs(np.log10(lm.value_at(w, "p2", np.zeros(1, int), lm.P_GRID)[0] / (0.5 / many))) < 0.02
+    assert abs(np.log10(lm.value_at(w, "l1", np.zeros(1, int), lm.L_GRID)[0] / (3.0 / many))) < 0.02
