@@ -40,9 +40,11 @@ from quire.llm.words import hashes, steps
 #: Bytes of text in a block; one longer text is a block of its own. Larger blocks repeat fewer words.
 BLOCK_BYTES = 16 << 20
 #: (block, word) pairs that a task encodes at a time and hands on by block.
-HELD = 400_000
+HELD = 200_000
 #: Bytes of text for each part of the word shuffle.
 PART_BYTES = 128 << 20
+#: Word positions that a finishing task turns into ids at a time, whole texts only.
+POSITIONS = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -203,16 +205,21 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, finish: Cal
     fields = StructType([f for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema] + list(new))
     arrow = to_arrow_schema(fields)
 
-    def finished(head: tuple, got: list) -> pa.RecordBatch:
+    def finished(head: tuple, got: list) -> Iterator[pa.RecordBatch]:
         rows, flat, ends = head
         number = np.concatenate([np.cumsum(g[0]) for g in got]) if got else np.zeros(0, np.int64)
         own_length = np.concatenate([g[1] for g in got]) if got else number
         values = np.concatenate([g[2] for g in got]).astype(np.uint32) if got else np.zeros(0, np.uint32)
         begin, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         begin[number], length[number] = np.cumsum(own_length) - own_length, own_length
-        tokens, end = gather(values, begin, length, flat)
-        columns = [rows.field(k + 1) for k in range(len(kept))] + finish(tokens, np.concatenate([[0], end])[ends])
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        first = 0
+        while first < len(ends):  # some texts at a time: a block's ids are never held at once, here or in the JVM
+            base = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, base + POSITIONS, side="right")))
+            tokens, end = gather(values, begin, length, flat[base : ends[last - 1]])
+            columns = [rows.field(k + 1).slice(first, last - first) for k in range(len(kept))] + finish(tokens, np.concatenate([[0], end])[ends[first:last] - base])
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, got = None, []
@@ -222,11 +229,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, finish: Cal
                     got += unpack(batch.column(3)[k].as_py())
                     continue
                 if head is not None:
-                    yield finished(head, got)
+                    yield from finished(head, got)
                 flat, ends = next(unpack(shared.open_arrays(batch.column(1)[k].as_py())[0]["packed"].tobytes()))
                 head, got = (batch.column(2)[k].values, flat, ends), []
         if head is not None:
-            yield finished(head, got)
+            yield from finished(head, got)
 
     return both.mapInArrow(shared.lean(run), fields)
 

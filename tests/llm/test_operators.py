@@ -720,3 +720,11 @@ def test_language_model_keeps_small_values():
     w = lm.weights_of(np.array([1]), np.array([1]), np.array([0, 1]), np.array([0, 1]), d, d, [(0, many, 1, 1, 1)])
     assert abs(np.log10(lm.value_at(w, "p2", np.zeros(1, int), lm.P_GRID)[0] / (0.5 / many))) < 0.02
     assert abs(np.log10(lm.value_at(w, "l1", np.zeros(1, int), lm.L_GRID)[0] / (3.0 / many))) < 0.02
+
+
+def test_bpe_ids_come_in_slices(spark, docs, odd, monkeypatch):
+    vocabulary, rows = registry.vocabulary("byte_bpe_50k.tiktoken"), {}
+    for most in (1, 700, 500_000):
+        monkeypatch.setattr(wordshuffle, "POSITIONS", most)
+        rows[most] = [Counter(map(str, wordshuffle.bpe_ids(x, vocabulary, public_tokenizers.PATTERN).select("doc_id", "token_ids", "decoded").collect())) for x in (docs, odd)]
+    assert rows[1] == rows[700] == rows[500_000]
