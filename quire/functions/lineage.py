@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import cached_property
 from typing import NamedTuple
 
+#: What is a fence, a heading, a marker of a region, and what a part's first line makes of it.
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
 REGION = re.compile(r"<!--\s*#([a-z0-9][a-z0-9-]*)\s*-->$")
@@ -101,24 +102,31 @@ class Version:
                     out.append((found[1], self.part_of_line[after]))
         return out
 
-    def section_end(self, part: int) -> int:
-        """The last part before the next heading of the same or a higher level."""
-        level = min(lv for k, lv, _ in self.headings if k == part)
-        return min((k - 1 for k, lv, _ in self.headings if k > part and lv <= level), default=len(self.parts) - 1)
-
     @cached_property
     def sections(self) -> list[tuple[int, int]]:
         """Each heading part and those up to the next heading of any level."""
         at = sorted({k for k, _, _ in self.headings})
         return [(a, b - 1) for a, b in zip(at, [*at[1:], len(self.parts)], strict=False)]
 
-    def resolve(self, name: str) -> tuple[str, int, int] | None:
-        """(kind, first part, last part): the one region of the name, else the one heading with that slug."""
-        marked = [k for n, k in self.regions if n == name]
-        if marked:
-            return ("region", marked[0], marked[0]) if len(marked) == 1 else None
-        titled = [k for k, _, s in self.headings if s == name]
-        return ("slug", titled[0], self.section_end(titled[0])) if len(titled) == 1 else None
+    @cached_property
+    def names(self) -> dict[str, tuple[str, int, int]]:
+        """What each name that stands for one thing stands for: (region or slug, first part, last part).
+
+        A region's name hides headings of the same slug. A heading reaches to the next one that isn't
+        below it; reading backwards, that is the nearest one noted for its level or a higher one.
+        """
+        follows, reach = [len(self.parts)] * 7, {}
+        for part in sorted({k for k, _, _ in self.headings}, reverse=True):
+            level = min(lv for k, lv, _ in self.headings if k == part)
+            reach[part] = follows[level] - 1
+            follows[level:] = [part] * (7 - level)
+        places: dict[str, list[tuple[str, int, int]]] = {}
+        for part, _, slug in self.headings:
+            places.setdefault(slug, []).append(("slug", part, reach[part]))
+        marked: dict[str, list[tuple[str, int, int]]] = {}
+        for name, part in self.regions:
+            marked.setdefault(name, []).append(("region", part, part))
+        return {name: found[0] for name, found in {**places, **marked}.items() if len(found) == 1}
 
     def span(self, first: int, last: int) -> str:
         return self.text[self.parts[first].start : self.parts[last].start + len(self.parts[last].content)]
@@ -165,20 +173,25 @@ class Oracle:
         return len({unit_of_part(p) for p in parts} - {None}) > 1
 
 
-def decided_among_twins(old: list[str], new: list[str], descends: Callable[[int], int | None], own: int, target: int | None) -> bool:
-    """Whether neighbours single the target out among the units with its text or with the base unit's."""
-    if target is None:
-        return old[own] not in new
-    twins = [k for k, text in enumerate(new) if k != target and text in (new[target], old[own])]
-    if not twins:
-        return True
-    n_old, n_new = Counter(old), Counter(new)
+class Units:
+    """Units of two versions in order (parts, or sections), and where each unit of the old one went."""
+
+    def __init__(self, old: list[str], new: list[str], went: list[int | None]):
+        self.old, self.new = old, new
+        many_old, many_new = Counter(old), Counter(new)
+        #: Units with a text of their own on both sides that went somewhere: a neighbour of this kind speaks for a place.
+        self.firm = {a: b for a, b in enumerate(went) if b is not None and many_old[old[a]] == 1 and many_new[new[b]] == 1}
 
-    def backed(k: int) -> int:
-        beside = [(own + d, k + d) for d in (-1, 1) if 0 <= own + d < len(old) and 0 <= k + d < len(new)]
-        return sum(n_old[old[a]] == 1 and n_new[new[b]] == 1 and descends(a) == b for a, b in beside)
+    def told_apart(self, own: int, place: int | None) -> bool:
+        """Whether a unit's new place is told apart from all others with its old or new text by firm neighbours.
 
-    return backed(target) > max(0, *map(backed, twins))
+        A unit that is gone must have left no equal text behind.
+        """
+        if place is None:
+            return self.old[own] not in self.new
+        wanted = {self.old[own], self.new[place]}
+        speak = {k: sum(self.firm.get(own + step) == k + step for step in (-1, 1)) for k, text in enumerate(self.new) if text in wanted or k == place}
+        return all(n < speak[place] for k, n in speak.items() if k != place)
 
 
 def quote_hits(base: Version, part: int, merged: Version, strict: bool) -> tuple[str, int | None]:
@@ -215,61 +228,65 @@ def grade(truth: str, hit: bool, right: bool) -> str:
     return "WRONG" if hit else "correct"
 
 
+Subject = NamedTuple("Subject", [("mech", str), ("name", str | None), ("kind", str), ("span", tuple[int, int]), ("units", Units | None), ("own", int), ("home", Callable[[int], int | None])])
+
+
+def subjects(base: Version, merged: Version, oracle: Oracle) -> Iterator[Subject]:
+    """Every part of the base, then every name of it, with the units among which doubts about it are settled."""
+    went = lambda spans: [t if v == "SURVIVED" else None for v, t in (oracle.verdict(*s) for s in spans)]
+    whole = [(k, k) for k in range(len(base.parts))]
+    parts = Units([p.content for p in base.parts], [p.content for p in merged.parts], went(whole))
+    section = {k: u for u, (a, b) in enumerate(merged.sections) for k in range(a, b + 1)}
+    texts = [[v.span(*s) for s in v.sections] for v in (base, merged)]
+    sections = Units(*texts, [section.get(t) for t in went(base.sections)])
+    for k, p in enumerate(base.parts):
+        yield Subject("Q", None, p.type, (k, k), parts, k, lambda x: x)
+    for name, (kind, first, last) in sorted(base.names.items()):
+        if kind == "region":
+            yield Subject("R", name, "R:region", (first, last), parts, first, lambda x: x)
+        else:
+            yield Subject("R", name, "R:slug", (first, last), sections, next(u for u, (a, b) in enumerate(base.sections) if a <= first <= b), section.get)
+
+
+def settled(subject: Subject, base: Version, oracle: Oracle) -> tuple[str, str, int | None]:
+    """(verdict with its doubts, truth, target) of a subject."""
+    truth, target = oracle.verdict(*subject.span)
+    if truth != "SURVIVED":
+        return truth, truth, target
+    span = base.sections[subject.own] if subject.kind == "R:slug" else subject.span
+    if not subject.units.told_apart(subject.own, subject.home(target)):
+        return "UNDECIDABLE-REPEAT", truth, target
+    return "UNDECIDABLE-SPLIT" if oracle.split(*span, subject.home) else truth, truth, target
+
+
 def evaluate(before: str, after: str, legs: tuple[str, str] | None = None) -> list[dict]:
-    """A record for each quotable part (mechanism Q) and each name that is unique before (mechanism R)."""
+    """A record for each part (mechanism Q) and each name that is unique before (mechanism R).
+
+    A part too short to be quoted has a record that says so and no verdict.
+    """
     base, merged = Version(before), Version(after)
     sides = tuple(map(Version, legs)) if legs else None
-    well = all(v.balanced for v in (base, merged, *(sides or ())))
     if not base.parts or not merged.parts:
         return []
+    well = all(v.balanced for v in (base, merged, *(sides or ())))
     oracle, out = Oracle(base, merged, sides), []
-    old, new = [p.content for p in base.parts], [p.content for p in merged.parts]
-    survived = lambda verdict: verdict[1] if verdict[0] == "SURVIVED" else None
-    known = [oracle.verdict(k, k) for k in range(len(old))]
-
-    def doubt(k: int, target: int) -> str:
-        if not decided_among_twins(old, new, lambda i: survived(known[i]), k, target):
-            return "UNDECIDABLE-REPEAT"
-        return "UNDECIDABLE-SPLIT" if oracle.split(k, k, lambda x: x) else "SURVIVED"
-
-    def record(mech: str, name: str | None, kind: str, span: tuple[int, int], verdict: str, target: int | None, hits: dict) -> dict:
-        return {
-            "mech": mech, "name": name, "first": span[0], "last": span[1], "type": kind, "prose": mech == "R" or kind in PROSE, "wellformed": well, "unit": base.span(*span),
-            "oracle": verdict, "decided": verdict in ("SURVIVED", "DELETED"), "target": target, "target_text": None if target is None else new[target], **hits,
-        }
-
-    for k, p in enumerate(base.parts):
-        if len(p.content) < SHORTEST:
-            continue
-        truth, target = known[k]
-        verdict = doubt(k, target) if truth == "SURVIVED" else truth
-        hits = {}
-        for policy in ("naive", "hard"):
-            status, hit = quote_hits(base, k, merged, policy == "hard")
-            cls = grade(truth, hit is not None, hit == target) if verdict in ("SURVIVED", "DELETED") else None
-            hits |= {f"{policy}_status": status, f"{policy}_cls": cls, f"{policy}_text": None if hit is None else new[hit]}
-        out.append(record("Q", None, p.type, (k, k), verdict, target, hits))
-
-    own, there = [[v.span(*s) for s in v.sections] for v in (base, merged)]
-    section = {k: u for u, (a, b) in enumerate(merged.sections) for k in range(a, b + 1)}
-    for name in sorted({n for n, _ in base.regions} | {s for _, _, s in base.headings}):
-        found = base.resolve(name)
-        if found is None:
+    none = {f"{policy}_{x}": None for policy in ("naive", "hard") for x in ("status", "cls", "text")}
+    for subject in subjects(base, merged, oracle):
+        own = base.span(*subject.span)
+        record = {"mech": subject.mech, "skip": None, "name": subject.name, "first": subject.span[0], "last": subject.span[1], "type": subject.kind, "unit": own, "wellformed": well, "prose": subject.mech == "R" or subject.kind in PROSE}
+        if subject.mech == "Q" and len(own) < SHORTEST:
+            out.append(record | none | {"skip": "short_quote", "oracle": None, "decided": False, "target": None, "target_text": None})
             continue
-        kind, first, last = found
-        truth, target = oracle.verdict(first, last)
-        verdict = truth
-        if truth == "SURVIVED" and kind == "region":
-            verdict = doubt(first, target)
-        elif truth == "SURVIVED":
-            mine = next(u for u, (a, b) in enumerate(base.sections) if a <= first <= b)
-            descends = lambda u: section.get(survived(oracle.verdict(*base.sections[u])))
-            if not decided_among_twins(own, there, descends, mine, section.get(target)):
-                verdict = "UNDECIDABLE-REPEAT"
-            elif oracle.split(*base.sections[mine], section.get):
-                verdict = "UNDECIDABLE-SPLIT"
-        hit = merged.resolve(name)
-        cls = grade(truth, hit is not None, hit is not None and target is not None and hit[1] <= target <= hit[2]) if verdict in ("SURVIVED", "DELETED") else None
-        hits = {"naive_status": None, "naive_cls": None, "naive_text": None, "hard_status": "RESOLVED" if hit else "#REF!", "hard_cls": cls, "hard_text": merged.span(*hit[1:]) if hit else None}
-        out.append(record("R", name, f"R:{kind}", (first, last), verdict, target, hits))
+        verdict, truth, target = settled(subject, base, oracle)
+        decided, hits = verdict in ("SURVIVED", "DELETED"), dict(none)
+        if subject.mech == "Q":
+            found = {policy: quote_hits(base, subject.own, merged, policy == "hard") for policy in ("naive", "hard")}
+            found = {policy: (status, hit if hit is None else (hit, hit)) for policy, (status, hit) in found.items()}
+        else:
+            place = merged.names.get(subject.name)
+            found = {"hard": ("RESOLVED", place[1:]) if place else ("#REF!", None)}
+        for policy, (status, hit) in found.items():
+            right = hit is not None and target is not None and hit[0] <= target <= hit[1]
+            hits |= {f"{policy}_status": status, f"{policy}_cls": grade(truth, hit is not None, right) if decided else None, f"{policy}_text": merged.span(*hit) if hit else None}
+        out.append(record | hits | {"oracle": verdict, "decided": decided, "target": target, "target_text": None if target is None else merged.parts[target].content})
     return out

@@ -6,22 +6,21 @@ state give no records. Everything but the kernel in ``evaluate`` is plain DataFr
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quire.functions import lineage, merging
+from quire.functions import lineage, merging, rates
 
 RECORD = (
-    "mech string, name string, first int, last int, type string, prose boolean, wellformed boolean, unit string, oracle string, decided boolean, target int, target_text string, "
+    "mech string, skip string, name string, first int, last int, type string, prose boolean, wellformed boolean, unit string, oracle string, decided boolean, target int, target_text string, "
     "naive_status string, naive_cls string, naive_text string, hard_status string, hard_cls string, hard_text string"
 )
 VERDICT_RULE = "yaml-fence"
-CONFIDENCE = 0.95
 
 
 def evaluate(instances: DataFrame, keys: list[str], before: str = "before", after: str = "after", legs: tuple[str, str] | None = None) -> DataFrame:
@@ -136,30 +135,17 @@ def is_subset(left: DataFrame, right: DataFrame) -> bool:
     return left.join(right.distinct(), left.columns, "left_anti").isEmpty()
 
 
-def binomial_bound(k: int, n: int, confidence: float = CONFIDENCE) -> float:
+def upper_bound(k: Column, n: Column, confidence: float = rates.CONFIDENCE) -> Column:
     """One-sided upper bound of a rate after k of n: where so few hits have probability 1 - ``confidence``."""
-    if n <= 0 or k >= n:
-        return 1.0
-    choose = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
-    low, high = k / n, 1.0
-    for _ in range(60):
-        p = (low + high) / 2
-        at_most = sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(choose)) if p < 1 else 0.0
-        low, high = (p, high) if at_most > 1 - confidence else (low, p)
-    return high
-
-
-@F.pandas_udf(DoubleType())
-def upper_bound(k: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([binomial_bound(int(a), int(b)) for a, b in zip(k, n, strict=True)], dtype="float64")
+    return rates.upper_end(k, n, 1 - confidence)
 
 
 def stratified_rate(strata: DataFrame) -> DataFrame:
-    """(hits, rate, low, high) over strata of (size, sampled, hits): sampled shares scaled to their strata, with interval ends.
+    """(hits, rate, low, high) over strata of (size, sampled, hits): sampled shares scaled to their strata.
 
-    The upper end takes every stratum's bound, the lower one the bound of its misses.
+    The range takes every stratum at the same end of its exact two-sided 95 % interval.
     """
-    high, low = upper_bound("hits", "sampled"), 1 - upper_bound(F.col("sampled") - F.col("hits"), F.col("sampled"))
+    low, high = (end(F.col("hits"), F.col("sampled")) for end in (rates.lower_end, rates.upper_end))
     per = strata.select("size", (F.col("size") * F.col("hits") / F.col("sampled")).alias("h"), (F.col("size") * high).alias("u"), (F.col("size") * low).alias("l"))
     total = F.sum("size")
     return per.agg(F.sum("h").alias("hits"), (F.sum("h") / total).alias("rate"), (F.sum("l") / total).alias("low"), (F.sum("u") / total).alias("high"))
@@ -233,6 +219,25 @@ def content_hash(files: DataFrame, group: str, name: str, content: str, left_out
     return rows.select(group, F.sha2(F.array_join(F.transform("f", lambda x: x["c"]), ""), 256).alias("hash"))
 
 
+@F.pandas_udf(StringType())
+def without_name(packet: pd.Series) -> pd.Series:
+    """A packet's JSON object without its field ``packet``, keys in order at every depth."""
+    cut = lambda text: json.dumps({k: v for k, v in json.loads(text).items() if k != "packet"}, sort_keys=True, ensure_ascii=False)
+    return packet.map(cut, na_action="ignore")
+
+
+def packet_hash(files: DataFrame, group: str, name: str, content: str) -> DataFrame:
+    """(group, hash): one digest over a packet's fields but its own name, then over its files in name order.
+
+    The fields are those of ``packet.json``; ``QUESTIONS.md`` is left out. A packet without fields has a null hash.
+    """
+    fields = F.max(F.when(F.col(name) == "packet.json", F.col(content))).alias("fields")
+    own = F.concat(F.lit("\0"), F.col(name), F.lit("\0"), F.col(content))
+    rest = F.collect_list(F.when(~F.col(name).isin("packet.json", "QUESTIONS.md"), F.struct(F.col(name).alias("n"), own.alias("c"))))
+    rows = files.groupBy(group).agg(fields, F.array_sort(rest).alias("f"))
+    return rows.select(group, F.sha2(F.concat(without_name("fields"), F.array_join(F.transform("f", lambda x: x["c"]), "")), 256).alias("hash"))
+
+
 def same_content(first: DataFrame, second: DataFrame, group: str) -> DataFrame:
     """Groups whose content hashes differ or that only one side has."""
     joined = first.select(group, F.col("hash").alias("a")).join(second.select(group, F.col("hash").alias("b")), group, "full")
@@ -281,9 +286,14 @@ def disallowed(files: DataFrame, allowed: list[str]) -> DataFrame:
     return files.where(~F.col("path").rlike("^(?:" + "|".join(allowed) + ")$")).select("packet", "path")
 
 
+def utc_day(moment: Column) -> Column:
+    """The UTC day of a moment: a time stamp, or a text with its offset to UTC (without one, in the session's zone)."""
+    return F.to_date(F.to_utc_timestamp(moment.cast("timestamp"), F.current_timezone()))
+
+
 def is_late(day: Column, declared: Column, window: int = 14) -> Column:
-    """Whether a UTC day lies more than ``window`` days after the declared one, or before it."""
-    return ~F.datediff(F.to_date(day), F.to_date(declared)).between(0, window)
+    """Whether a moment's UTC day lies more than ``window`` days after the declared one's; an earlier one isn't late."""
+    return F.datediff(utc_day(day), utc_day(declared)) > window
 
 
 @F.pandas_udf(StructType([StructField("outcome", StringType()), StructField("text", StringType())]))
@@ -298,8 +308,9 @@ def section_ends(headings: DataFrame, doc: str, order: str, level: str, levels:
 
     One window over a document's headings: the next heading of each level, then that of the heading's own.
     """
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    after = F.array(*[F.first(F.when(F.col(level) <= k, F.col(order)), ignorenulls=True).over(w) for k in range(1, levels + 1)])
+    # backwards, so that each row adds to the frame of the one before it instead of scanning what follows anew
+    w = Window.partitionBy(doc).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.array(*[F.last(F.when(F.col(level) <= k, F.col(order)), ignorenulls=True).over(w) for k in range(1, levels + 1)])
     return headings.withColumn("section_end", F.get(after, F.col(level).cast("int") - 1))
 
 

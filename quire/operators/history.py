@@ -30,5 +30,6 @@ def gap_bounds(rows: DataFrame, partition: list[str], order: str, chain_pos: Col
     """The nearest chain positions before and after each row: an as-of join both ways."""
     w = Window.partitionBy(*partition).orderBy(order)
     before = F.last(chain_pos, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(chain_pos, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*partition).orderBy(F.desc(order))  # a frame that only grows
+    after = F.last(chain_pos, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("gap_before", F.coalesce(before, F.lit(-1))).withColumn("gap_after", after)

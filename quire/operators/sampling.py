@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import tables
+
 SEED = "prereg2"  # fixed value of the ranking
 
 
@@ -41,7 +42,7 @@ def deal(rows: DataFrame, order: str, items_per_batch: int, parts: int | None =
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.repartitionByRange(n, F.col(order), F.xxhash64(*rows.columns)).withColumn("__part", F.spark_partition_id())
-    laid = laid.persist(StorageLevel.DISK_ONLY)  # both passes must see one set of ranges
+    laid = tables.written(laid, "dealt")  # both passes must see one set of ranges, whatever executors are lost
     before, at = {}, 0
     for part, count in sorted(laid.groupBy("__part").count().collect()):
         before[part], at = at, at + count

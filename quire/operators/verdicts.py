@@ -43,7 +43,7 @@ def cells(grid: DataFrame, scores: DataFrame, gaps: DataFrame, found: Column, fl
     ``scores`` holds (arm, decided, undecidable, wrong); arms without scores count nothing. A declared gap
     (arm, mech, gap) overrides what was counted.
     """
-    joined = grid.join(scores, "arm", "left").na.fill(0, ["decided", "undecidable", "wrong"]).join(F.broadcast(gaps), ["arm", "mech"], "left")
+    joined = grid.join(scores, "arm", "left").na.fill(0, ["decided", "undecidable", "wrong"]).join(gaps, ["arm", "mech"], "left")
     verdict, reason = floor_verdict(F.col("decided"), F.col("undecidable"), F.lit(True), floor)
     gap = F.col("gap").isNotNull()
     out = joined.withColumn("verdict", F.when(gap, "NO VERDICT").when(found, "FOUND").otherwise(verdict)).withColumn("reason", F.when(gap, F.col("gap")).when(found, "found").otherwise(reason))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scalars
-from quire.operators import checker, documents, evaluation, sampling, verdicts
+from quire.operators import checker, containment, documents, evaluation, lineoracle, sampling, verdicts
 from quire.plans.catalogue import CELLS, cells, docs_of, query
 from quire.session import table
-from quire.sources import records
+from quire.sources import history, records
 
 
 @query()
@@ -150,12 +150,30 @@ def dealt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.deal(docs_of(spark, sf_dir).select("doc_id"), "doc_id", 17)
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (
+  SELECT lang, count(*) AS size, count(toxic) AS n, coalesce(sum(toxic), 0)::BIGINT AS k FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang HAVING count(toxic) > 0
+),
+-- an end is where the binomial tail up to k has this probability
+ends AS (
+  SELECT lang, n, k, 'bound' AS e, 0.05 AS p, k AS upto FROM s UNION ALL SELECT lang, n, k, 'high', 0.025, k FROM s UNION ALL SELECT lang, n, k, 'low', 0.975, k - 1 FROM s
+),
+halve(lang, e, n, upto, p, x, step) AS (
+  SELECT lang, e, n, upto, p, 0.0::DOUBLE, 0 FROM ends WHERE upto >= 0 AND upto < n
+  UNION ALL
+  SELECT lang, e, n, upto, p, CASE WHEN list_sum(list_transform(range(upto + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(x + pow(2.0, -step - 1)) + (n - i) * ln(1 - x - pow(2.0, -step - 1))))) > p THEN x + pow(2.0, -step - 1) ELSE x END, step + 1
+  FROM halve WHERE step < 45
+),
+found AS (SELECT ends.*, coalesce(x, CASE WHEN upto < 0 THEN 0.0 ELSE 1.0 END) AS v FROM ends LEFT JOIN (SELECT lang, e, x FROM halve WHERE step = 45) h USING (lang, e)),
+wide AS (SELECT lang, max(v) FILTER (e = 'bound') AS bound, max(v) FILTER (e = 'low') AS low, max(v) FILTER (e = 'high') AS high FROM found GROUP BY lang),
+every AS (SELECT sum(size * k / n) / sum(size) AS rate, sum(size * low) / sum(size) AS low, sum(size * high) / sum(size) AS high FROM s JOIN wide USING (lang))
+SELECT lang, n AS sampled, k AS hits, round(wide.bound, 7) AS bound, round(every.rate, 7) AS rate, round(every.low, 7) AS low, round(every.high, 7) AS high FROM s JOIN wide USING (lang), every""")
 def rate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages are strata, labels their samples, toxic ones the hits: one-sided 95 % bounds and the scaled rate."""
+    """Languages are strata, labels their samples, toxic ones the hits: each one's one-sided 95 % bound, and the scaled rate with its range."""
     docs = docs_of(spark, sf_dir).select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     strata = docs.groupBy("lang").agg(F.count("*").alias("size"), F.count("toxic").alias("sampled"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("hits")).where("sampled > 0")
-    return strata.select("lang", "sampled", "hits", evaluation.upper_bound("hits", "sampled").alias("bound")).crossJoin(F.broadcast(evaluation.stratified_rate(strata).drop("hits")))
+    every = evaluation.stratified_rate(strata).select(*[F.round(c, 7).alias(c) for c in ("rate", "low", "high")])
+    return strata.select("lang", "sampled", "hits", F.round(evaluation.upper_bound(F.col("hits"), F.col("sampled")), 7).alias("bound")).crossJoin(F.broadcast(every))
 
 
 @query("SELECT event_id, props IS NOT NULL AND regexp_matches(value::BIGINT::VARCHAR, '^-?[0-9]+$') AS whole, false AS fraction FROM events")
@@ -220,7 +238,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.content_hash(files, "l_orderkey", "name", "content", ["f2"])
 
 
-@query("SELECT l_orderkey, l_linenumber, NOT (date_diff('day', o_orderdate::DATE, l_shipdate::DATE) BETWEEN 0 AND 14) AS late FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("SELECT l_orderkey, l_linenumber, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) > 14 AS late FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's day is declared, a line ships within the window or late."""
     days = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
@@ -341,3 +359,76 @@ def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are one run over the documents, a guess from their length a second one that leaves a language out."""
     guess = docs_of(spark, sf_dir).where("lang <> 'de'").select("doc_id", F.when(F.col("n_chars") < 300, 0).otherwise(1).alias("v"))
     return evaluation.agreement(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v")), guess, "doc_id", "v")
+
+
+@query()
+def line_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instances of ``unit_records``: where each part went by its lines, from tables alone."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    later = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("after"))
+    return lineoracle.line_oracle(turns.withColumnRenamed("text", "before").join(later, ["conv_id", "turn"]), ["conv_id", "turn"])
+
+
+TREE = r"""
+WITH lines AS (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+parts AS (SELECT doc_id, i, p, unnest(range(len(p))) AS j FROM (SELECT doc_id, i, string_split(l[i + 1], '. ') AS p FROM lines)),
+nodes AS (
+  SELECT doc_id, i, NULL AS j, regexp_matches(l[i + 1], '^[A-M]') AS root FROM lines
+  UNION ALL SELECT doc_id, i, j, regexp_matches(p[j + 1], '^[TDEL]') FROM parts
+)
+"""
+
+
+@query(TREE + """
+SELECT n.doc_id, count(*) AS nodes, count(*) FILTER (n.root OR top.root OR own.root) AS held, count(*) FILTER (coalesce(top.root, false)) AS by_line
+FROM nodes n LEFT JOIN nodes top ON n.doc_id = top.doc_id AND n.i = top.i AND top.j IS NULL LEFT JOIN nodes own ON n.doc_id = own.doc_id AND n.i = own.i AND n.j = own.j
+GROUP BY n.doc_id""")
+def node_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text's lines are its nodes, their sentences the lines' children; roots are told by their first letter."""
+    lines = docs_of(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    parts = lines.select("doc_id", "i", F.posexplode(F.split("x", r"\. ")).alias("j", "x"))
+    nodes = lines.select("doc_id", F.array("i").alias("path"), F.col("x").rlike("^[A-M]").alias("is_root")).union(parts.select("doc_id", F.array("i", "j"), F.col("x").rlike("^[TDEL]")))
+    held = containment.under(nodes, "doc_id", "path", F.col("is_root"))
+    return held.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count("root").alias("held"), F.count_if(F.size("root") == 1).alias("by_line"))
+
+
+@query("""
+WITH RECURSIVE edges AS (
+  SELECT o_orderkey AS a, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders UNION SELECT o_orderkey, o_orderkey // 2 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 64 = 0
+),
+pins AS (SELECT o_orderpriority, max(o_orderkey) AS pin FROM orders GROUP BY o_orderpriority),
+reach(pin, a) AS (SELECT DISTINCT pin, pin FROM pins UNION SELECT r.pin, e.b FROM reach r JOIN edges e ON r.a = e.a JOIN orders o ON o.o_orderkey = e.b)
+SELECT pin, a AS commit FROM reach""")
+def commit_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are commits, the customer's order before is the parent; every 64th also merges the one of half its number. Each priority's last order is a pin."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    commits = orders.select(F.col("o_orderkey").alias("commit"), F.array_compact(F.array(before, F.when((F.col("o_orderkey") > 0) & (F.col("o_orderkey") % 64 == 0), F.floor(F.col("o_orderkey") / 2)))).alias("parents"))
+    return history.ancestors(commits, orders.groupBy("o_orderpriority").agg(F.max("o_orderkey").alias("commit")))
+
+
+@query("""
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY o_orderdate, commit) - 1)::INTEGER AS version, commit, oid
+FROM (SELECT DISTINCT l_partkey AS path, l_orderkey AS commit FROM lineitem) JOIN orders ON o_orderkey = commit
+LEFT JOIN (SELECT l_partkey AS path, l_orderkey AS commit, min(l_suppkey) AS oid FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL) USING (path, commit)""")
+def path_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are commits by date, parts the paths they touch, suppliers the blobs; returned lines leave none."""
+    lines = table(spark, sf_dir, "lineitem")
+    changes = lines.select(F.col("l_orderkey").alias("commit"), F.array("l_partkey").alias("paths"))
+    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("place"))
+    blobs = lines.where("l_returnflag <> 'R'").groupBy(F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("commit")).agg(F.min("l_suppkey").alias("oid"))
+    return history.blob_at(history.path_history(changes, order), blobs).select("path", "version", "commit", "oid")
+
+
+@query("""
+SELECT l_orderkey, sha256('{"priority": "' || any_value(o_orderpriority) || '", "status": "' || any_value(o_orderstatus) || '"}' || string_agg(chr(0) || 'f' || l_linenumber || chr(0) || l_partkey, '' ORDER BY l_linenumber)) AS hash
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey""")
+def packet_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a packet with its fields, its lines are the files."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    fields = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("packet"), F.col("o_orderpriority").alias("priority")))
+    named = orders.join(lines.select("l_orderkey").distinct(), orders["o_orderkey"] == F.col("l_orderkey"), "left_semi")
+    own = named.select(F.col("o_orderkey").alias("l_orderkey"), F.lit("packet.json").alias("name"), fields.alias("content"))
+    files = lines.select("l_orderkey", F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_partkey").cast("string").alias("content"))
+    return evaluation.packet_hash(own.union(files).union(own.select("l_orderkey", F.lit("QUESTIONS.md"), F.lit("q"))), "l_orderkey", "name", "content")

@@ -1,13 +1,14 @@
 """Evaluation, merging and ingest on small cases with known answers."""
 
 import gzip
+import hashlib
 import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import inlines, lineage, merging
+from quire.functions import inlines, lineage, merging, rates
 from quire.functions.naming import slug
 from quire.functions.scalars import resolve_path
 from quire.operators import evaluation, sampling
@@ -21,7 +22,7 @@ def test_parts_names_and_sections():
     v = lineage.Version("---\na: 1\n---\n\n" + TEXT + "\n\n```\n\nx\n```\n# Three")
     assert [p.type for p in v.parts] == ["frontmatter", "heading", "paragraph", "html", "heading", "paragraph", "code", "heading"]
     assert [v.text[p.start : p.start + len(p.content)] == p.content for p in v.parts] == [True] * 8 and v.balanced
-    assert v.resolve("reg") == ("region", 3, 3) and v.resolve("one") == ("slug", 1, 6) and v.resolve("two") == ("slug", 4, 6) and v.resolve("none") is None
+    assert v.names["reg"] == ("region", 3, 3) and v.names["one"] == ("slug", 1, 6) and v.names["two"] == ("slug", 4, 6) and "none" not in v.names
     assert v.sections == [(1, 3), (4, 6), (7, 7)] and lineage.Version("plain").sections == []
     assert not lineage.Version("a\n\n```\nopen").balanced
 
@@ -38,9 +39,20 @@ def test_oracle_follows_lines():
 
 
 def test_twins_need_neighbours():
-    assert lineage.decided_among_twins(["a", "k", "b"], ["a", "k", "b", "k"], {0: 0, 2: 2}.get, 1, 1)
-    assert not lineage.decided_among_twins(["k"], ["k", "k"], {}.get, 0, 0)
-    assert lineage.decided_among_twins(["k"], ["x"], {}.get, 0, None) and not lineage.decided_among_twins(["k"], ["k"], {}.get, 0, None)
+    assert lineage.Units(["a", "k", "b"], ["a", "k", "b", "k"], [0, 1, 2]).told_apart(1, 1)
+    assert not lineage.Units(["a", "k", "b"], ["a", "k", "b", "k"], [0, 1, 2]).told_apart(1, 3)
+    assert not lineage.Units(["k"], ["k", "k"], [None]).told_apart(0, 0)
+    assert lineage.Units(["k"], ["x"], [None]).told_apart(0, None) and not lineage.Units(["k"], ["k"], [None]).told_apart(0, None)
+
+
+def test_names_stand_for_one_thing():
+    v = lineage.Version("# A\n\nx\n\n## B\n\ny\n\n### C\n\nz\n\n## D\n\n# E\n\n## B\n\n<!-- #c -->\n\nlast")
+    assert {n: x for n, x in v.names.items()} == {"a": ("slug", 0, 6), "c": ("region", 10, 10), "d": ("slug", 6, 6), "e": ("slug", 7, 10)}
+
+
+def test_short_quotes_are_recorded():
+    got = [r for r in lineage.evaluate("short\n\n" + "long enough to be quoted here", "short\n\nlong enough to be quoted here") if r["mech"] == "Q"]
+    assert [(r["skip"], r["oracle"], r["decided"]) for r in got] == [("short_quote", None, False), (None, "SURVIVED", True)]
 
 
 def test_records_and_grades():
@@ -49,10 +61,10 @@ def test_records_and_grades():
     few = lineage.Version("same same same same same\n\nx")
     assert lineage.quote_hits(few, 0, few, True) == ("low-entropy", None) and lineage.quote_hits(few, 0, few, False) == ("exact", 0)
     assert got["R", "one"]["hard_cls"] == "LOUD" and got["R", "reg"]["hard_cls"] == "correct"
-    gone = {r["first"]: r for r in lineage.evaluate(TEXT, TEXT.replace("\n\nlast words of this text are these ones", ""))}
+    gone = {r["first"]: r for r in lineage.evaluate(TEXT, TEXT.replace("\n\nlast words of this text are these ones", "")) if not r["skip"]}
     assert gone[4]["oracle"] == "DELETED" and gone[4]["hard_cls"] == "correct"
     assert [lineage.grade(*x) for x in (("SURVIVED", False, False), ("SURVIVED", True, True), ("SURVIVED", True, False), ("DELETED", True, False), ("DELETED", False, False))] == ["LOUD", "correct", "WRONG", "WRONG", "correct"]
-    assert lineage.evaluate("", "x") == [] and lineage.evaluate("a", "a", ("a", "a")) == []
+    assert lineage.evaluate("", "x") == [] and [r["skip"] for r in lineage.evaluate("a", "a", ("a", "a"))] == ["short_quote"]
 
 
 @pytest.mark.parametrize("base,ours,theirs,want", [
@@ -64,11 +76,31 @@ def test_merge(base, ours, theirs, want):
 
 
 def test_bounds(spark):
-    assert abs(evaluation.binomial_bound(0, 300) - (1 - 0.05 ** (1 / 300))) < 1e-9 and evaluation.binomial_bound(5, 5) == 1.0
-    p = evaluation.binomial_bound(3, 50)
-    assert abs(sum(math.comb(50, i) * p**i * (1 - p) ** (50 - i) for i in range(4)) - 0.05) < 1e-9
+    cases = [(0, 300), (5, 5), (3, 50), (1, 47), (0, 1), (1, 1), (250, 1000), (20, 20_000), (0, 0)]
+    rows = spark.createDataFrame([(k, n) for k, n in cases], "k long, n long")
+    got = {(r.k, r.n): r for r in rows.select("k", "n", evaluation.upper_bound(F.col("k"), F.col("n")).alias("u"), rates.lower_end(F.col("k"), F.col("n")).alias("lo"), rates.upper_end(F.col("k"), F.col("n")).alias("hi")).collect()}
+    below = lambda k, n, p: sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    assert abs(got[0, 300].u - (1 - 0.05 ** (1 / 300))) < 1e-9 and got[5, 5].u == got[0, 0].hi == got[1, 1].hi == 1.0 and got[0, 1].lo == got[0, 0].lo == 0.0
+    assert round(100 * got[1, 47].u, 1) == 9.7
+    for (k, n), r in got.items():
+        if 0 < k < n:
+            assert abs(below(k, n, r.u) - 0.05) < 1e-8 and abs(below(k, n, r.hi) - 0.025) < 1e-8 and abs(1 - below(k - 1, n, r.lo) - 0.025) < 1e-8
     r = evaluation.stratified_rate(spark.createDataFrame([(100, 10, 1), (300, 30, 0)], "size long, sampled long, hits long")).first()
-    assert abs(r.hits - 10) < 1e-9 and r.low < r.rate < r.high
+    assert abs(r.hits - 10) < 1e-9 and abs(r.low * 400 - 100 * (1 - 0.975 ** 0.1)) < 1e-6 and abs(r.high * 400 - 100 * 0.4450161 - 300 * (1 - 0.025 ** (1 / 30))) < 1e-4
+
+
+def test_days_are_utc_and_only_later_ones_late(spark):
+    rows = [("2024-01-01T00:00:00Z", "2024-01-03T00:00:00Z", False), ("2024-01-17T00:00:00Z", "2024-01-03T23:00:00Z", False), ("2024-01-18T00:00:00Z", "2024-01-03T23:00:00Z", True), ("2024-01-17T23:00:00-05:00", "2024-01-03T10:00:00Z", True), ("2024-01-18T01:00:00+05:00", "2024-01-03T10:00:00Z", False)]
+    frame = spark.createDataFrame(rows, "day string, declared string, want boolean")
+    assert frame.where(evaluation.is_late(F.col("day"), F.col("declared")) != F.col("want")).count() == 0
+
+
+def test_packet_hash(spark):
+    fields = {"packet": "p1", "b": [1, {"z": None, "a": "é"}], "a": 2.5}
+    files = [("p", "packet.json", json.dumps(fields)), ("p", "b.md", "text b"), ("p", "a.md", "ä"), ("p", "QUESTIONS.md", "no"), ("q", "x", "y")]
+    got = {r.g: r.hash for r in evaluation.packet_hash(spark.createDataFrame(files, "g string, f string, c string"), "g", "f", "c").collect()}
+    rest = json.dumps({k: v for k, v in fields.items() if k != "packet"}, sort_keys=True, ensure_ascii=False)
+    assert got == {"p": hashlib.sha256((rest + "\0a.md\0ä\0b.md\0text b").encode()).hexdigest(), "q": None}
 
 
 def test_a_missing_reproduction_stops_the_job(spark):
