@@ -1,6 +1,7 @@
 """Duplicate censuses over the lines of documents.
 
-Adapter: the driver's documents hold no structure beyond lines, so the unit is the non-blank line.
+Adapter: the driver's documents hold no structure beyond lines, so the unit is the non-blank line. Lines are
+told apart by digests, which are what is shuffled: a line's length costs nothing beyond its scan.
 """
 
 from __future__ import annotations
@@ -23,11 +24,17 @@ def lines(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     return docs.select(*keep, F.posexplode(parts).alias("pos", "content"))
 
 
+def digests(docs: DataFrame, *keep: str, bits: int = 0) -> DataFrame:
+    """:func:`lines` with a digest (MD5, or SHA-2 of ``bits``) in place of the content, and ``short``."""
+    digest = F.unhex(F.sha2("content", bits)) if bits else F.unhex(F.md5("content"))
+    return lines(docs, *keep).select(*keep, "pos", digest.alias("content"), (F.length("content") < MIN_LENGTH).alias("short"))
+
+
 def twin_census(docs: DataFrame, type_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Per type: short units, distinct long contents, those with a twin in their own document,
     those whose twin is adjacent, and whether twins stay within the bar."""
-    every = lines(docs, id_col, type_col)
-    short = F.length("content") < MIN_LENGTH
+    every = digests(docs, id_col, type_col)
+    short = F.col("short")
     w = Window.partitionBy(id_col, "content").orderBy("pos")
     long = every.where(~short).withColumn("gap", F.col("pos") - F.lag("pos").over(w))
     per_doc = long.groupBy(type_col, "content", id_col).agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("gap") == 1, F.lit(False))).alias("adjacent"))
@@ -41,7 +48,7 @@ def twin_census(docs: DataFrame, type_col: str = "lang", id_col: str = "doc_id")
 
 def uniqueness(docs: DataFrame, type_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Per type, over instances and over distinct contents: all, repeated in a document, in the corpus."""
-    per_doc = lines(docs, id_col, type_col).groupBy(type_col, "content", id_col).agg(F.count("*").alias("n"))
+    per_doc = digests(docs, id_col, type_col).groupBy(type_col, "content", id_col).agg(F.count("*").alias("n"))
     per = per_doc.groupBy(type_col, "content").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("in_file"))
     return per.groupBy(type_col).agg(
         F.sum("total").alias("instances"),
@@ -55,6 +62,6 @@ def uniqueness(docs: DataFrame, type_col: str = "lang", id_col: str = "doc_id")
 
 def corpus_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Contents that occur twice or more: digest, instances, documents, first document."""
-    per_doc = lines(docs, id_col).groupBy("content", id_col).agg(F.count("*").alias("n"))
+    per_doc = digests(docs, id_col, bits=256).groupBy("content", id_col).agg(F.count("*").alias("n"))
     per = per_doc.groupBy("content").agg(F.sum("n").alias("instances"), F.count("*").alias("documents"), F.min(id_col).alias("first_doc"))
-    return per.where("instances > 1").select(F.sha2("content", 256).alias("unit"), "instances", "documents", "first_doc")
+    return per.where("instances > 1").select(F.lower(F.hex("content")).alias("unit"), "instances", "documents", "first_doc")

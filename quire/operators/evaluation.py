@@ -46,8 +46,9 @@ def rebuild(instances: DataFrame, id_col: str, wanted: str, keys: list[str]) ->
     return evaluate(instances.where(F.col(id_col) == wanted), keys)
 
 
-def in_cell(rules: Column, arm: Column, mode: Column, strict: Column, rule: str = VERDICT_RULE) -> Column:
-    """Selected by the rule; merges of the site-policy arm also by the strict set."""
+def in_cell(rules: Column, arm: Column, mode: Column, sites: Column, rule: str = VERDICT_RULE) -> Column:
+    """Selected by the rule; merges of the site-policy arm also by a set of sites: ``sites`` is its mark, of the strict or the wider set."""
+    strict = sites
     return F.coalesce(F.array_contains(rules, rule), F.lit(False)) & (~((arm == "site-policy") & (mode == "M")) | F.coalesce(strict, F.lit(False)))
 
 

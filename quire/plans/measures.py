@@ -432,3 +432,68 @@ def packet_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = named.select(F.col("o_orderkey").alias("l_orderkey"), F.lit("packet.json").alias("name"), fields.alias("content"))
     files = lines.select("l_orderkey", F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_partkey").cast("string").alias("content"))
     return evaluation.packet_hash(own.union(files).union(own.select("l_orderkey", F.lit("QUESTIONS.md"), F.lit("q"))), "l_orderkey", "name", "content")
+
+
+@query("""
+SELECT doc_id, source || '|' || lang || '||' || sha256(text) AS unit_key, source || '|' || lang || '||' || sha256(text) || '|' || sha256(lang) || '|' || CASE WHEN quality IS NULL THEN 'DELETED' ELSE sha256(quality::VARCHAR) END AS packet_key,
+       doc_id || ':' || source AS edit_key, source || ':' || doc_id || ':5' AS span_key, 'E:' || doc_id || ':' || source AS edit_id, 'S5:' || doc_id || ':' || source AS span_id, 'M:' || doc_id || ':' || source AS merge_id
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are arms or paths, languages mechanisms or found texts, a label the true text; units have no names."""
+    rows = docs_of(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    arm, mech, unit, none = F.col("source"), F.col("lang"), F.sha2("text", 256), F.lit(None).cast("string")
+    own, doc = verdicts.unit_key(arm, mech, none, unit), F.col("doc_id").cast("string")
+    return rows.select(
+        "doc_id", F.concat_ws("|", *[own[c] for c in ("arm", "mech", "name", "unit")]).alias("unit_key"), verdicts.packet_key(arm, mech, none, unit, mech, F.col("quality").cast("string")).alias("packet_key"),
+        verdicts.edit_key(doc, arm).alias("edit_key"), verdicts.span_key(arm, F.col("doc_id"), F.lit(5)).alias("span_key"),
+        verdicts.instance_id("E", doc, arm).alias("edit_id"), verdicts.instance_id("S", doc, arm, 5).alias("span_id"), verdicts.instance_id("M", doc, arm).alias("merge_id"),
+    )
+
+
+RECORDS = """
+WITH r AS (
+  SELECT lang AS arm, CASE WHEN doc_id % 2 = 0 THEN 'E' ELSE 'M' END AS mode, CASE WHEN n_chars % 2 = 0 THEN 'Q' ELSE 'R' END AS mech, substr(text, 1, 12) AS unit,
+         CASE WHEN quality IS NULL THEN 'UNKNOWN' WHEN n_chars % 5 = 0 THEN 'UNDECIDABLE-SPLIT' WHEN n_chars % 3 = 0 THEN 'DELETED' ELSE 'SURVIVED' END AS oracle, quality IS NOT NULL AND n_chars % 5 <> 0 AS decided,
+         n_chars > 100 AS prose, source <> 'src3' AS inside, n_chars % 7 <> 0 AS sound, CASE WHEN quality = 0 OR toxic = 1 THEN 'WRONG' ELSE 'correct' END AS hard_cls, CASE WHEN n_chars % 4 = 0 THEN 'WRONG' ELSE 'correct' END AS naive_cls,
+         substr(text, 1, 12) || '|' || n_chars % 3 AS packet, n_chars % 11 <> 0 AS reproduced, source
+  FROM documents LEFT JOIN labels USING (doc_id)
+),
+a AS (SELECT packet, CASE ascii(packet) % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'UNPLACEABLE' END AS tier, CASE WHEN length(packet) % 2 = 0 THEN 'no' ELSE 'yes' END AS q3, CASE WHEN ascii(substr(packet, 2)) % 3 > 0 THEN 'no' ELSE 'yes' END AS q4 FROM (SELECT DISTINCT packet FROM r WHERE arm <> 'fr'))
+"""
+
+
+@query(RECORDS + """,
+e AS (SELECT r.*, coalesce(decided AND sound AND hard_cls = 'WRONG' AND prose, false) AS x, prose AND oracle LIKE 'UNDECIDABLE-%' AS u, tier, q3, q4, CASE WHEN NOT prose THEN NULL WHEN decided THEN 2 WHEN oracle LIKE 'UNDECIDABLE-%' THEN 1 ELSE 0 END AS rank FROM r LEFT JOIN a USING (packet) WHERE inside),
+p AS (SELECT arm, mode, mech, unit, packet, any_value(tier) AS tier, any_value(q3) AS q3, any_value(q4) AS q4, bool_or(reproduced) AS again, bool_or(oracle = 'DELETED') AS deleted FROM e WHERE x GROUP BY ALL),
+g AS (SELECT *, tier IS NOT NULL AND tier <> 'UNPLACEABLE' AND q4 = 'no' AS placed, q3 = 'no' AND tier IN ('A', 'B') AS fine FROM p),
+pc AS (
+  SELECT arm, mode, mech, count(*) AS packets, count(*) FILTER (tier IS NULL) AS untiered, count(*) FILTER (placed AND NOT again) AS differs, count(DISTINCT unit) FILTER (placed AND fine AND again) AS qualifying,
+         count(DISTINCT unit) FILTER (placed AND fine AND again AND deleted) AS on_deleted, count(DISTINCT unit) FILTER (placed AND NOT fine AND again) AS near_i FROM g GROUP BY ALL
+),
+st AS (SELECT arm, mode, mech, count(*) FILTER (k = 2) AS decided, count(*) FILTER (k = 1) AS undecidable, count(*) FILTER (k = 0) AS unknown FROM (SELECT arm, mode, mech, unit, max(rank) AS k FROM e GROUP BY ALL) GROUP BY ALL),
+c AS (
+  SELECT arm, mode, mech, count(*) FILTER (prose) AS evaluated, count(*) FILTER (u) AS undecidable_instances, count(*) FILTER (prose AND oracle = 'UNKNOWN') AS unknown_instances,
+         count(DISTINCT unit) FILTER (decided AND sound AND hard_cls = 'WRONG' AND NOT prose) AS near_ii, count(DISTINCT unit) FILTER (decided AND sound AND naive_cls = 'WRONG' AND hard_cls <> 'WRONG' AND prose) AS near_iii
+  FROM e GROUP BY ALL
+),
+z AS (SELECT c.*, decided, undecidable, unknown, coalesce(packets, 0) AS packets, coalesce(untiered, 0) AS untiered, coalesce(differs, 0) AS differs, coalesce(qualifying, 0) AS qualifying, coalesce(on_deleted, 0) AS on_deleted, coalesce(near_i, 0) AS near_i, arm <> 'de' AS passes FROM c JOIN st USING (arm, mode, mech) LEFT JOIN pc USING (arm, mode, mech)),
+w AS (SELECT *, CASE WHEN NOT passes THEN 'bar' WHEN untiered > 0 THEN 'untiered' WHEN qualifying > 0 THEN 'found' WHEN decided < 20 THEN 'floor' WHEN undecidable * 100 > 10 * (decided + undecidable) THEN 'undecidable' ELSE 'bound' END AS reason FROM z)
+SELECT arm, mode, mech, decided, undecidable, unknown, evaluated, undecidable_instances, unknown_instances, packets, untiered, differs, qualifying, on_deleted, near_i, near_ii, near_iii,
+       CASE reason WHEN 'found' THEN 'FOUND' WHEN 'bound' THEN 'NOT FOUND' ELSE 'NO VERDICT' END AS verdict, reason FROM w""")
+def cell_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are records whose flags come from their length, source and labels; a text's beginning is its unit."""
+    n, q = F.col("n_chars"), F.col("quality")
+    unit = F.substring("text", 1, 12)
+    rows = docs_of(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        F.col("lang").alias("arm"), F.when(F.col("doc_id") % 2 == 0, "E").otherwise("M").alias("mode"), F.when(n % 2 == 0, "Q").otherwise("R").alias("mech"), unit.alias("unit"),
+        F.when(q.isNull(), "UNKNOWN").when(n % 5 == 0, "UNDECIDABLE-SPLIT").when(n % 3 == 0, "DELETED").otherwise("SURVIVED").alias("oracle"), (q.isNotNull() & (n % 5 != 0)).alias("decided"),
+        (n > 100).alias("prose"), (F.col("source") != "src3").alias("inside"), (n % 7 != 0).alias("sound"), F.when((q == 0) | (F.col("toxic") == 1), "WRONG").otherwise("correct").alias("hard_cls"), F.when(n % 4 == 0, "WRONG").otherwise("correct").alias("naive_cls"),
+        F.concat(unit, F.lit("|"), (n % 3).cast("string")).alias("packet"), (n % 11 != 0).alias("reproduced"),
+    )
+    packet = F.col("packet")
+    answers = rows.where("arm <> 'fr'").select("packet").distinct().select(
+        packet, F.when(F.ascii(packet) % 4 == 0, "A").when(F.ascii(packet) % 4 == 1, "B").when(F.ascii(packet) % 4 == 2, "C").otherwise("UNPLACEABLE").alias("tier"),
+        F.when(F.length(packet) % 2 == 0, "no").otherwise("yes").alias("q3"), F.when(F.ascii(F.substring(packet, 2, 1 << 20)) % 3 > 0, "no").otherwise("yes").alias("q4"),
+    )
+    bars = rows.select("arm").distinct().select("arm", (F.col("arm") != "de").alias("passes"))
+    return verdicts.cell_report(rows, answers, bars, floor=20)

@@ -209,3 +209,9 @@ def test_every_alteration_is_noticed(spark):
         assert r.answer != own and sum(r.answer.get(f) != own.get(f) for f in {*r.answer, *own}) == 1
     got = spark.createDataFrame([("c", False, "x")], "case string, accept boolean, code string")
     assert {(r["case"], r.field) for r in evaluation.differences(expected, got, "case").collect()} == {("c", "accept"), ("d", "accept"), ("d", "code")}
+
+
+def test_raw_pieces_end_where_they_should():
+    tags = lambda s: inlines._Reader(s).read().tags
+    assert tags("a <!--x--> <?y?> <!A> <![CDATA[z]]> <!--> <!---> <!é> <!--") == [(2, 10), (11, 16), (17, 21), (22, 35), (36, 41), (42, 48)]
+    assert tags("<!--" * 30_000) == [] and tags("<?" * 30_000) == [] and tags("<![CDATA[" * 10_000) == []  # in linear time
