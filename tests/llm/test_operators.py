@@ -593,7 +593,7 @@ def test_registered_queries_agree_with_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages", "conversations"):
+    for name in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DIR}/{name}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         got = registry.QUERIES[name](spark, DIR)
@@ -607,9 +607,10 @@ CONTRACT = {
     1: "page_id host path rule verdict", 2: "doc_id size text_crc32 law shard slot grown_shard", 3: "doc_id item_id", 4: "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     5: "doc_id text", 6: "doc_id n_shingles component_id kept", 7: "doc_id held_out n_tokens n_known train_tokens base_score score", 8: "doc_id start n_tokens ids_crc32",
     9: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", 10: "doc_id n_tokens ids_sha256 decoded_sha256",
+    11: "lang source part item value rank", 12: "vec_id code error label_error codebooks_sha256", 13: "doc_id fingerprint component_id",
 }
 #: Columns that the contract calls long.
-LONGS = set("n_turns loss_chars formatted_chars size text_crc32 slot n_shingles n_tokens n_known train_tokens start ids_crc32 n_words word_chars n_symbols n_dup_lines n_repeat_words".split())
+LONGS = set("value error label_error n_turns loss_chars formatted_chars size text_crc32 slot n_shingles n_tokens n_known train_tokens start ids_crc32 n_words word_chars n_symbols n_dup_lines n_repeat_words".split())
 
 
 def awkward(spark, folder, rows):
@@ -622,6 +623,7 @@ def awkward(spark, folder, rows):
         "pages": ([(1, None, None), (2, "", ""), (3, "http://a.net/x", None), (3, "http://a.net/x", None), (None, "x://", "<p>")], "page_id long, url string, html string"),
         "benchmark": ([(1, None), (None, "word word word word word word"), (2, "")], "item_id long, text string"),
         "labels": ([(1, None, None), (None, 1, 0), (2, 0, 1), (2, 1, 1)], "doc_id long, quality int, toxic int"),
+        "embeddings": ([(None, [0.5] * 8, None), (1, None, 1), (2, [], 2), (3, [None] * 8, None), (4, [float("nan")] * 8, 1), (5, [0.25] * 8, None), (5, [0.25] * 8, None)], "vec_id long, embedding array<float>, label int"),
         "conversations": ([(None, None, None, None), (1, 0, "assistant", ""), (1, 0, "assistant", ""), (2, 1, None, long)], "conv_id long, turn long, role string, text string"),
     }
     for name, (data, schema) in tables.items():
@@ -639,8 +641,10 @@ def test_registered_queries_take_awkward_and_empty_tables(spark, tmp_path):
         assert set(CONTRACT[int(name[2:].split("_")[0])].split()) <= set(got.columns)
         assert all(f.dataType.simpleString() == "bigint" for f in got.schema if f.name in LONGS), name
         found = got.collect()
-        if name.split("_")[0] in ("op2", "op5", "op6", "op7", "op8", "op9", "op10"):
+        if name.split("_")[0] in ("op2", "op5", "op6", "op7", "op8", "op9", "op10", "op13"):
             assert len(found) == n, name
+        if name.startswith("op12"):
+            assert len(found) == 3
         assert query(spark, bare).count() == (1 if name.startswith("op4") else 0)
     assert p.run(spark, folder).count() <= n and p.run(spark, bare).count() == 0
 
@@ -674,7 +678,7 @@ def test_pipeline(spark):
     assert {r.doc_id: (r.n_tokens, r.token_ids) for r in last} == {i: (len(t), t) for i, t in want.items()}
     assert {r.doc_id: r.decoded_sha256 for r in last} == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
     assert [n for n, _ in p.STAGES] == ["quality_rules", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
-    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_sql_of_line_dedup(spark):
