@@ -38,7 +38,7 @@ from quire.llm.packs import pack, unpack
 from quire.llm.words import hashes, steps
 
 #: Bytes of text in a block; one longer text is a block of its own. Larger blocks repeat fewer words.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: (block, word) pairs that a task encodes at a time and hands on by block.
 HELD = 200_000
 #: Bytes of text for each part of the word shuffle.
